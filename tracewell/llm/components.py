@@ -19,7 +19,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).where("node <> other").distinct(), f"{tag}-e"
     )
     labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root"))
-    labels = stored(labels, f"{tag}-0")
     k = 0
     while True:
         k += 1
@@ -27,12 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         # a node's root hears of what its members hear: hooks whole trees, not single nodes
         hooked = near.join(labels, "node").select(F.col("root").alias("node"), "r").where("r < node")
         best = labels.select("node", F.col("root").alias("r")).union(near).union(hooked).groupBy("node").agg(F.min("r").alias("low"))
-        best = stored(best, f"{tag}-{k}a")
-        jumped = best.join(best.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left").select(
-            "node", F.coalesce("lower", "low").alias("root")
-        )
-        new = stored(jumped, f"{tag}-{k}b")
-        moved = new.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
-        labels = new
-        if not moved:
+        jumped = best.join(best.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left").select("node", F.coalesce("lower", "low").alias("root"))
+        new = stored(jumped.join(labels.withColumnRenamed("root", "was"), "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved")), f"{tag}-{k}")
+        labels = new.select("node", "root")
+        if new.where("moved").isEmpty():
             return labels

@@ -34,7 +34,7 @@ from .textarrays import LOWER, Rolling, mix, shingles, texts, words
 #: Counters of the sketch: four bytes each, whatever the input's size.
 SKETCH_BITS = 21
 CHUNKS = 64
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_sets(piece: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
@@ -186,13 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     # only shingles in two or more prefixes can pair groups
     shared = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
     tokens = stored(tokens.join(shared, "token").drop("uses"), "tokens")
-    edges = None
-    label = classes.select(F.col("class").alias("node"), F.col("class").alias("root"))
-
-    def labels_of(found: DataFrame) -> DataFrame:
-        roots = components(found, tag="links")
-        return stored(classes.select(F.col("class").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
-
+    label = stored(classes.select(F.col("class").alias("node"), F.col("class").alias("root")), "labels")
     prefixes = classes.select("class", "n", "prefix")
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -203,11 +197,18 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         return both.where(may_link(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("p_a", "p_b")), num, den)).select("a", "b")
 
     def look_at(pairs: DataFrame, tag: str) -> None:
-        nonlocal edges, label
+        """Verify pairs and merge the components that they link; the new links join roots, so their graph shrinks from round to round."""
+        nonlocal label
         pairs = stored(filtered(pairs), f"{tag}-pairs")
-        links = stored(verified(pairs, classes, keyed.select("row_key", "text"), k, num, den), f"{tag}-links")
-        edges = links if edges is None else edges.union(links)
-        label = labels_of(edges)
+        if pairs.isEmpty():
+            return
+        links = verified(pairs, classes, keyed.select("row_key", "text"), k, num, den)
+        side = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        between = stored(links.join(side("a"), "a").join(side("b"), "b").select("root_a", "root_b").where("root_a <> root_b").distinct(), f"{tag}-links")
+        if between.isEmpty():
+            return
+        roots = components(between, "root_a", "root_b", "links").select(F.col("node").alias("old"), F.col("root").alias("new"))
+        label = stored(label.join(roots, label["root"] == roots["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
 
     # rounds with representatives: stars instead of all pairs of a family
     for i in range(ROUNDS):

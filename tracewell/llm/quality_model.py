@@ -85,9 +85,10 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 150, l2: float = 1e-4) -> Model:
+def fit_ordinal(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 150, prior: float = 2.0) -> Model:
     """Full-batch Adam on the cumulative-link likelihood; the thresholds stay ordered as a first one plus positive gaps."""
     n = len(grade)
+    l2 = prior / n  # the same prior on the weights for any number of rows
     seen = np.bincount(feature, minlength=1 << BITS) >= LEAST_TEXTS
     keep = seen[feature]
     text, feature, value = text[keep], feature[keep], value[keep]

@@ -143,7 +143,10 @@ def read_shards(spark: SparkSession, path: str, length: int = 512, end_id: int =
     width = 2 if end_id < 1 << 16 else 4
     stride = (length + 1) * width
     per_shard = max(1, shard_bytes // stride)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(F.col("shard") >= first_slot // per_shard).select("shard", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if "shard" not in files.columns:  # no sequence, no folder of a shard
+        files = files.withColumn("shard", F.lit(0)).limit(0)
+    files = files.where(F.col("shard") >= first_slot // per_shard).select("shard", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
