@@ -35,6 +35,9 @@ from .textarrays import LOWER, Rolling, mix, shingles, texts, words
 SKETCH_BITS = 21
 CHUNKS = 64
 ROUNDS = 2
+#: 64-bit words of a prefix's bitmap, which bounds how many shingles two prefixes share.
+BITMAP_WORDS = 8
+BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 
 
 def shingle_sets(piece: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
@@ -99,6 +102,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
 
         def step(piece: pa.RecordBatch) -> list:
             sizes, sets, groups, prefixes = [], [], [], []
+            bitmaps = np.zeros((piece.num_rows, BITMAP_WORDS * 64), dtype=np.uint8)
             for s in shingle_sets(piece, text, k):
                 n = len(s)
                 sizes.append(n)
@@ -112,17 +116,20 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
                 p = prefix_length(n, num, den)
                 order = np.lexsort((s, level))[:p]
                 prefix = s[order].view(np.int64)
+                bitmaps[len(sizes) - 1, (prefix.view(np.uint64) % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = 1
                 # sums of mixed hashes name a set, whatever its order
                 sets.append(int(mix(mix(s ^ np.uint64(1)).sum(keepdims=True)).view(np.int64)[0]))
                 groups.append(int(mix(mix(prefix.view(np.uint64) ^ np.uint64(2)).sum(keepdims=True) + np.uint64(n)).view(np.int64)[0]))
                 prefixes.append(prefix)
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])], pa.int32())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            return [pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))]
+            packed = np.packbits(bitmaps, axis=1, bitorder="little").view("<i8")
+            return [pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), *[pa.array(packed[:, i].copy()) for i in range(BITMAP_WORDS)]]
 
         return step
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_hash", "group_hash")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields += [T.StructField(c, T.LongType()) for c in BITMAP]
     return append_columns(docs, make, fields, text).drop(text)
 
 
@@ -140,6 +147,14 @@ def may_link(n_a: Column, n_b: Column, shared: Column, num: int, den: int) -> Co
     return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (shared + F.greatest(rest(n_a), rest(n_b)) >= least_overlap(n_a, n_b, num, den))
 
 
+def most_shared(a: str, b: str, n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    """An upper bound of the prefix shingles that two sets share: common bits, and those that may hide behind one bit."""
+    bits = lambda f: sum((F.bit_count(f(c)).cast("long") for c in BITMAP), F.lit(0))
+    size = lambda n: n - F.ceil(n * num / den) + 1  # noqa: E731  of the prefix
+    hidden = F.least(size(n_a) - bits(lambda c: F.col(a + c)), size(n_b) - bits(lambda c: F.col(b + c)))
+    return bits(lambda c: F.col(a + c).bitwiseAND(F.col(b + c))) + hidden
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole texts link; ``docs`` has (row_key, text)."""
     needed = pairs.select("a").union(pairs.select(F.col("b"))).distinct()
@@ -178,11 +193,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     keyed = docs.select(F.xxhash64(F.col(id), F.col(text)).alias("row_key"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(profiles(keyed, k, num, den), "profiles")
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy("set_hash").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("group_hash").alias("group"), F.first("prefix").alias("prefix"))
+    classes = some.groupBy("set_hash").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("group_hash").alias("group"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in BITMAP])
     classes = stored(classes.withColumnRenamed("set_hash", "class"), "classes")
-    members = classes.select("class", "group", "n")
+    members = classes.select("class", "group", "n", *BITMAP)
     groups = stored(classes.groupBy("group").agg(F.min("class").alias("lead"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size")), "groups")
-    tokens = groups.select("group", "lead", "n", F.explode("prefix").alias("token"))
+    tokens = groups.select("group", "lead", "n", F.posexplode("prefix").alias("pos", "token"))
     # only shingles in two or more prefixes can pair groups
     shared = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
     tokens = stored(tokens.join(shared, "token").drop("uses"), "tokens")
@@ -224,13 +239,20 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
     # all other pairs: of groups with a common prefix shingle, and within groups, in different components
     by_class = members.join(label.select(F.col("node").alias("class"), "root"), "class")
-    keys = tokens.select("token", "group", "n").join(by_class.select("group", "class", "root"), "group")
-    within = by_class.join(groups.where("size > 1").select("group"), "group").select(F.col("group").alias("token"), "group", "n", "class", "root")
+    keys = tokens.select("token", "pos", "group").join(by_class, "group").select("token", "pos", "n", "class", "root", *BITMAP)
+    within = by_class.join(groups.where("size > 1").select("group"), "group").select(F.col("group").alias("token"), F.lit(0).alias("pos"), "n", "class", "root", *BITMAP)
     keys = stored(keys.union(within), "keys")
     main = keys.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
     keys = keys.join(main, "token")
-    light = keys.where("root <> main").select("token", F.col("class").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"))
-    rest = light.join(keys, "token").where((F.col("root") != F.col("root_x")) & (F.least("n", "n_x") * den >= F.greatest("n", "n_x") * num))
+    light = keys.where("root <> main").select("token", F.col("class").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), *[F.col(c).alias(f"x_{c}") for c in BITMAP])
+    # the first common shingle of a pair that links stands so far in front in both sets that all it needs can follow
+    needed = least_overlap(F.col("n"), F.col("n_x"), num, den)
+    rest = light.join(keys, "token").where(
+        (F.col("root") != F.col("root_x"))
+        & (F.col("pos") <= F.col("n") - needed)
+        & (F.col("pos_x") <= F.col("n_x") - needed)
+        & may_link(F.col("n"), F.col("n_x"), most_shared("", "x_", F.col("n"), F.col("n_x"), num, den), num, den)
+    )
     look_at(rest.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct(), "rest")
 
     least = label.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
