@@ -71,11 +71,12 @@ class Benchmark:
         self.prints = np.array([simhash(signs(s), len(s))[0] for _, s in self.items], dtype=np.uint64)
         # for each number of words: the items, and which of them each value of each block may mean
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= BITS_OFF
-        self.by_length: dict[int, tuple[np.ndarray, list[list[np.ndarray]]]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({n for n, _ in self.items}):
             rows = np.array([i for i, (m, _) in enumerate(self.items) if m == n])
             blocks = self.prints[rows].astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-            self.by_length[n] = rows, [[np.flatnonzero(near[v][blocks[:, b]]) for v in range(256)] for b in range(BLOCKS)]
+            lists = [np.flatnonzero(near[v][blocks[:, b]]) for b in range(BLOCKS) for v in range(256)]
+            self.by_length[n] = rows, np.concatenate(lists), np.r_[0, np.cumsum([len(x) for x in lists])]
 
     def met(self, hashes: np.ndarray) -> np.ndarray:
         """Which shingles occur in any item."""
@@ -115,15 +116,15 @@ class Benchmark:
         return [(i, *found) for i, found in sorted(best.items())]
 
     def _look_up(self, part, prints, at, width, low, n, radius, least, best) -> None:  # noqa: ANN001
-        rows, tables = self.by_length[n]
-        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        candidates = np.zeros((len(prints), len(rows)), dtype=bool)
-        for b in range(BLOCKS):
-            for v in np.unique(blocks[:, b]):
-                if len(tables[b][v]):
-                    candidates[np.ix_(blocks[:, b] == v, tables[b][v])] = True
-        window, item = np.nonzero(candidates)
-        close = np.bitwise_count(prints[window] ^ self.prints[rows[item]]) <= radius
+        rows, listed, offsets = self.by_length[n]
+        # every block of every window opens one list of items
+        entry = (prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS) + np.arange(BLOCKS) * 256).ravel()
+        size = offsets[entry + 1] - offsets[entry]
+        ends = np.cumsum(size)
+        item = listed[np.repeat(offsets[entry] - (ends - size), size) + np.arange(ends[-1])]
+        window = np.repeat(np.arange(len(entry)) // BLOCKS, size)
+        close = np.flatnonzero(np.bitwise_count(prints[window] ^ self.prints[rows[item]]) <= radius)
+        close = close[np.unique(window[close] * len(rows) + item[close], return_index=True)[1]]  # several blocks may agree
         for w, j in zip(window[close].tolist(), rows[item[close]].tolist(), strict=True):
             start = int(at[w])
             score = similarity(part[start : start + width], self.items[j][1])
