@@ -18,16 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import SLICE, encoder, read_ranks
+from .bpe import encoder, read_ranks
 from .common import scratch_path, slices, stored
 from .textarrays import mix, texts
 
 END = "\r\n"
 ROUNDS = 6
+#: Bytes of text encoded at once: the ids and owners of a slice take many times that.
+STEP = 1 << 20
 
 
 def _domain(total: int) -> int:
@@ -65,12 +68,12 @@ def permute(numbers: np.ndarray, total: int, key: int, back: bool = False) -> np
 
 
 def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, place, doc_ids, n_tokens, tokens): sequences packed within each input partition."""
+    """(part, place, doc_ids, n_tokens, tokens): sequences packed within each input partition, their ids compressed."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     width = "<u2" if end_id < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, place = encoder(shared.value), TaskContext.get().partitionId(), 0
+        own, part, place, coder = encoder(shared.value), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
         held, held_ids = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # ids not yet in a sequence, and their rows' doc_id
 
         def emit(block: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -81,13 +84,15 @@ def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, id: str
             change &= np.arange(length)[None, :] < counts[:, None]
             flat = owners[change]
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(change.sum(axis=1))], pa.int32()), pa.array(flat, pa.int64(), mask=flat == np.iinfo(np.int64).min))
-            tokens = pa.array([row.tobytes() for row in block.astype(width)], pa.binary())
+            # low and high bytes apart compress better; the written table and the shuffle hold them so
+            planes = np.ascontiguousarray(block.astype(width).view(np.uint8).reshape(n, length, -1).transpose(0, 2, 1))
+            tokens = pa.array([coder.compress(row.tobytes()) for row in planes], pa.binary())
             batch = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(place + np.arange(n), pa.int64()), ids, pa.array(counts, pa.int32()), tokens], names=["part", "place", "doc_ids", "n_tokens", "tokens"])
             place += n
             return batch
 
         for batch in batches:
-            for piece in slices(batch, text, SLICE):
+            for piece in slices(batch, text, STEP):
                 ids, bounds = own.encode(*texts(piece.column(text)))
                 sizes = np.diff(bounds)
                 names = piece.column(id).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
@@ -132,9 +137,17 @@ def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512,
 
     numbered = made.mapInArrow(number, "sequence long, slot long, shard int, row long, n_tokens int, doc_ids array<long>, tokens binary")
     # a range of slots is a partition: its number is the shard's, so each shard is one file
-    tail = F.lit(b"" if end_id < 1 << 16 else b"\x00\x00")
-    ordered = numbered.select("shard", "slot", F.concat("tokens", tail).cast("string").alias("value")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-    ordered.select("shard", "value").write.partitionBy("shard").option("lineSep", END).text(path)
+    width = 2 if end_id < 1 << 16 else 4
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, mark = zstandard.ZstdDecompressor(), b"\0" * (width - 2)
+        for batch in batches:
+            values = [np.frombuffer(coder.decompress(x), np.uint8).reshape(width, length).T.tobytes() + mark for x in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slot"), pa.array(values, pa.binary())], names=["shard", "slot", "value"])
+
+    dealt = numbered.select("shard", "slot", "tokens").repartitionById(shards, F.col("shard"))
+    ordered = dealt.mapInArrow(unpack, "shard int, slot long, value binary").sortWithinPartitions("shard", "slot")
+    ordered.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END).text(path)
     return numbered.drop("tokens")
 
 
