@@ -248,7 +248,7 @@ class Encoder:
         self.offsets = np.concatenate([self.offsets, size + np.arange(1, len(tokens) + 1), size + len(tokens) + offsets[1:]])
         known = np.concatenate([self.known, hashes[order]])
         place = np.concatenate([self.place, base + np.arange(len(words))])
-        by = np.argsort(known)
+        by = np.argsort(known, kind="stable")  # merges the sorted runs in linear time
         self.known, self.place = known[by], place[by]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

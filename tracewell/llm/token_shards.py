@@ -31,6 +31,8 @@ END = "\r\n"
 ROUNDS = 6
 #: Bytes of text encoded at once: the ids and owners of a slice take many times that.
 STEP = 1 << 20
+#: Sequences compressed together in the written table.
+BLOCK = 512
 
 
 def _domain(total: int) -> int:
@@ -68,28 +70,34 @@ def permute(numbers: np.ndarray, total: int, key: int, back: bool = False) -> np
 
 
 def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, place, doc_ids, n_tokens, tokens): sequences packed within each input partition, their ids compressed."""
+    """(part, place, counts, doc_ids, tokens): blocks of sequences packed within each input partition.
+
+    ``place`` numbers a block's first sequence; the ids of a block are compressed together, as repeated words
+    then cost little in the written table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     width = "<u2" if end_id < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, place, coder = encoder(shared.value), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        own, part, place, coder = encoder(shared.value), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         held, held_ids = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # ids not yet in a sequence, and their rows' doc_id
 
-        def emit(block: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        def emit(block: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal place
-            n = len(block)
             change = np.ones_like(owners, dtype=bool)
             change[:, 1:] = owners[:, 1:] != owners[:, :-1]
             change &= np.arange(length)[None, :] < counts[:, None]
-            flat = owners[change]
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(change.sum(axis=1))], pa.int32()), pa.array(flat, pa.int64(), mask=flat == np.iinfo(np.int64).min))
-            # low and high bytes apart compress better; the written table and the shuffle hold them so
-            planes = np.ascontiguousarray(block.astype(width).view(np.uint8).reshape(n, length, -1).transpose(0, 2, 1))
-            tokens = pa.array([coder.compress(row.tobytes()) for row in planes], pa.binary())
-            batch = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(place + np.arange(n), pa.int64()), ids, pa.array(counts, pa.int32()), tokens], names=["part", "place", "doc_ids", "n_tokens", "tokens"])
-            place += n
-            return batch
+            for i in range(0, len(block), BLOCK):
+                here = change[i : i + BLOCK]
+                flat, n = owners[i : i + BLOCK][here], len(here)
+                names = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(here.sum(axis=1))], pa.int32()), pa.array(flat, pa.int64(), mask=flat == np.iinfo(np.int64).min))
+                whole = pa.array([0, n], pa.int32())
+                tokens = pa.array([coder.compress(block[i : i + BLOCK].astype(width).tobytes())], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([place], pa.int64()), pa.ListArray.from_arrays(whole, pa.array(counts[i : i + BLOCK].astype(np.int32))), pa.ListArray.from_arrays(whole, names), tokens],
+                    names=["part", "place", "counts", "doc_ids", "tokens"],
+                )
+                place += n
 
         for batch in batches:
             for piece in slices(batch, text, STEP):
@@ -103,41 +111,52 @@ def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, id: str
                 held_ids = np.concatenate([held_ids, np.repeat(names[some], sizes[some] + 1)])
                 full = len(held) // length
                 if full:
-                    yield emit(held[: full * length].reshape(full, length), held_ids[: full * length].reshape(full, length), np.full(full, length))
-                    held, held_ids = held[full * length :], held_ids[full * length :]
+                    yield from emit(held[: full * length].reshape(full, length), held_ids[: full * length].reshape(full, length), np.full(full, length))
+                    held, held_ids = held[full * length :].copy(), held_ids[full * length :].copy()
+        own.forget()  # an idle worker holds no pieces
         if len(held):
             fill = length - len(held)
-            yield emit(np.r_[held, np.full(fill, end_id, np.uint32)][None, :], np.r_[held_ids, np.full(fill, held_ids[-1])][None, :], np.array([len(held)]))
+            yield from emit(np.r_[held, np.full(fill, end_id, np.uint32)][None, :], np.r_[held_ids, np.full(fill, held_ids[-1])][None, :], np.array([len(held)]))
 
-    return docs.select(id, text).mapInArrow(run, "part int, place long, doc_ids array<long>, n_tokens int, tokens binary")
+    return docs.select(id, text).mapInArrow(run, "part int, place long, counts array<int>, doc_ids array<array<long>>, tokens binary")
 
 
 def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512, end_id: int = 50256, key: int = 1, shard_bytes: int = 16 << 20) -> DataFrame:
     """Write shards under ``path`` and return the index: (sequence, slot, shard, row, n_tokens, doc_ids)."""
     spark = docs.sparkSession
     made = stored(sequences(docs, rank_path, length, end_id), "sequences")
-    totals = made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each input partition
+    totals = made.groupBy("part").agg(F.sum(F.size("counts")).alias("n")).orderBy("part").collect()  # a row for each input partition
     start, total = {}, 0
     for row in totals:
         start[row["part"]] = total
         total += row["n"]
-    stride = (length + 1) * (2 if end_id < 1 << 16 else 4)
-    per_shard = max(1, shard_bytes // stride)
+    width = 2 if end_id < 1 << 16 else 4
+    per_shard = max(1, shard_bytes // ((length + 1) * width))
     shards = max(1, -(-total // per_shard))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbers(part: int, place: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a block's sequences, and their slots."""
+        sequence = start[part] + place + np.arange(n, dtype=np.int64)
+        return sequence, permute(sequence, total, key)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "place"))
-            sequence = place + np.array([start[p] for p in part.tolist()], dtype=np.int64)
-            slot = permute(sequence, total, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sequence), pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard), *[batch.column(c) for c in ("n_tokens", "doc_ids", "tokens")]],
-                names=["sequence", "slot", "shard", "row", "n_tokens", "doc_ids", "tokens"],
-            )
-
-    numbered = made.mapInArrow(number, "sequence long, slot long, shard int, row long, n_tokens int, doc_ids array<long>, tokens binary")
-    # a range of slots is a partition: its number is the shard's, so each shard is one file
-    width = 2 if end_id < 1 << 16 else 4
+            for i in range(batch.num_rows):
+                counts, names = (batch.column(c)[i].values for c in ("counts", "doc_ids"))
+                sequence, slot = numbers(batch.column("part")[i].as_py(), batch.column("place")[i].as_py(), len(counts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sequence), pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard), counts, names], names=["sequence", "slot", "shard", "row", "n_tokens", "doc_ids"]
+                )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small, large = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # low and high bytes apart: single sequences compress better so in the shuffle
+                planes = np.frombuffer(large.decompress(batch.column("tokens")[i].as_py()), np.uint8).reshape(-1, length, width).transpose(0, 2, 1)
+                slot = numbers(batch.column("part")[i].as_py(), batch.column("place")[i].as_py(), len(planes))[1]
+                tokens = pa.array([small.compress(row.tobytes()) for row in planes], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), tokens], names=["shard", "slot", "tokens"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, mark = zstandard.ZstdDecompressor(), b"\0" * (width - 2)
@@ -145,10 +164,11 @@ def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512,
             values = [np.frombuffer(coder.decompress(x), np.uint8).reshape(width, length).T.tobytes() + mark for x in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slot"), pa.array(values, pa.binary())], names=["shard", "slot", "value"])
 
-    dealt = numbered.select("shard", "slot", "tokens").repartitionById(shards, F.col("shard"))
+    # a range of slots is a partition: its number is the shard's, so each shard is one file
+    dealt = made.select("part", "place", "tokens").mapInArrow(deal, "shard int, slot long, tokens binary").repartitionById(shards, F.col("shard"))
     ordered = dealt.mapInArrow(unpack, "shard int, slot long, value binary").sortWithinPartitions("shard", "slot")
     ordered.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END).text(path)
-    return numbered.drop("tokens")
+    return made.drop("tokens").mapInArrow(listed, "sequence long, slot long, shard int, row long, n_tokens int, doc_ids array<long>")
 
 
 def read_shards(spark: SparkSession, path: str, length: int = 512, end_id: int = 50256, shard_bytes: int = 16 << 20, first_slot: int = 0) -> DataFrame:
