@@ -308,3 +308,6 @@ def q_state_change(spark: SparkSession, sf: str) -> DataFrame:
 def q_rotated_order(spark: SparkSession, sf: str) -> DataFrame:
     """The nations, a fixed list of 25, rotated by a cursor of 7."""
     return table(spark, sf, "nation").select("n_nationkey", "n_name", ((F.row_number().over(Window.orderBy("n_nationkey")) - 1 - 7 + 25) % 25).cast("int").alias("place"))
+
+
+from . import audit  # noqa: E402, F401  registers its queries here
