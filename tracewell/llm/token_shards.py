@@ -33,6 +33,9 @@ ROUNDS = 6
 STEP = 1 << 20
 #: Sequences compressed together in the written table.
 BLOCK = 512
+#: Level of compression, and bytes of ids that the compression of single sequences may refer to.
+LEVEL = 6
+SHARED_BYTES = 110 << 10
 
 
 def _domain(total: int) -> int:
@@ -79,7 +82,7 @@ def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, id: str
     width = "<u2" if end_id < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, place, coder = encoder(shared.value), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        own, part, place, coder = encoder(shared.value), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL)
         held, held_ids = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # ids not yet in a sequence, and their rows' doc_id
 
         def emit(block: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -148,20 +151,26 @@ def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512,
                     [pa.array(sequence), pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard), counts, names], names=["sequence", "slot", "shard", "row", "n_tokens", "doc_ids"]
                 )
 
+    # one block of ids, whichever comes first, only makes the shuffle smaller: reading gives the same ids with any
+    some = made.select("tokens").limit(1).collect()
+    common = zstandard.ZstdDecompressor().decompress(some[0]["tokens"])[:SHARED_BYTES] if some else b""
+
+    def dictionary() -> zstandard.ZstdCompressionDict:
+        return zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small, large = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        small, large = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary()), zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                # low and high bytes apart: single sequences compress better so in the shuffle
-                planes = np.frombuffer(large.decompress(batch.column("tokens")[i].as_py()), np.uint8).reshape(-1, length, width).transpose(0, 2, 1)
-                slot = numbers(batch.column("part")[i].as_py(), batch.column("place")[i].as_py(), len(planes))[1]
-                tokens = pa.array([small.compress(row.tobytes()) for row in planes], pa.binary())
+                block = np.frombuffer(large.decompress(batch.column("tokens")[i].as_py()), np.uint8).reshape(-1, length * width)
+                slot = numbers(batch.column("part")[i].as_py(), batch.column("place")[i].as_py(), len(block))[1]
+                tokens = pa.array([small.compress(row.tobytes()) for row in block], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), tokens], names=["shard", "slot", "tokens"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, mark = zstandard.ZstdDecompressor(), b"\0" * (width - 2)
+        coder, mark = zstandard.ZstdDecompressor(dict_data=dictionary()), b"\0" * (width - 2)
         for batch in batches:
-            values = [np.frombuffer(coder.decompress(x), np.uint8).reshape(width, length).T.tobytes() + mark for x in batch.column("tokens").to_pylist()]
+            values = [coder.decompress(x) + mark for x in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slot"), pa.array(values, pa.binary())], names=["shard", "slot", "value"])
 
     # a range of slots is a partition: its number is the shard's, so each shard is one file
