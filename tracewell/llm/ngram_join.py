@@ -7,8 +7,9 @@ words: the whole sequence as one; none: empty, linked with nothing).
    shingles first; similar sets must then share a shingle in their prefixes. Any order gives the same links: the
    sketch only keeps passages that many documents share out of the prefixes.
 2. Equal sets collapse into a class, and classes with identical prefixes and size into a group.
-3. Groups that share a prefix shingle are paired and filtered by size and by the number of prefix shingles they
-   share. The survivors are expanded to classes and verified on whole texts.
+3. Groups that share a prefix shingle are paired and filtered by size, by the number of prefix shingles they
+   share and by how many bits of their parity bitmaps differ. The survivors are expanded to classes and verified on
+   whole texts.
 4. Since components are asked for, a large family is not paired with itself: first every group is verified against one
    representative of each prefix shingle (and every class against its group's), for a few rounds with other
    representatives; then all pairs that still lie in different components are verified, none left out.
@@ -35,7 +36,7 @@ from .textarrays import LOWER, Rolling, mix, shingles, texts, words
 SKETCH_BITS = 21
 CHUNKS = 64
 ROUNDS = 2
-#: 64-bit words of a prefix's bitmap, which bounds how many shingles two prefixes share.
+#: 64-bit words of a set's parity bitmap: two sets differ in at least as many shingles as their bitmaps differ in bits.
 BITMAP_WORDS = 8
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 
@@ -102,7 +103,8 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
 
         def step(piece: pa.RecordBatch) -> list:
             sizes, sets, groups, prefixes = [], [], [], []
-            bitmaps = np.zeros((piece.num_rows, BITMAP_WORDS * 64), dtype=np.uint8)
+            bits = BITMAP_WORDS * 64
+            bitmaps = np.zeros((piece.num_rows, bits), dtype=np.uint8)
             for s in shingle_sets(piece, text, k):
                 n = len(s)
                 sizes.append(n)
@@ -116,7 +118,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
                 p = prefix_length(n, num, den)
                 order = np.lexsort((s, level))[:p]
                 prefix = s[order].view(np.int64)
-                bitmaps[len(sizes) - 1, (prefix.view(np.uint64) % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = 1
+                bitmaps[len(sizes) - 1] = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                 # sums of mixed hashes name a set, whatever its order
                 sets.append(int(mix(mix(s ^ np.uint64(1)).sum(keepdims=True)).view(np.int64)[0]))
                 groups.append(int(mix(mix(prefix.view(np.uint64) ^ np.uint64(2)).sum(keepdims=True) + np.uint64(n)).view(np.int64)[0]))
@@ -147,12 +149,10 @@ def may_link(n_a: Column, n_b: Column, shared: Column, num: int, den: int) -> Co
     return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (shared + F.greatest(rest(n_a), rest(n_b)) >= least_overlap(n_a, n_b, num, den))
 
 
-def most_shared(a: str, b: str, n_a: Column, n_b: Column, num: int, den: int) -> Column:
-    """An upper bound of the prefix shingles that two sets share: common bits, and those that may hide behind one bit."""
-    bits = lambda f: sum((F.bit_count(f(c)).cast("long") for c in BITMAP), F.lit(0))
-    size = lambda n: n - F.ceil(n * num / den) + 1  # noqa: E731  of the prefix
-    hidden = F.least(size(n_a) - bits(lambda c: F.col(a + c)), size(n_b) - bits(lambda c: F.col(b + c)))
-    return bits(lambda c: F.col(a + c).bitwiseAND(F.col(b + c))) + hidden
+def may_be_equal_enough(a: str, b: str, n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    """What the parity bitmaps allow: a shingle of one set alone flips one bit, so differing bits are at most the differing shingles."""
+    differ = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))).cast("long") for c in BITMAP), F.lit(0))
+    return differ <= n_a + n_b - least_overlap(n_a, n_b, num, den) * 2
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -202,14 +202,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     shared = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
     tokens = stored(tokens.join(shared, "token").drop("uses"), "tokens")
     label = stored(classes.select(F.col("class").alias("node"), F.col("class").alias("root")), "labels")
-    prefixes = classes.select("class", "n", "prefix")
+    prefixes = classes.select("class", "n", "prefix", *BITMAP)
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs of classes that sizes and shared prefix shingles allow."""
-        a = prefixes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a"))
-        b = prefixes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b"))
-        both = pairs.join(a, "a").join(b, "b")
-        return both.where(may_link(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("p_a", "p_b")), num, den)).select("a", "b")
+        side = lambda x: prefixes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"), *[F.col(c).alias(f"{x}_{c}") for c in BITMAP])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        alike = may_be_equal_enough("a_", "b_", F.col("n_a"), F.col("n_b"), num, den)
+        return both.where(alike & may_link(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("p_a", "p_b")), num, den)).select("a", "b")
 
     def look_at(pairs: DataFrame, tag: str) -> None:
         """Verify pairs and merge the components that they link; the new links join roots, so their graph shrinks from round to round."""
@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         (F.col("root") != F.col("root_x"))
         & (F.col("pos") <= F.col("n") - needed)
         & (F.col("pos_x") <= F.col("n_x") - needed)
-        & may_link(F.col("n"), F.col("n_x"), most_shared("", "x_", F.col("n"), F.col("n_x"), num, den), num, den)
+        & (F.least("n", "n_x") * den >= F.greatest("n", "n_x") * num)
+        & may_be_equal_enough("", "x_", F.col("n"), F.col("n_x"), num, den)
     )
     look_at(rest.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct(), "rest")
 
