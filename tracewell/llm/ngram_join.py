@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("set_hash").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("group_hash").alias("group"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in BITMAP])
     classes = stored(classes.withColumnRenamed("set_hash", "class"), "classes")
-    members = classes.select("class", "group", "n", *BITMAP)
+    members = classes.select("class", "group", "n")
     groups = stored(classes.groupBy("group").agg(F.min("class").alias("lead"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size")), "groups")
     tokens = groups.select("group", "lead", "n", F.posexplode("prefix").alias("pos", "token"))
     # only shingles in two or more prefixes can pair groups
@@ -239,11 +239,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
     # all other pairs: of groups with a common prefix shingle, and within groups, in different components
     by_class = members.join(label.select(F.col("node").alias("class"), "root"), "class")
-    keys = tokens.select("token", "pos", "group").join(by_class, "group").select("token", "pos", "n", "class", "root", *BITMAP)
-    within = by_class.join(groups.where("size > 1").select("group"), "group").select(F.col("group").alias("token"), F.lit(0).alias("pos"), "n", "class", "root", *BITMAP)
+    keys = tokens.select("token", "pos", "group").join(by_class, "group").select("token", "pos", "n", "class", "root")
+    within = by_class.join(groups.where("size > 1").select("group"), "group").select(F.col("group").alias("token"), F.lit(0).alias("pos"), "n", "class", "root")
     keys = stored(keys.union(within), "keys")
     main = keys.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    keys = keys.join(main, "token")
+    # bitmaps join only what still meets another component
+    keys = keys.join(main, "token").join(classes.select("class", *BITMAP), "class")
     light = keys.where("root <> main").select("token", F.col("class").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), *[F.col(c).alias(f"x_{c}") for c in BITMAP])
     # the first common shingle of a pair that links stands so far in front in both sets that all it needs can follow
     needed = least_overlap(F.col("n"), F.col("n_x"), num, den)
