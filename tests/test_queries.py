@@ -43,3 +43,22 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_greedy_pairs(spark):
+    import random
+
+    from tracewell.operators.graphs import greedy_pairs
+
+    rng = random.Random(3)
+    rows = [(a, b, float(rng.randrange(6))) for a in range(12) for b in range(9) if rng.random() < 0.7]
+    used_a, used_b, want = set(), set(), set()
+    for a, b, score in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.add((a, b, score))
+    schema = "a int, b int, score double"
+    assert {tuple(r) for r in greedy_pairs(spark.createDataFrame(rows, schema)).collect()} == want
+    assert greedy_pairs(spark.createDataFrame([], schema)).count() == 0
+    assert greedy_pairs(spark.createDataFrame([(None, 1, 1.0), (1, 1, None)], schema)).count() == 0

@@ -47,3 +47,9 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 def ratio(top: Column, bottom: Column, digits: int = 4) -> Column:
     """A share; nothing out of nothing is 1."""
     return F.when(bottom == 0, 1.0).otherwise(F.round(top / bottom, digits))
+
+
+def csv_cell(c: Column) -> Column:
+    """A cell of a CSV line: quoted if it holds a comma, a quote or a line break, quotes doubled; null is empty."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)

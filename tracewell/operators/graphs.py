@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int, both_ways: bool = False) -> DataFrame:
     """(root, node, depth): what is reachable from each root, at its least depth; the root itself at 0.
@@ -39,3 +41,60 @@ def paths(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int) -> Data
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``."""
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+
+
+def reach_named(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(root, path, symbol, depth): reachable (path, symbol) nodes; what one symbol of a path leads to, the others lead to as well.
+
+    ``starts`` has (root, path, symbol), ``edges`` has (from_path, to_path, to_symbol). A null symbol stands for the path as a whole.
+    """
+    step = cut(edges.select("from_path", "to_path", "to_symbol").distinct())
+    seen = cut(starts.select("root", "path", "symbol").distinct().withColumn("depth", F.lit(0)))
+    front = seen
+    for level in range(1, depth + 1):
+        # nodes of one path share their edges: one row for each path is enough
+        fresh = front.select("root", "path").distinct().join(step, F.col("path") == F.col("from_path")).select("root", F.col("to_path").alias("path"), F.col("to_symbol").alias("symbol")).distinct()
+        known = seen.select(F.col("root").alias("r"), F.col("path").alias("p"), F.col("symbol").alias("s"))
+        fresh = fresh.join(known, (F.col("root") == F.col("r")) & (F.col("path") == F.col("p")) & F.col("symbol").eqNullSafe(F.col("s")), "left_anti").withColumn("depth", F.lit(level))
+        fresh = cut(fresh)
+        seen, front = seen.unionByName(fresh), fresh
+    return seen
+
+
+def reach_capped(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int, limit: int) -> DataFrame:
+    """(root, node, depth, pos): the first ``limit`` nodes in breadth-first order, over the ``fan_out`` best edges of each node.
+
+    ``edges`` has (a, b, rank), with distinct ranks for each a. The limit is what is asked for: a root holds at most
+    limit * fan_out candidates a level.
+    """
+    from .rows import first_rows
+
+    step = cut(first_rows(edges, ["a"], [F.col("rank")], fan_out).select("a", "b", "rank"))
+    seen = cut(starts.select(F.col("node").alias("root"), "node").distinct().withColumns({"depth": F.lit(0), "pos": F.lit(1)}))
+    front = seen
+    for level in range(1, depth + 1):
+        found = front.join(step, F.col("node") == F.col("a")).groupBy("root", F.col("b").alias("node")).agg(F.min(F.struct("pos", "rank")).alias("via"))
+        found = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        had = seen.groupBy("root").agg(F.max("pos").alias("had"))
+        placed = found.join(had, "root").withColumn("pos", (F.col("had") + F.row_number().over(Window.partitionBy("root").orderBy("via"))).cast("int"))
+        fresh = cut(placed.where(F.col("pos") <= limit).select("root", "node", F.lit(level).alias("depth"), "pos"))
+        seen, front = seen.unionByName(fresh), fresh
+    return seen
+
+
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, score): a one-to-one choice, best score first, ties by a and then b.
+
+    Each round takes all pairs that are the best of both their sides, which is what going through the sorted list
+    would take, and drops the rows of sides used up. Every round takes at least the best pair left. Pairs with a null
+    are left out.
+    """
+    left, taken = cut(pairs.select("a", "b", "score").dropna()), None
+    first = F.struct((-F.col("score")).alias("s"), "a", "b")
+    while not left.isEmpty():
+        of_a = left.groupBy("a").agg(F.min(first).alias("best")).select("best.a", "best.b")
+        of_b = left.groupBy("b").agg(F.min(first).alias("best")).select("best.a", "best.b")
+        now = cut(left.join(of_a.join(of_b, ["a", "b"]), ["a", "b"]).select("a", "b", "score"))
+        taken = now if taken is None else taken.unionByName(now)
+        left = cut(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("a", "b", "score"))
+    return left if taken is None else taken

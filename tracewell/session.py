@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tracewell", master: str | None = None, **settings: str) -> SparkSession:
@@ -13,3 +15,11 @@ def session(app: str = "tracewell", master: str | None = None, **settings: str)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, kept in the folder of spark.checkpoint.dir that all machines share; a folder of this machine only where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+    return df.checkpoint()
