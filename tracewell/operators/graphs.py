@@ -16,11 +16,13 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int, both_ways: bool = Fal
     step = edges.select("a", "b")
     if both_ways:
         step = step.union(edges.select("b", "a")).distinct()
-    seen = starts.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
+    step = cut(step)
+    seen = cut(starts.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for level in range(1, depth + 1):
         fresh = front.join(step, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
         fresh = fresh.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level))
+        fresh = cut(fresh)
         seen, front = seen.unionByName(fresh), fresh
     return seen
 

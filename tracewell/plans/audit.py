@@ -44,6 +44,12 @@ def q_neighbors_topk(spark: SparkSession, sf: str) -> DataFrame:
     return rows.first_rows(tables.edges(spark, sf), ["a"], [F.desc("b")], 2)
 
 
+@query()
+def q_neighbors_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The two greatest targets of each part, over all edges."""
+    return rows.first_rows(tables.all_edges(spark, sf), ["a"], [F.desc("b")], 2)
+
+
 TIMELINE_SQL = """SELECT o_custkey AS project_id, 'opened' AS kind, o_orderkey AS ref, o_orderdate AS happened FROM orders
 UNION ALL SELECT o_custkey, 'shipped', o_orderkey, s FROM orders JOIN (SELECT l_orderkey, min(l_shipdate) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
 

@@ -136,6 +136,20 @@ def q_reach_depth4(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.reach(edges.select(F.col("a").alias("node")), edges, 4)
 
 
+@query()
+def q_impact_two_hop_all(spark: SparkSession, sf: str) -> DataFrame:
+    """What is two steps away from each part in either direction, over all edges."""
+    edges = tables.all_edges(spark, sf)
+    return graphs.reach(edges.select(F.col("a").alias("node")), edges, 2, both_ways=True)
+
+
+@query()
+def q_reach_depth4_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Four steps from each part, over all edges."""
+    edges = tables.all_edges(spark, sf)
+    return graphs.reach(edges.select(F.col("a").alias("node")), edges, 4)
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM ({EDGES_SQL})) WHERE n <= 3),
 p(root, path) AS (SELECT DISTINCT a, [a] FROM e UNION ALL SELECT root, list_append(path, e.b) FROM p JOIN e ON e.a = path[len(path)] WHERE len(path) < 4 AND NOT list_contains(path, e.b)),
 k AS (SELECT root, array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM p WHERE len(path) > 1)
