@@ -3,8 +3,10 @@
 Each text gets whole counts; their ratios, as integers of a ten-thousandth, go into a mergeable
 quantile sketch for each (language, source): counts of integer buckets with 1/128 relative width,
 so that sketches of parts add up to the sketch of the whole, in any order. Fences from the sketch's
-quartiles (upper quartile plus a multiple of the spread, never below a floor) replace fixed cutoffs,
-and a join on (language, source) applies them.
+quantiles replace fixed cutoffs, and a join on (language, source) applies them: an upper quantile plus a
+multiple of its distance from the lower quartile, and for word lengths the lower quartile less as much. A least
+distance keeps a group of nearly equal values from rejecting its own; as it is added to the quantile, a fence
+moves with its group wherever that lies. Sketches hold the rows that pass the base rule, as fences judge no others.
 
 Null and empty texts count zero words and fail the base rule. Null languages and sources form groups of
 their own. Groups with fewer rows than ``least_rows`` take the fences of all rows. Ties and repeated rows
@@ -28,9 +30,11 @@ from .textarrays import Rolling, mix, texts, words
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 REPEAT_WINDOW = 8
-#: metric: (floor of the upper fence, ceiling of the lower fence or none), in ten-thousandths or hundredths of a character
-METRICS = {"symbol_rate": (1_000, None), "dup_line_rate": (3_000, None), "repeat_rate": (2_000, None), "word_length": (1_200, 250)}
-SPREADS = 6
+POINTS = {"q1": 0.25, "q3": 0.75, "q95": 0.95}
+#: metric: (upper quantile, multiple of its distance from q1, least distance of the fence, whether there is a lower one).
+#: Distances are in ten-thousandths, of word lengths in hundredths of a character. Symbols are judged from q3, as in
+#: some sources of sf0.1 over a twentieth of the texts are full of them.
+METRICS = {"symbol_rate": ("q3", 6, 500, False), "dup_line_rate": ("q95", 1, 1_500, False), "repeat_rate": ("q95", 1, 1_500, False), "word_length": ("q3", 6, 100, True)}
 LEAST_ROWS = 200
 
 
@@ -127,23 +131,21 @@ def quantiles(sketch: DataFrame, keys: list[str], points: dict[str, float]) -> D
     return run.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bucket"))).alias(name) for name, q in points.items()])
 
 
-def fences(rated: DataFrame, keys: list[str], spreads: float = SPREADS, least_rows: int = LEAST_ROWS) -> DataFrame:
+def fences(rated: DataFrame, keys: list[str], least_rows: int = LEAST_ROWS) -> DataFrame:
     """For each group one row with ``<metric>_high`` and ``<metric>_low`` and the group's row count."""
     metrics = list(METRICS)
     own = sketches(rated, keys, metrics)
     merged = own.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))  # sketches merge by adding
-    points = {"q1": 0.25, "q3": 0.75}
-    mine, all_rows = quantiles(own, keys, points), quantiles(merged, [], points)
-    all_rows = all_rows.select("metric", F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
+    mine, all_rows = quantiles(own, keys, POINTS), quantiles(merged, [], POINTS)
+    all_rows = all_rows.select("metric", *[F.col(p).alias(f"all_{p}") for p in POINTS])
     small = F.col("rows") < least_rows
-    both = mine.join(F.broadcast(all_rows), "metric").withColumns({"q1": F.when(small, F.col("all_q1")).otherwise(F.col("q1")), "q3": F.when(small, F.col("all_q3")).otherwise(F.col("q3"))})
-    spread = (F.col("q3") - F.col("q1")) * spreads
+    both = mine.join(F.broadcast(all_rows), "metric").withColumns({p: F.when(small, F.col(f"all_{p}")).otherwise(F.col(p)) for p in POINTS})
     out = []
-    for m, (floor, ceiling) in METRICS.items():
+    for m, (top, times, least, lower) in METRICS.items():
         here = F.col("metric") == m
-        out.append(F.max(F.when(here, F.greatest(F.col("q3") + spread, F.lit(floor)))).alias(f"{m}_high"))
-        low = F.least(F.col("q1") - spread, F.lit(ceiling)) if ceiling is not None else F.lit(-1)
-        out.append(F.max(F.when(here, low)).alias(f"{m}_low"))
+        distance = F.greatest((F.col(top) - F.col("q1")) * times, F.lit(least))
+        out.append(F.max(F.when(here, F.col(top) + distance)).alias(f"{m}_high"))
+        out.append(F.max(F.when(here, F.col("q1") - distance if lower else F.lit(-1))).alias(f"{m}_low"))
     return both.groupBy(*keys).agg(F.max("rows").alias("group_rows"), *out)
 
 
@@ -155,11 +157,11 @@ def judge(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), text: str
     """
     names = [f"group_{k}" for k in keys]
     rated = with_rates(text_counts(docs.withColumns(dict(zip(names, [F.col(k) for k in keys], strict=True))), text).drop(text))
-    limits = fences(rated, names)
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    limits = fences(rated.where(~base), names)
     limits = limits.select(*[F.col(n).alias(f"limit_{n}") for n in names], *[c for c in limits.columns if c not in names])
     same = [F.col(n).eqNullSafe(F.col(f"limit_{n}")) for n in names]
     joined = rated.join(limits, on=same, how="left")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.lit(True)
     for m in METRICS:
         inside = inside & (F.col(m) <= F.coalesce(f"{m}_high", F.col(m))) & (F.col(m) >= F.coalesce(f"{m}_low", F.col(m)))
