@@ -33,3 +33,15 @@ def test_fences_move_with_their_group(spark):
     rows += [(text(r, 5, symbols=n), lang, "x") for n in (14, 24, 40) for lang in ("aa", "bb")]
     got = kept(spark, rows)
     assert [got[440 + i] for i in range(6)] == [False, True, False, True, False, False]
+
+
+def test_no_row_count_flips_the_rule(spark):
+    """A rare language of long words keeps its texts however few they are; a small group leans on its language alone."""
+    r = random.Random(22)
+    rows = [(text(r, 5), "aa", "x") for _ in range(400)]
+    for lang, n in (("few", 30), ("under", 199), ("over", 200)):
+        rows += [(text(r, 30, n=40), lang, "x") for _ in range(n)]
+    rows += [(text(r, 5), "aa", "small"), (text(r, 30, n=40), "aa", "small"), (text(r, 30, n=40), None, None)]
+    got = kept(spark, rows)
+    assert [got[len(rows) - i] for i in (3, 2, 1)] == [True, False, True]
+    assert all(got[i] for i in range(len(rows) - 3))

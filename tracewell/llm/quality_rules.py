@@ -9,8 +9,9 @@ distance keeps a group of nearly equal values from rejecting its own; as it is a
 moves with its group wherever that lies. Sketches hold the rows that pass the base rule, as fences judge no others.
 
 Null and empty texts count zero words and fail the base rule. Null languages and sources form groups of
-their own. Groups with fewer rows than ``least_rows`` take the fences of all rows. Ties and repeated rows
-are judged alike, row by row.
+their own. A group's quantiles are drawn towards those of its language (the first key), with the weight of
+``prior_rows`` rows against its own: a small group leans on its language, and no row count changes the rule.
+A language is drawn to nothing. Ties and repeated rows are judged alike, row by row.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ POINTS = {"q1": 0.25, "q3": 0.75, "q95": 0.95}
 #: Distances are in ten-thousandths, of word lengths in hundredths of a character. Symbols are judged from q3, as in
 #: some sources of sf0.1 over a twentieth of the texts are full of them.
 METRICS = {"symbol_rate": ("q3", 6, 500, False), "dup_line_rate": ("q95", 1, 1_500, False), "repeat_rate": ("q95", 1, 1_500, False), "word_length": ("q3", 6, 100, True)}
-LEAST_ROWS = 200
+#: Weight of the language's quantiles in a group's, in rows.
+PRIOR_ROWS = 200
 
 
 def count_text(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -131,15 +133,16 @@ def quantiles(sketch: DataFrame, keys: list[str], points: dict[str, float]) -> D
     return run.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bucket"))).alias(name) for name, q in points.items()])
 
 
-def fences(rated: DataFrame, keys: list[str], least_rows: int = LEAST_ROWS) -> DataFrame:
+def fences(rated: DataFrame, keys: list[str], prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """For each group one row with ``<metric>_high`` and ``<metric>_low`` and the group's row count."""
     metrics = list(METRICS)
     own = sketches(rated, keys, metrics)
-    merged = own.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))  # sketches merge by adding
-    mine, all_rows = quantiles(own, keys, POINTS), quantiles(merged, [], POINTS)
-    all_rows = all_rows.select("metric", *[F.col(p).alias(f"all_{p}") for p in POINTS])
-    small = F.col("rows") < least_rows
-    both = mine.join(F.broadcast(all_rows), "metric").withColumns({p: F.when(small, F.col(f"all_{p}")).otherwise(F.col(p)) for p in POINTS})
+    first = keys[0]
+    merged = own.groupBy(first, "metric", "bucket").agg(F.sum("n").alias("n"))  # sketches merge by adding
+    mine, wide = quantiles(own, keys, POINTS), quantiles(merged, [first], POINTS)
+    wide = wide.select(F.col(first).alias("wide_key"), F.col("metric").alias("wide_metric"), *[F.col(p).alias(f"wide_{p}") for p in POINTS])
+    drawn = lambda p: (F.col("rows") * F.col(p) + prior_rows * F.col(f"wide_{p}")) / (F.col("rows") + prior_rows)
+    both = mine.join(wide, F.col(first).eqNullSafe(F.col("wide_key")) & (F.col("metric") == F.col("wide_metric"))).withColumns({p: drawn(p) for p in POINTS})
     out = []
     for m, (top, times, least, lower) in METRICS.items():
         here = F.col("metric") == m
