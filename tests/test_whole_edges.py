@@ -83,3 +83,45 @@ def test_reach_wildcard(spark, targets):
         want += [(root, path, symbol, depth) for (path, symbol), depth in seen.items()]
     got = [tuple(row[c] for c in ("root", "path", "symbol", "depth")) for row in QUERIES["q_reach_wildcard_all"](spark, SF).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def best_paths(root, step, depth, fan_out, n):
+    found, front = [], [(root,)]
+    for _ in range(depth):
+        front = [(*p, b) for p in front for b in step.get(p[-1], [])[:fan_out] if b not in p]
+        found += front
+    return sorted(found, key=lambda p: (-len(p), ">".join(map(str, p))))[:n]
+
+
+def test_paths(spark, targets):
+    got = defaultdict(list)
+    for row in QUERIES["q_paths_top2_all"](spark, SF).collect():
+        got[row.root].append(row.path)
+    assert {root: len(p) for root, p in got.items()} == dict.fromkeys(targets, 2)
+    for root in sorted(targets)[:8]:
+        assert sorted(got[root]) == sorted(">".join(map(str, p)) for p in best_paths(root, targets, 4, 24, 2))
+
+
+@pytest.mark.parametrize(("nodes", "chance"), [(14, 0.15), (14, 0.45), (120, 0.02)])
+def test_longest_paths_with_dead_ends(spark, nodes, chance):
+    import random
+
+    from tracewell.operators.graphs import longest_paths
+
+    r = random.Random(nodes)
+    rows = [(a, b) for a in range(nodes) for b in range(nodes) if a != b and r.random() < chance]
+    step = defaultdict(list)
+    for a, b in sorted(rows):
+        step[a].append(b)
+    frame = spark.createDataFrame(rows, "a long, b long")
+    got = longest_paths(frame.selectExpr("a as node"), frame, 4, 5, 2).collect()
+    want = {(root, p) for root in step for p in best_paths(root, step, 4, 5, 2)}
+    assert len(got) == len(want) and {(x.root, tuple(x.path)) for x in got} == want
+
+
+def test_lineage_runs_to_its_end(spark):
+    from tracewell.plans.catalog import lineage
+
+    rows = [("long", i) for i in range(60)] + [("gap", i) for i in (1, 2, 4, 5, 6)]
+    got = sorted(tuple(x) for x in lineage(spark.createDataFrame(rows, "conv_id string, turn long")).collect())
+    assert got == [("gap", 6, i, 6 - i) for i in (4, 5, 6)] + [("long", 59, i, 59 - i) for i in range(60)]

@@ -40,6 +40,34 @@ def paths(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int) -> Data
     return out
 
 
+def longest_paths(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int, n: int) -> DataFrame:
+    """(root, path): the first ``n`` of ``paths`` of each root, longer ones first, then by the path joined with '>'.
+
+    A node with ``depth`` targets that can be followed to the end has one that a path does not hold yet. After the
+    n-th such prefix in order no other can be among the first n, so levels stay narrow and nothing is lost.
+    The order of prefixes is that of their paths, as no name holds a '>'.
+    """
+    from .rows import first_rows
+
+    step = cut(first_rows(edges.select("a", "b").distinct(), ["a"], [F.col("b")], fan_out).select("a", "b"))
+    front = starts.select(F.col("node").alias("root"), F.array("node").alias("path")).distinct()
+    sure, kinds = None, []
+    for _ in range(depth - 1):
+        on = step if sure is None else step.join(sure.select(F.col("sure").alias("b")), "b", "left_semi")
+        sure = cut(on.groupBy(F.col("a").alias("sure")).count().where(F.col("count") >= depth).select("sure"))
+        kinds.insert(0, sure)
+    text = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    out = None
+    for level in range(1, depth + 1):
+        front = front.join(step, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b"))).select("root", F.concat("path", F.array("b")).alias("path"))
+        if level < depth:
+            known = front.join(kinds[level - 1], F.element_at("path", -1) == F.col("sure"), "left")
+            before = Window.partitionBy("root").orderBy(F.concat(text, F.lit(">"))).rowsBetween(Window.unboundedPreceding, -1)
+            front = cut(known.withColumn("before", F.coalesce(F.count("sure").over(before), F.lit(0))).where(F.col("before") < n).select("root", "path"))
+        out = front if out is None else out.unionByName(front)
+    return first_rows(out, ["root"], [F.desc(F.size("path")), text], n)
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``."""
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")

@@ -160,15 +160,27 @@ def q_paths_top2(spark: SparkSession, sf: str) -> DataFrame:
     return rows.first_rows(found, ["root"], [F.desc("hops"), F.col("path")], 2)
 
 
+@query()
+def q_paths_top2_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The two longest simple paths of up to four edges from each part, over all edges and 24 targets of a part."""
+    edges = tables.all_edges(spark, sf)
+    found = graphs.longest_paths(edges.select(F.col("a").alias("node")), edges, 4, 24, 2)
+    return found.select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).alias("hops"))
+
+
 @query("""WITH RECURSIVE l(conv_id, start, turn, depth) AS (SELECT conv_id, max(turn), max(turn), 0 FROM conversations GROUP BY conv_id
  UNION ALL SELECT l.conv_id, l.start, c.turn, l.depth + 1 FROM l JOIN conversations c ON c.conv_id = l.conv_id AND c.turn = l.turn - 1 WHERE l.depth < 20)
 SELECT DISTINCT conv_id, start AS last_turn, turn, depth::INTEGER AS depth FROM l""")
 def q_lineage(spark: SparkSession, sf: str) -> DataFrame:
     """What each conversation's last turn descends from, turn by turn; turns follow one another, so a gap ends the line."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn").distinct()
+    return lineage(table(spark, sf, "conversations"))
+
+
+def lineage(conversations: DataFrame) -> DataFrame:
+    turns = conversations.select("conv_id", "turn").distinct()
     last = Window.partitionBy("conv_id")
     numbered = turns.withColumns({"last_turn": F.max("turn").over(last), "behind": F.count("*").over(last.orderBy(F.desc("turn")))})
-    line = numbered.where((F.col("last_turn") - F.col("turn") == F.col("behind") - 1) & (F.col("behind") <= 21))
+    line = numbered.where(F.col("last_turn") - F.col("turn") == F.col("behind") - 1)
     return line.select("conv_id", "last_turn", "turn", (F.col("behind") - 1).cast("int").alias("depth"))
 
 
