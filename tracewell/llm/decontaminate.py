@@ -6,6 +6,7 @@ a 64-bit SimHash, weighted by shingle counts. Eight blocks of eight bits are loo
 which by the pigeonhole principle finds every item within 23 bits; those within ``radius`` are verified by
 the exact weighted Jaccard similarity of shingle counts (sum of minima over sum of maxima).
 Windows that share no shingle with any item have similarity 0, so leaving them out loses nothing.
+A text with fewer words than an item is its one window, with the same fingerprint, radius and exact check.
 
 A benchmark larger than one block of items is taken block by block, each a pass over all texts, so what is
 broadcast stays bounded. Null and empty texts and items match nothing; repeated items match each.
@@ -91,12 +92,18 @@ class Benchmark:
         best: dict[int, tuple[float, int, int]] = {}
         families = [(self.k, [n for n in self.by_length if n >= self.k])] + [(n, [n]) for n in self.short]
         for k, lengths in families:
-            if len(word_hashes) < k or not lengths:
+            if not len(word_hashes) or not lengths:
                 continue
-            s = shingles(word_hashes, k)
+            s = shingles(word_hashes, k)  # of fewer than k words one shingle, which is no item's of k or more
             hits = np.flatnonzero(self.met(s))
             if not len(hits):
                 continue
+            for n in lengths:
+                if n > len(word_hashes):
+                    self._look_up(s, simhash(signs(s), len(s)), np.zeros(1, dtype=np.int64), len(s), 0, n, radius, least, best, len(word_hashes))
+            lengths = [n for n in lengths if n <= len(word_hashes)]
+            if not lengths:
+                continue
             widest = max(lengths) - k + 1
             # stretches of the text that windows with a hit can reach
             cuts = np.flatnonzero(np.diff(hits) > 2 * widest)
@@ -112,10 +119,10 @@ class Benchmark:
                         continue
                     live = np.flatnonzero(mark[width:] - mark[:-width])
                     if len(live):
-                        self._look_up(part, simhash(turned, width)[live], live, width, low, n, radius, least, best)
+                        self._look_up(part, simhash(turned, width)[live], live, width, low, n, radius, least, best, n)
         return [(i, *found) for i, found in sorted(best.items())]
 
-    def _look_up(self, part, prints, at, width, low, n, radius, least, best) -> None:  # noqa: ANN001
+    def _look_up(self, part, prints, at, width, low, n, radius, least, best, length) -> None:  # noqa: ANN001
         rows, listed, offsets = self.by_length[n]
         # every block of every window opens one list of items
         entry = (prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS) + np.arange(BLOCKS) * 256).ravel()
@@ -129,7 +136,7 @@ class Benchmark:
             start = int(at[w])
             score = similarity(part[start : start + width], self.items[j][1])
             if score >= least and (j not in best or score > best[j][0]):
-                best[j] = score, low + start, n
+                best[j] = score, low + start, length
 
 
 def benchmark_passes(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> list[tuple[list[int], list[str]]]:
