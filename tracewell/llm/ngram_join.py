@@ -185,9 +185,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_key, doc_id, n_shingles, class, component_id) of every document.
+    """(row_key, doc_id, n_shingles, class, root, component_id) of every document.
 
-    ``class`` names equal sets; ``component_id`` is the smallest id reachable over links of at least num/den.
+    ``class`` names equal sets and ``root`` components, both null without words; ``component_id`` is the smallest id reachable over links of at least num/den.
     ``row_key`` is a hash of id and text, equal for rows that repeat both.
     """
     keyed = docs.select(F.xxhash64(F.col(id), F.col(text)).alias("row_key"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
@@ -259,19 +259,21 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
     least = label.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
     roots = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = label.join(roots, "root").select(F.col("node").alias("set_hash"), "component_id")
+    named = label.join(roots, "root").select(F.col("node").alias("set_hash"), "root", "component_id")
     sized = rows.select("row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
-    return sized.join(named, "set_hash", "left").select("row_key", "doc_id", "n_shingles", F.col("set_hash").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sized.join(named, "set_hash", "left").select("row_key", "doc_id", "n_shingles", F.col("set_hash").alias("class"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component stays, the one with the smallest id; the columns are the input's.
 
     Null and empty texts stand alone and stay. Of rows that repeat id and text one stays; documents with a null
-    id give way to any with one.
+    id give way to any with one, and among equal or null ids the smallest hash of id and text stays.
     """
     found = near_duplicates(docs, k, num, den, id, text)
-    drop = found.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select("row_key").distinct()
+    alike = found.where("root is not null").select("root", "doc_id", "row_key")
+    best = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("best")).select("root", F.col("best.row_key").alias("stays"))
+    drop = alike.join(best, "root").where("row_key <> stays").select("row_key").distinct()
     twice = stored(found.groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
     key = F.xxhash64(F.col(id), F.col(text))
     kept = docs.join(drop, key == drop["row_key"], "left_anti")
