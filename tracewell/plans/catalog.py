@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -297,9 +299,31 @@ def q_worker_avg(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, sha256(string_agg(doc_id || chr(9) || n_chars || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
 def q_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest of each source's lines in order of id; the lines are short, but a source's are gathered, as the digest is sequential."""
-    line = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: F.concat(x.doc_id.cast("string"), F.lit("\t"), x.n_chars.cast("string"), F.lit("\n")))
-    return table(spark, sf, "documents").groupBy("source").agg(F.sha2(F.array_join(line, ""), 256).alias("digest"))
+    """A digest of each source's lines in order of id."""
+    return digests(table(spark, sf, "documents"))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """The digest is sequential, so a task reads a source's sorted lines, but batch by batch: none is gathered."""
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.col("n_chars").cast("string"), F.lit("\n"))
+    dealt = docs.select("source", "doc_id", "n_chars").repartition("source").sortWithinPartitions("source", "doc_id", "n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda name, state: pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([state and state.hexdigest()], pa.string())], names=["source", "digest"])
+        begun, source, state = False, None, None
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or name != source:
+                    if begun:
+                        yield out(source, state)
+                    begun, source, state = True, name, None
+                if text is not None:
+                    state = state or hashlib.sha256()
+                    state.update(text.encode())
+        if begun:
+            yield out(source, state)
+
+    return dealt.select("source", line.alias("line")).mapInArrow(run, "source string, digest string")
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')
