@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, a bounded sample of its training texts.
+Each language has a raw-content zstandard dictionary, a bounded sample of its training texts: of each text at most
+``size // shares`` characters, in pieces from hashed positions all over it, so some 40 long texts fill a dictionary.
 A text is compressed with every dictionary, block by block over its whole length; the smallest
 output names the language, and the margin to the second is the score. A narrow margin marks the
 prediction as not reliable.
@@ -25,6 +26,8 @@ from .common import append_columns
 DICTIONARY_BYTES = 110 * 1024
 #: Texts taken a language for its dictionary, those with the lowest hash of their id.
 SAMPLE_TEXTS = 150
+#: A text gives at most this fraction of a dictionary, in so many pieces, one from each stretch of the text.
+SHARES, PIECES = 40, 8
 #: Compressed at once; a later block does not see the earlier ones, so the dictionary counts throughout.
 BLOCK = 4096
 LEVEL = 1
@@ -37,15 +40,20 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(FOLD).split())
 
 
-def dictionaries(training: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id", sample: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def dictionaries(training: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id", sample: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES, shares: int = SHARES) -> dict[str, bytes]:
     """A dictionary for each language; the sample is bounded a language, by window ranks that Spark limits before the shuffle."""
+    piece = max(size // shares // PIECES, 1)
+    long = F.floor(F.length(text) / PIECES)  # characters of a stretch
+    start = lambda i: i * long + F.pmod(F.xxhash64(F.col(id).cast("string"), i), long - piece + 1) + 1
+    pieces = F.concat_ws(" ", *[F.col(text).substr(start(F.lit(i)).cast("int"), F.lit(piece)) for i in range(PIECES)])
+    taken = F.when(long < piece, F.col(text)).otherwise(pieces)
     order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(id).cast("string")), F.col(id))
     rows = (
         training.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(lang, id, text)
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= sample)
-        .select(F.col(lang).alias("lang"), F.substring(text, 1, size).alias("text"), "nth")
+        .select(F.col(lang).alias("lang"), taken.alias("text"), "nth")
         .orderBy("lang", "nth")
         .toLocalIterator()
     )
@@ -55,8 +63,7 @@ def dictionaries(training: DataFrame, lang: str = "lang", text: str = "text", id
         content = plain(row["text"])
         room = size - held.get(row["lang"], 0)
         if room > 0:
-            # a share for each text, so that a few long ones do not fill it
-            parts.setdefault(row["lang"], []).append(content[: max(size // 40, 1)][:room])
+            parts.setdefault(row["lang"], []).append(content[:room])
             held[row["lang"]] = held.get(row["lang"], 0) + len(parts[row["lang"]][-1])
     return {k: b" ".join(v) for k, v in sorted(parts.items()) if b"".join(v).strip()}
 
