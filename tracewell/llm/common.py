@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on; a single longer text is one step of its own.
@@ -18,10 +20,12 @@ SLICE_BYTES = 2 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    A folder of this machine is set only where the session names none, as in local tests.
+    A folder of this machine is set only in local mode, where the session names none; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,7 +39,36 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tracewell_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "tracewell_path", None)
+        if path:
+            jvm, context = t.sparkSession._jvm, t.sparkSession.sparkContext
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: What tells rows apart: two hashes of id and text, as one of 64 bits would not do for very many rows.
+KEY = ["row_key", "row_check"]
+
+
+def row_keys(id: str, text: str) -> list[Column]:
+    """The columns of KEY; rows that repeat id and text have the same."""
+    return [F.xxhash64(F.col(id), F.col(text)).alias(KEY[0]), F.xxhash64(F.col(text), F.col(id)).alias(KEY[1])]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,19 +1,26 @@
-"""Words and rolling hashes of many UTF-8 texts at once, as numpy arrays.
+"""Words and hashes of spans of many UTF-8 texts at once, as numpy arrays.
 
 A batch of texts is one byte array with a boundary for each text; words and spans are index
-pairs into it. Hashes are 64-bit polynomial hashes with random byte values, so that the hash
-of any span follows from two prefix sums.
+pairs into it. ``span_hashes`` takes any spans, eight bytes a step; ``Rolling`` has a hash of every window of a
+text from two prefix sums, modulo the prime 2**61 - 1. Neither is fooled by texts made of one pattern, as sums of
+powers modulo 2**64 are.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+#: Drawn at random below the prime.
+_BASE = 0x0E3779B97F4A7C15 % PRIME
+_INVERSE = pow(_BASE, -1, PRIME)
+#: Spans longer than this are hashed by the library's digest.
+LONG = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,7 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
+#: 31 random bits for each byte.
+BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(33)
+#: Odd multipliers of a window's words.
+_PLACES = mix(np.arange(7, 7 + 64, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)  # the first n of eight bytes
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -62,33 +73,75 @@ def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray = WORD_BYTES
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans; the length is part of it. Spans of up to eight bytes and one length never collide."""
+    length = ends - starts
+    out = mix((length + 1).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+    if not len(starts):
+        return out
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    todo, at = np.flatnonzero((length > 0) & (length <= LONG)), 0
+    while len(todo):
+        chunk = words[starts[todo] + at].view("<u8").ravel() & _MASKS[np.minimum(length[todo] - at, 8)]
+        out[todo] = mix(out[todo] ^ chunk)
+        at += 8
+        todo = todo[length[todo] > at]
+    long = np.flatnonzero(length > LONG)
+    if len(long):
+        key = seed.to_bytes(8, "little")
+        view = memoryview(np.ascontiguousarray(data))
+        digest = [hashlib.blake2b(view[a:b], digest_size=8, key=key).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(digest), dtype="<u8")
+    return out
+
+
+_P, _LOW31, _LOW30 = U64(PRIME), U64((1 << 31) - 1), U64((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo the prime."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below it: 2**61 is 1 there, so the halves' products are shifted back in."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(U64(2) * a1 * b1 + (middle >> U64(30)) + ((middle & _LOW30) << U64(31)) + a0 * b0)
+
+
 _powers = np.ones(1, dtype=U64), np.ones(1, dtype=U64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
+    """The first n powers of the base and of its inverse, by doubling."""
     global _powers
     if len(_powers[0]) < n:
         out = []
         for b in (_BASE, _INVERSE):
-            a = np.full(n + n // 4, b, dtype=U64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
+            a = np.ones(1, dtype=U64)
+            while len(a) < n:
+                a = np.concatenate([a, times(a, U64(pow(b, len(a), PRIME)))])
+            out.append(a)
         _powers = tuple(out)
     return _powers
 
 
 class Rolling:
-    """Hashes of spans of one byte array."""
+    """Hashes of any windows of one byte array."""
 
     def __init__(self, data: np.ndarray) -> None:
-        self.power, self.inverse = powers(len(data) + 1)
+        power, self.inverse = powers(len(data) + 1)
+        terms = times(power[: len(data)], BYTE_VALUES[data])
+        high, low = np.cumsum(terms >> U64(31)), np.cumsum(terms & _LOW31)  # each below 2**62 for 2**31 bytes
         self.sums = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(BYTE_VALUES[data] * self.power[: len(data)], out=self.sums[1:])
+        self.sums[1:] = _reduced((high >> U64(30)) + ((high & _LOW30) << U64(31)) + _reduced(low))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Equal for equal bytes; the length is part of it."""
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        between = self.sums[ends] + (_P - self.sums[starts])
+        return mix(times(_reduced(between), self.inverse[starts]) + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
@@ -97,7 +150,7 @@ def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=U64)
     m = min(k, n)
-    out = np.zeros(n - m + 1, dtype=U64)
+    out = np.full(n - m + 1, U64(m) * U64(0x9E3779B97F4A7C15), dtype=U64)
     for j in range(m):
-        out = out * U64(0xA0761D6478BD642F) + word_hashes[j : n - m + 1 + j]
-    return mix(out + U64(m))
+        out += word_hashes[j : n - m + 1 + j] * _PLACES[j]
+    return mix(out)
