@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:
@@ -19,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).where("node <> other").distinct(), f"{tag}-e"
     )
     labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root"))
-    k = 0
+    k, old = 0, None
     while True:
         k += 1
         near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("r")), "other").select("node", "r")
@@ -29,5 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         jumped = best.join(best.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left").select("node", F.coalesce("lower", "low").alias("root"))
         new = stored(jumped.join(labels.withColumnRenamed("root", "was"), "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved")), f"{tag}-{k}")
         labels = new.select("node", "root")
+        forget(old)
+        old = new
         if new.where("moved").isEmpty():
+            forget(both)
             return labels

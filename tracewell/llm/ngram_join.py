@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices, stored
+from .common import KEY, append_columns, forget, row_keys, slices, stored
 from .components import components
-from .textarrays import LOWER, Rolling, mix, shingles, texts, words
+from .textarrays import LOWER, mix, shingles, span_hashes, texts, words
 
 #: Counters of the sketch: four bytes each, whatever the input's size.
 SKETCH_BITS = 21
@@ -38,6 +38,7 @@ CHUNKS = 64
 ROUNDS = 2
 #: 64-bit words of a set's parity bitmap: two sets differ in at least as many shingles as their bitmaps differ in bits.
 BITMAP_WORDS = 8
+SET = ["set_hash", "set_check"]
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -46,7 +47,7 @@ def shingle_sets(piece: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndar
     data, bounds = texts(piece.column(column))
     data = LOWER[data]
     starts, ends, first = words(data, bounds)
-    hashes = Rolling(data).spans(starts, ends)
+    hashes = span_hashes(data, starts, ends)
     for a, b in zip(first[:-1], first[1:], strict=True):
         yield np.unique(shingles(hashes[a:b], k))
 
@@ -95,14 +96,14 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """Add n_shingles, set_hash, group_hash and prefix (shingles of the set's prefix, in order) to each row; drops the text."""
+    """Add n_shingles, set_hash and set_check (128 bits that name a set), group_hash and prefix (shingles of the set's prefix, in order) to each row; drops the text."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch_counts(docs, k, text))
 
     def make() -> Callable[[pa.RecordBatch], list]:
         frequency = counts.value
 
         def step(piece: pa.RecordBatch) -> list:
-            sizes, sets, groups, prefixes = [], [], [], []
+            sizes, sets, checks, groups, prefixes = [], [], [], [], []
             bits = BITMAP_WORDS * 64
             bitmaps = np.zeros((piece.num_rows, bits), dtype=np.uint8)
             for s in shingle_sets(piece, text, k):
@@ -110,6 +111,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
                 sizes.append(n)
                 if not n:
                     sets.append(0)
+                    checks.append(0)
                     groups.append(0)
                     prefixes.append(s.view(np.int64))
                     continue
@@ -120,17 +122,18 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
                 prefix = s[order].view(np.int64)
                 bitmaps[len(sizes) - 1] = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                 # sums of mixed hashes name a set, whatever its order
-                sets.append(int(mix(mix(s ^ np.uint64(1)).sum(keepdims=True)).view(np.int64)[0]))
+                for out, salt in ((sets, 1), (checks, 3)):
+                    out.append(int(mix(mix(s ^ np.uint64(salt)).sum(keepdims=True)).view(np.int64)[0]))
                 groups.append(int(mix(mix(prefix.view(np.uint64) ^ np.uint64(2)).sum(keepdims=True) + np.uint64(n)).view(np.int64)[0]))
                 prefixes.append(prefix)
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])], pa.int32())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             packed = np.packbits(bitmaps, axis=1, bitorder="little").view("<i8")
-            return [pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), *[pa.array(packed[:, i].copy()) for i in range(BITMAP_WORDS)]]
+            return [*[pa.array(x, pa.int64()) for x in (sizes, sets, checks, groups)], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), *[pa.array(packed[:, i].copy()) for i in range(BITMAP_WORDS)]]
 
         return step
 
-    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_hash", "group_hash")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_hash", "set_check", "group_hash")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
     fields += [T.StructField(c, T.LongType()) for c in BITMAP]
     return append_columns(docs, make, fields, text).drop(text)
 
@@ -155,10 +158,10 @@ def may_be_equal_enough(a: str, b: str, n_a: Column, n_b: Column, num: int, den:
     return differ <= n_a + n_b - least_overlap(n_a, n_b, num, den) * 2
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole texts link; ``docs`` has (row_key, text)."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes whose whole texts link, and the table of texts that they are found in; ``docs`` has the keys and text."""
     needed = pairs.select("a").union(pairs.select(F.col("b"))).distinct()
-    bodies = classes.select("class", "row_key").join(needed.withColumnRenamed("a", "class"), "class", "left_semi").join(docs, "row_key").select("class", "text").dropDuplicates(["class"])
+    bodies = classes.select("class", *KEY).join(needed.withColumnRenamed("a", "class"), "class", "left_semi").join(docs, KEY).select("class", "text").dropDuplicates(["class"])
     bodies = stored(bodies, "bodies")
     both = pairs.join(bodies.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -181,22 +184,24 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
                         keep.append(den * both_have >= num * (len(merged) - both_have))
                     yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), bodies
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_key, doc_id, n_shingles, class, root, component_id) of every document.
+    """(row_key, row_check, doc_id, n_shingles, class, root, component_id) of every document.
 
-    ``class`` names equal sets and ``root`` components, both null without words; ``component_id`` is the smallest id reachable over links of at least num/den.
-    ``row_key`` is a hash of id and text, equal for rows that repeat both.
+    ``class`` numbers equal sets and ``root`` components, both null without words; ``component_id`` is the smallest id reachable over links of at least num/den.
+    ``row_key`` and ``row_check`` are hashes of id and text, equal for rows that repeat both.
     """
-    keyed = docs.select(F.xxhash64(F.col(id), F.col(text)).alias("row_key"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    keyed = docs.select(*row_keys(id, text), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(profiles(keyed, k, num, den), "profiles")
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy("set_hash").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("group_hash").alias("group"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in BITMAP])
-    classes = stored(classes.withColumnRenamed("set_hash", "class"), "classes")
+    classes = some.groupBy(*SET).agg(F.min(F.struct(*KEY)).alias("r"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("group_hash").alias("group"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in BITMAP])
+    # written, so a class keeps its number
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "*", "r.*").drop("r"), "classes")
     members = classes.select("class", "group", "n")
-    groups = stored(classes.groupBy("group").agg(F.min("class").alias("lead"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size")), "groups")
+    # by the prefix itself: should two have one hash, they stay two groups with that name, and only more is verified
+    groups = stored(classes.groupBy("group", "n", "prefix").agg(F.min("class").alias("lead"), F.count("*").alias("size")), "groups")
     tokens = groups.select("group", "lead", "n", F.posexplode("prefix").alias("pos", "token"))
     # only shingles in two or more prefixes can pair groups
     shared = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
@@ -217,13 +222,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         pairs = stored(filtered(pairs), f"{tag}-pairs")
         if pairs.isEmpty():
             return
-        links = verified(pairs, classes, keyed.select("row_key", "text"), k, num, den)
+        links, bodies = verified(pairs, classes, keyed.select(*KEY, "text"), k, num, den)
         side = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         between = stored(links.join(side("a"), "a").join(side("b"), "b").select("root_a", "root_b").where("root_a <> root_b").distinct(), f"{tag}-links")
+        forget(pairs, bodies)
         if between.isEmpty():
             return
         roots = components(between, "root_a", "root_b", "links").select(F.col("node").alias("old"), F.col("root").alias("new"))
+        before = label
         label = stored(label.join(roots, label["root"] == roots["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
+        forget(before, between)
 
     # rounds with representatives: stars instead of all pairs of a family
     for i in range(ROUNDS):
@@ -240,8 +248,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     # all other pairs: of groups with a common prefix shingle, and within groups, in different components
     by_class = members.join(label.select(F.col("node").alias("class"), "root"), "class")
     keys = tokens.select("token", "pos", "group").join(by_class, "group").select("token", "pos", "n", "class", "root")
-    within = by_class.join(groups.where("size > 1").select("group"), "group").select(F.col("group").alias("token"), F.lit(0).alias("pos"), "n", "class", "root")
-    keys = stored(keys.union(within), "keys")
+    within = by_class.join(groups.where("size > 1").select("group").distinct(), "group").select(F.col("group").alias("token"), F.lit(0).alias("pos"), "n", "class", "root")
+    all_keys = keys = stored(keys.union(within), "keys")
     main = keys.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
     # bitmaps join only what still meets another component
     keys = keys.join(main, "token").join(classes.select("class", *BITMAP), "class")
@@ -257,11 +265,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     )
     look_at(rest.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct(), "rest")
 
-    least = label.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
+    least = label.join(classes.select(F.col("class").alias("node"), "least_id", *SET), "node")
     roots = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = label.join(roots, "root").select(F.col("node").alias("set_hash"), "root", "component_id")
-    sized = rows.select("row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
-    return sized.join(named, "set_hash", "left").select("row_key", "doc_id", "n_shingles", F.col("set_hash").alias("class"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = stored(least.join(roots, "root").select(*SET, F.col("node").alias("class"), "root", "component_id"), "named")
+    forget(groups, tokens, all_keys)
+    sized = rows.select(*KEY, "doc_id", "n_shingles", *[F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in SET])
+    return sized.join(named, SET, "left").select(*KEY, "doc_id", "n_shingles", "class", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,13 +280,13 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str
     id give way to any with one, and among equal or null ids the smallest hash of id and text stays.
     """
     found = near_duplicates(docs, k, num, den, id, text)
-    alike = found.where("root is not null").select("root", "doc_id", "row_key")
-    best = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("best")).select("root", F.col("best.row_key").alias("stays"))
-    drop = alike.join(best, "root").where("row_key <> stays").select("row_key").distinct()
-    twice = stored(found.groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
-    key = F.xxhash64(F.col(id), F.col(text))
-    kept = docs.join(drop, key == drop["row_key"], "left_anti")
+    alike = found.where("root is not null").select("root", "doc_id", *KEY)
+    best = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *KEY)).alias("best")).select("root", *[F.col(f"best.{c}").alias(f"stays_{c}") for c in KEY])
+    drop = alike.join(best, "root").where(" or ".join(f"{c} <> stays_{c}" for c in KEY)).select(*KEY).distinct()
+    twice = stored(found.groupBy(*KEY).count().where("count > 1").select(*KEY), "twice")
+    same = lambda other: [k == other[c] for k, c in zip(row_keys(id, text), KEY, strict=True)]
+    kept = docs.join(drop, same(drop), "left_anti")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, key == twice["row_key"], "left_semi").dropDuplicates([id, text])
-    return kept.join(twice, key == twice["row_key"], "left_anti").unionByName(again)
+    again = kept.join(twice, same(twice), "left_semi").dropDuplicates([id, text])
+    return kept.join(twice, same(twice), "left_anti").unionByName(again)
