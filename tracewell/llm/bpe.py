@@ -11,8 +11,9 @@ Null and empty texts have no ids. Special tokens do not exist here: their string
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import append_columns
-from .textarrays import Rolling, texts
+from .textarrays import span_hashes, texts
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Code points with the White_Space property, and the endings split off after an apostrophe.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
-SLICE = 3 << 20
-#: Pieces that a worker remembers before it starts over.
-REMEMBERED = 2_000_000
+SLICE = 2 << 20
+#: Bytes of memory for pieces, of at most LONGEST bytes each, that a worker remembers before it starts over.
+REMEMBERED, LONGEST = 32 << 20, 64
 
 _classes: np.ndarray | None = None
 
@@ -61,7 +62,7 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     head = (data & 0xC0) != 0x80
-    at = np.flatnonzero(head)  # byte offset of each character
+    at = np.flatnonzero(head).astype(np.int32)  # byte offset of each character
     raw = data.tobytes()
     if len(at) == n:
         points = data.astype(np.uint32)
@@ -126,91 +127,143 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, token), dtype=np.int64, count=size)
         self.offsets = np.r_[0, np.cumsum(self.lengths)]
         self.flat = np.frombuffer(b"".join(token), dtype=np.uint8)
-        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
-        keys, made = [], []
-        for t, r in self.rank.items():
-            for i in range(1, len(t)):
-                left, right = self.rank.get(t[:i]), self.rank.get(t[i:])
-                if left is not None and right is not None:
-                    keys.append(left << 32 | right)
-                    made.append(r)
-        order = np.argsort(np.array(keys, dtype=np.int64))
-        self.keys, self.made = np.array(keys, dtype=np.int64)[order], np.array(made, dtype=np.int64)[order]
-
-    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank that each pair makes, -1 for none."""
-        key = left << 32 | right
-        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[i] == key, self.made[i], -1)
+        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
+        pairs = np.fromiter((x for t, r in self.rank.items() for x in self._splits(t, r)), dtype=np.int32).reshape(-1, 3)
+        left, right, made = pairs.T
+        # tokens that are part of one of a lower rank: making one may call for another merge first
+        self.early = np.zeros(size, dtype=bool)
+        self.early[left[made < left]] = self.early[right[made < right]] = True
+        self.twin = np.full(size, -1, dtype=np.int32)  # what a token makes with itself
+        self.twin[left[left == right]] = made[left == right]
+        # for each token the partners behind it and in front of it, sorted, and what it makes with them
+        self.behind, self.front = self._partners(left, right, made, size), self._partners(right, left, made, size)
+        of_bytes = np.full((size, 1), 256)
+        of_bytes[self.byte, 0] = np.arange(256)
+        self.first = np.full((257, 257), -1, dtype=np.int32)
+        self.first[of_bytes[left, 0], of_bytes[right, 0]] = made
+        self.first[256], self.first[:, 256] = -1, -1
+
+    @staticmethod
+    def _partners(of: np.ndarray, partner: np.ndarray, made: np.ndarray, size: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        order = np.lexsort((partner, of))
+        return np.searchsorted(of[order], np.arange(size + 1)).tolist(), partner[order].copy(), made[order].copy()
+
+    def _splits(self, t: bytes, r: int) -> Iterator[int]:
+        """Left and right of each pair of tokens that makes a token, and its rank."""
+        for i in range(1, len(t)):
+            left, right = self.rank.get(t[:i]), self.rank.get(t[i:])
+            if left is not None and right is not None:
+                yield from (left, right, r)
+
+    @staticmethod
+    def made_with(table: tuple[list[int], np.ndarray, np.ndarray], r: int, others: np.ndarray) -> np.ndarray | None:
+        """What token r makes with each of the others, -1 for nothing; None if it makes nothing at all."""
+        a, b = table[0][r], table[0][r + 1]
+        if a == b:
+            return None
+        partner = table[1][a:b]
+        i = np.minimum(np.searchsorted(partner, others), b - a - 1)
+        return np.where(partner[i] == others, table[2][a:b][i], np.int32(-1))
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words on end, and each word's first.
 
-        Positions are merged in rank order over all words. Where a merge makes a pair of a lower rank,
-        the rest of that word's positions waits until that pair is done.
+        Ranks are taken in order, each at all its positions at once; of positions that overlap (a a a) every second
+        one from the left. Where a merge makes a pair of a lower rank, only the word's first position is merged
+        and the others wait until that pair is done.
         """
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lengths)
         n = int(ends[-1]) if len(words) else 0
-        token = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        token = self.byte[data]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - lengths] = -1
-        rank = np.full(n, -1, dtype=np.int64)  # of the pair that starts at a position
+        rank = np.full(n, -1, dtype=np.int32)  # of the pair that starts at a position
         paired = np.flatnonzero(after >= 0)
-        rank[paired] = self.pair_rank(token[paired], token[after[paired]])
+        rank[paired] = self.first[data[paired], data[paired + 1]]
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
-        def enter(positions: np.ndarray, ranks: np.ndarray) -> None:
-            keep = ranks >= 0
-            positions, ranks = positions[keep], ranks[keep]
+        def enter(positions: np.ndarray) -> None:
+            """File positions under their pairs' ranks."""
+            positions = positions[rank[positions] >= 0]
+            if not len(positions):
+                return
+            ranks = rank[positions]
             order = np.argsort(ranks, kind="stable")
             positions, ranks = positions[order], ranks[order]
-            edges = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else ()
-            for r, part in zip(ranks[edges].tolist() if len(ranks) else (), np.split(positions, edges[1:]) if len(ranks) else (), strict=True):
-                if r not in index:
-                    index[r] = []
+            edges = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                r = int(ranks[a])
+                if r in index:
+                    index[r].append(positions[a:b])
+                else:
+                    index[r] = [positions[a:b]]
                     heapq.heappush(queue, r)
-                index[r].append(part)
 
-        enter(paired, rank[paired])
+        enter(paired)
         while queue:
             r = heapq.heappop(queue)
             parts = index.pop(r)
-            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            at = at[rank[at] == r]
-            while len(at):
-                # overlapping positions (a a a): the left one goes first, its neighbour is checked again
-                clash = np.zeros(len(at), dtype=bool)
-                if len(at) > 1:
-                    clash[1:] = word[at[1:]] == word[at[:-1]]
-                now, later = at[~clash], at[clash]
-                right = after[now]
-                beyond = after[right]
-                token[now] = r
-                after[now] = beyond
-                some = beyond >= 0
-                before[beyond[some]] = now[some]
-                rank[right] = -1
-                token[right] = -1
-                rank[now] = -1
-                rank[now[some]] = self.pair_rank(token[now[some]], token[beyond[some]])
-                left = before[now]
-                has_left = left >= 0
-                rank[left[has_left]] = self.pair_rank(token[left[has_left]], token[now[has_left]])
-                touched = np.concatenate([now[some], left[has_left]])
-                enter(touched, rank[touched])
-                if not len(later):
-                    break
-                lower = touched[(rank[touched] >= 0) & (rank[touched] < r)]
-                if len(lower):
-                    wait = np.isin(word[later], word[lower])
-                    if wait.any():
-                        enter(later[wait], rank[later[wait]])
-                        later = later[~wait]
-                at = later[rank[later] == r]
+            at = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            at = np.sort(at[rank[at] == r])
+            if not len(at):
+                continue
+            fresh = at[1:] != at[:-1]
+            if not fresh.all():
+                at = at[np.r_[True, fresh]]
+            # a position overlaps the one before it if that one's right half is its own left half
+            follows = after[at[:-1]] == at[1:]
+            now = at
+            if follows.any():
+                follows = np.r_[False, follows]
+                head = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+                now = at[(np.arange(len(at)) - head) % 2 == 0]
+            right, left = after[now], before[now]
+            beyond = after[right]
+            # ranks of the pairs with the neighbours; -1 is no token, and nobody's partner
+            behind = self.made_with(self.behind, r, np.where(beyond < 0, -1, token[beyond]))
+            front = self.made_with(self.front, r, np.where(left < 0, -1, token[left]))
+            twin = int(self.twin[r])
+            if self.early[r] and (behind is not None or front is not None):
+                low = np.zeros(len(now), dtype=bool)
+                for got in (behind, front):
+                    if got is not None:
+                        low |= (got >= 0) & (got < r)
+                if 0 <= twin < r:
+                    low[:-1] |= beyond[:-1] == now[1:]
+                if low.any():  # those words merge their first position alone; the others wait behind what is lower
+                    held = np.isin(word[now], word[now[low]])
+                    keep = ~held
+                    keep[np.flatnonzero(held)[np.unique(word[now[held]], return_index=True)[1]]] = True
+                    enter(np.setdiff1d(at[np.isin(word[at], word[now[held]])], now[keep]))
+                    now, right, left, beyond = now[keep], right[keep], left[keep], beyond[keep]
+                    behind, front = (None if x is None else x[keep] for x in (behind, front))
+            beside = np.flatnonzero(beyond[:-1] == now[1:])  # merged positions side by side
+            if len(beside):
+                if behind is not None:
+                    behind[beside] = twin
+                if front is not None:
+                    front[beside + 1] = twin
+                left[beside + 1] = now[beside]
+            token[now] = r
+            token[right] = -1
+            rank[right] = -1
+            after[now] = beyond
+            some = beyond >= 0
+            before[beyond[some]] = now[some]
+            before_it = left >= 0
+            left = left[before_it]
+            rank[left] = -1 if front is None else front[before_it]
+            rank[now] = -1 if behind is None else behind
+            if len(beside):
+                rank[now[beside]] = twin
+            touched = [x for x, got in ((now, behind), (left, front)) if got is not None]
+            if touched:
+                enter(np.concatenate(touched))
         alive = token >= 0
         return token[alive].astype(np.uint32), np.r_[0, np.cumsum(np.bincount(word[alive], minlength=len(words)))]
 
@@ -223,53 +276,111 @@ def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np
     return flat[np.repeat(offsets[which] - (ends - lengths), lengths) + np.arange(total)], np.r_[0, ends]
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of one byte array has the bytes of its partner in another."""
+    out = ends - starts == other_ends - other_starts
+    length = np.where(out, ends - starts, 0).astype(np.int64)
+    before = np.cumsum(length) - length
+    offset = np.arange(int(length.sum())) - np.repeat(before, length)
+    differ = np.flatnonzero(data[np.repeat(starts, length) + offset] != other[np.repeat(other_starts, length) + offset])
+    out[np.searchsorted(before + length, differ, side="right")] = False
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An example of each distinct piece, which of them each piece is, the pieces' ends and the distinct hashes, in order.
+
+    Hashes of pieces of one length are exact up to eight bytes; longer pieces are compared with their examples, and
+    should two differ, they are told apart by their bytes and get hashes of their own.
+    """
+    ends = np.r_[starts[1:], len(data)].astype(starts.dtype)
+    hashes, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    long = np.flatnonzero((ends - starts > 8) & (example[which] != np.arange(len(starts))))
+    other = example[which[long]]
+    if not equal_spans(data, starts[long], ends[long], data, starts[other], ends[other]).all():
+        raw = data.tobytes()
+        own: dict[bytes, int] = {}
+        digest = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8, person=b"apart").digest(), "little")
+        apart = np.fromiter((own.setdefault(x, digest(x)) for x in (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))), dtype=np.uint64, count=len(starts))
+        hashes, example, which = np.unique(apart, return_index=True, return_inverse=True)
+    return example, which, ends, hashes
+
+
 class Encoder:
-    """Encodes slices of texts; remembers the pieces it has met."""
+    """Encodes slices of texts; remembers the ids of pieces that it has met."""
 
     def __init__(self, content: bytes, remembered: int = REMEMBERED) -> None:
         self.vocabulary, self.remembered = Vocabulary(content), remembered
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)  # hashes of pieces, sorted
-        self.place = np.zeros(0, dtype=np.int64)
-        self.ids, self.offsets = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        known = self.vocabulary.rank
-        whole = [known.get(w) for w in words]
-        todo = [i for i, r in enumerate(whole) if r is None]
-        ids, offsets = self.vocabulary.replay([words[i] for i in todo]) if todo else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        # pieces that are tokens come first, then the replayed ones
-        tokens = np.array([r for r in whole if r is not None], dtype=np.uint32)
-        order = np.array([i for i, r in enumerate(whole) if r is not None] + todo, dtype=np.int64)
-        base, size = len(self.offsets) - 1, len(self.ids)
-        self.ids = np.concatenate([self.ids, tokens, ids])
-        self.offsets = np.concatenate([self.offsets, size + np.arange(1, len(tokens) + 1), size + len(tokens) + offsets[1:]])
-        known = np.concatenate([self.known, hashes[order]])
-        place = np.concatenate([self.place, base + np.arange(len(words))])
-        by = np.argsort(known, kind="stable")  # merges the sorted runs in linear time
-        self.known, self.place = known[by], place[by]
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of pieces, sorted, and where they are
+        self.ids, self.id_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # their bytes
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words on end, and each word's first: tokens have their own, others are replayed."""
+        rank = self.vocabulary.rank
+        whole = np.fromiter((rank.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        todo = np.flatnonzero(whole < 0)
+        ids, first = self.vocabulary.replay([words[i] for i in todo.tolist()])
+        counts = np.ones(len(words), dtype=np.int64)
+        counts[todo] = np.diff(first)
+        out = np.empty(int(counts.sum()), dtype=np.uint32)
+        single = np.repeat(whole >= 0, counts)
+        out[single], out[~single] = whole[whole >= 0], ids
+        return out, np.r_[0, np.cumsum(counts)]
+
+    def learn(self, hashes: np.ndarray, words: list[bytes], ids: np.ndarray, first: np.ndarray) -> None:
+        """Remember pieces with their ids."""
+        base = len(self.id_ends) - 1
+        self.id_ends = np.r_[self.id_ends, len(self.ids) + first[1:]]
+        self.ids = np.r_[self.ids, ids]
+        self.ends = np.r_[self.ends, len(self.flat) + np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))]
+        self.flat = np.r_[self.flat, np.frombuffer(b"".join(words), dtype=np.uint8)]
+        known = np.r_[self.known, hashes]
+        by = np.argsort(known, kind="stable")  # merges two sorted runs in linear time
+        self.known, self.place = known[by], np.r_[self.place, np.arange(base, base + len(words), dtype=np.int32)][by]
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.known, self.place, self.ids, self.id_ends, self.flat, self.ends))
+
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces on end, and each one's first; what is not known, byte for byte, is looked up and learnt."""
+        i = np.searchsorted(self.known, hashes)
+        found = i < len(self.known)
+        found[found] = self.known[i[found]] == hashes[found]
+        here = np.flatnonzero(found)
+        at = self.place[i[here]]
+        same = equal_spans(data, starts[here], ends[here], self.flat, self.ends[at], self.ends[at + 1])
+        new = np.ones(len(hashes), dtype=bool)
+        new[here[same]] = False
+        at = at[same]
+        fresh = np.flatnonzero(new)
+        raw = data.tobytes() if len(fresh) else b""
+        words = [raw[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+        ids, first = self.ids_of(words)
+        counts = np.empty(len(hashes), dtype=np.int64)
+        counts[new], counts[~new] = np.diff(first), self.id_ends[at + 1] - self.id_ends[at]
+        out = np.empty(int(counts.sum()), dtype=np.uint32)
+        own = np.repeat(new, counts)
+        out[own], out[~own] = ids, gather(self.ids, self.id_ends, at)[0]
+        keep = np.flatnonzero(((ends - starts)[fresh] <= LONGEST) & ~found[fresh])
+        if len(keep):
+            kept_ids, kept_first = gather(ids, first, keep)
+            self.learn(hashes[fresh[keep]], [words[j] for j in keep.tolist()], kept_ids, kept_first)
+            if self.size() > self.remembered:
+                self.forget()
+        return out, np.r_[0, np.cumsum(counts)]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end (uint32), and each text's first."""
         starts, first = pieces(data, bounds)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        ends = np.r_[starts[1:], len(data)]
-        hashes = Rolling(data).spans(starts, ends)
-        unique, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > self.remembered:
-            self.forget()
-        i = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), dtype=bool)
-        inside = i < len(self.known)
-        new[inside] = self.known[i[inside]] != unique[inside]
-        if new.any():
-            raw, at = data.tobytes(), example[new]
-            self.learn(unique[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            i = np.searchsorted(self.known, unique)
-        ids, begins = gather(self.ids, self.offsets, self.place[i][which])
+        example, which, ends, hashes = distinct_spans(data, starts)
+        ids, offsets = self.look_up(data, starts[example], ends[example], hashes)
+        ids, begins = gather(ids, offsets, which)
         return ids, begins[first]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
