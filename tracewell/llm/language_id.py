@@ -12,10 +12,10 @@ alphabetical order. Without training rows every text gets ``und``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +30,9 @@ SAMPLE_TEXTS = 150
 SHARES, PIECES = 40, 8
 #: Compressed at once; a later block does not see the earlier ones, so the dictionary counts throughout.
 BLOCK = 4096
-LEVEL = 1
-LETTER = re.compile(r"[^\W\d_]")
+#: Level 1 finds too few short matches: it takes English for other languages.
+LEVEL = 6
+LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become blanks: punctuation and digits say nothing of the language.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
