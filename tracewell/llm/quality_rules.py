@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
-from .textarrays import Rolling, mix, texts, words
+from .common import append_columns, stored, unused
+from .textarrays import mix, shingles, span_hashes, texts, words
 
 #: The symbol characters counted.
 SYMBOLS = b"#*$%&|<>"
@@ -52,8 +52,7 @@ def count_text(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     marks[list(SYMBOLS)] = True
     symbols = np.r_[0, np.cumsum(marks[data])]
     out["n_symbols"] = symbols[bounds[1:]] - symbols[bounds[:-1]]
-    rolling = Rolling(data)
-    hashes = rolling.spans(starts, ends)
+    hashes = span_hashes(data, starts, ends)
     text_of = np.repeat(np.arange(n), out["n_words"])
     # lines with a word, keyed by text
     breaks = np.flatnonzero(data == 10)
@@ -65,18 +64,16 @@ def count_text(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     closes = closes - ((closes > opens) & (data[np.maximum(closes - 1, 0)] == 10)) if len(opens) else closes
     has_word = np.searchsorted(starts, closes) > np.searchsorted(ends, opens, side="right")
     opens, closes, owner = opens[has_word], closes[has_word], owner[has_word]
-    key = mix(rolling.spans(opens, closes) + mix(owner.astype(np.uint64)))
+    key = mix(span_hashes(data, opens, closes) + mix(owner.astype(np.uint64)))
     _, index = np.unique(key, return_index=True)
     out["n_dup_lines"] = np.bincount(owner, minlength=n) - np.bincount(owner[index], minlength=n)
     # words in windows found twice or more in their text
     k, covered = REPEAT_WINDOW, np.zeros(len(starts) + 1, dtype=np.int64)
     if len(starts) >= k:
-        window = np.zeros(len(starts) - k + 1, dtype=np.uint64)
-        for j in range(k):
-            window = window * np.uint64(0xA0761D6478BD642F) + hashes[j : len(window) + j]
+        window = shingles(hashes, k)
         whole = text_of[: len(window)] == text_of[k - 1 :]
         at = np.flatnonzero(whole)
-        _, inverse, times = np.unique(mix(window[at] + mix(text_of[at].astype(np.uint64))), return_inverse=True, return_counts=True)
+        _, inverse, times = np.unique(mix(window[at] + mix(text_of[at].astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
         twice = at[times[inverse] > 1]
         np.add.at(covered, twice, 1)
         np.subtract.at(covered, twice + k, 1)
@@ -155,17 +152,17 @@ def fences(rated: DataFrame, keys: list[str], prior_rows: int = PRIOR_ROWS) -> D
 def judge(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), text: str = "text") -> DataFrame:
     """Counts, metrics, ``base_failed`` and ``kept`` of every row; the text is left out.
 
-    The counted rows are used twice, for the sketches and for the verdicts; they are narrow, and computing
-    them again costs less than the texts' shuffle would.
+    Input columns with the names of counts, metrics or verdicts are replaced; all others stay. Texts are read
+    once: the counted rows, which are narrow, are written and used for the sketches and for the verdicts.
     """
-    names = [f"group_{k}" for k in keys]
-    rated = with_rates(text_counts(docs.withColumns(dict(zip(names, [F.col(k) for k in keys], strict=True))), text).drop(text))
+    names = [unused(docs, f"tracewell_group_{i}") for i in range(len(keys))]
+    named = docs.withColumns(dict(zip(names, [F.col(k) for k in keys], strict=True)))
+    rated = stored(with_rates(text_counts(named.drop(*METRICS, "base_failed", "kept"), text).drop(text)), "counted")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     limits = fences(rated.where(~base), names)
-    limits = limits.select(*[F.col(n).alias(f"limit_{n}") for n in names], *[c for c in limits.columns if c not in names])
-    same = [F.col(n).eqNullSafe(F.col(f"limit_{n}")) for n in names]
-    joined = rated.join(limits, on=same, how="left")
+    bound = {c: unused(rated, f"tracewell_limit_{c}") for c in limits.columns}
+    joined = rated.join(limits.select(*[F.col(c).alias(b) for c, b in bound.items()]), on=[F.col(n).eqNullSafe(F.col(bound[n])) for n in names], how="left")
     inside = F.lit(True)
     for m in METRICS:
-        inside = inside & (F.col(m) <= F.coalesce(f"{m}_high", F.col(m))) & (F.col(m) >= F.coalesce(f"{m}_low", F.col(m)))
-    return joined.withColumns({"base_failed": base, "kept": ~base & inside}).drop(*[f"limit_{n}" for n in names], *names)
+        inside = inside & (F.col(m) <= F.coalesce(bound[f"{m}_high"], F.col(m))) & (F.col(m) >= F.coalesce(bound[f"{m}_low"], F.col(m)))
+    return joined.withColumns({"base_failed": base, "kept": ~base & inside}).drop(*bound.values(), *names)
