@@ -1,7 +1,9 @@
 """WARC archives of captures, and their index merged from sorted runs.
 
-Writing: a record for each capture, through Spark's text sink with the record separator as line
-separator, so the committer guards against lost tasks and any store will do. Of captures with equal payloads the
+Writing: a record for each capture, compressed by itself, through Spark's text sink, so the committer guards
+against lost tasks and any store will do. The last byte of a gzip member of less than 16 MiB is always 0: it is left
+to the sink as its line separator, so that a file is nothing but members, and ``offset`` and ``length`` of the index
+cut one record out of the stored file. Longer records take several members. Of captures with equal payloads the
 one with the smallest id is a response and the others are revisits without payload.
 Reading: archives are parsed whole records at a time; every archive's index entries form a run, sorted by
 (URL key, timestamp, id). Merging: the runs are dealt by range of that key, and within each
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -22,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import scratch_path, slices, stored
 
 END = "\r\n\r\n"
 #: Smaller payloads are never revisits.
 LEAST_SHARED = 100
+#: Bytes of a record in one gzip member, below 16 MiB.
+MEMBER = 8 << 20
+#: Index entries of one range; more entries make more ranges.
+RANGE_ENTRIES = 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 RECORD = "page_id long, url string, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
@@ -85,21 +92,56 @@ def write_archives(planned: DataFrame, path: str, per_file: int = 20_000) -> Non
         F.lit("\r\n"),
     )
     record = F.concat(head, F.when(revisit, "").otherwise(F.col("body")))
-    planned.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "value"):
+                yield pa.RecordBatch.from_arrays([pa.array([members(x.as_py())[:-1] for x in piece.column("value")], pa.binary())], names=["value"])
+
+    packed = planned.select(F.concat(record, F.lit(END)).cast("binary").alias("value")).mapInArrow(compress, "value binary")
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+
+
+def members(record: bytes) -> bytes:
+    """A record as gzip members of at most MEMBER bytes each."""
+    out = []
+    for i in range(0, len(record), MEMBER):
+        coder = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(coder.compress(record[i : i + MEMBER]) + coder.flush())
+    return b"".join(out)
+
+
+def read_members(content: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, offset, length) of each gzip member."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        coder, parts, to, step = zlib.decompressobj(31), [], at, 1 << 12
+        while not coder.eof:
+            if to >= len(view):
+                raise ValueError("an archive ends within a record")
+            parts.append(coder.decompress(view[to : to + step]))
+            to, step = min(to + step, len(view)), min(step * 2, 1 << 20)
+        end = to - len(coder.unused_data)
+        yield b"".join(parts), at, end - at
+        at = end
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, payload, offset, length) of each record of an uncompressed archive."""
-    at, size = 0, len(content)
-    while at < size:
-        body = content.index(b"\r\n\r\n", at) + 4
-        headers = {k.decode(): v.decode("utf-8", "replace") for k, v in HEADER.findall(content, at, body)}
+    """(headers, payload, offset, length) of each record; offset and length are of the compressed bytes."""
+    found = read_members(content)
+    for first, offset, length in found:
+        body = first.index(b"\r\n\r\n") + 4
+        headers = {k.decode(): v.decode("utf-8", "replace") for k, v in HEADER.findall(first, 0, body)}
         n = int(headers["Content-Length"])
-        yield headers, content[body : body + n], at, body + n + 4 - at
-        at = body + n + 4
+        parts, have = [first], len(first)
+        while have < body + n + 4:
+            more, _, longer = next(found)
+            parts.append(more)
+            have, length = have + len(more), length + longer
+        yield headers, b"".join(parts)[body : body + n], offset, length
 
 
 def capture_id(value: str | None) -> int | None:
@@ -112,16 +154,11 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                whole = content.as_py()
-                if name.endswith(".gz"):
-                    whole = zlib.decompress(whole, 31) if whole else b""
                 archive = name.rsplit("/", 1)[-1]
-                for h, payload, offset, length in parse_archive(whole):
+                for h, payload, offset, length in parse_archive(content.as_py()):
                     digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
                     if h["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{archive} at {offset}: the payload does not match its digest")
@@ -186,8 +223,8 @@ def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     Memory of a task is one range's entries (a few hundred bytes each); more partitions make ranges smaller.
     """
     spark = runs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = stored(runs, "runs")  # range bounds are sampled from it, without parsing archives twice
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), kept.count() // RANGE_ENTRIES)
     dealt = kept.repartitionByRange(n, "url_key", "captured", "page_id", "archive", "offset")
     names = dealt.columns
     order = [names.index(c) for c in ("url_key", "captured", "page_id", "archive", "offset")]
