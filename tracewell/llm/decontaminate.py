@@ -14,7 +14,7 @@ broadcast stays bounded. Null and empty texts and items match nothing; repeated
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
-from .textarrays import PLAIN_BYTES, Rolling, mix, shingles, texts, words
+from .common import append_columns, unused
+from .textarrays import PLAIN_BYTES, shingles, span_hashes, texts, words
 
 WORDS = 5
 RADIUS = 20
@@ -59,7 +59,7 @@ class Benchmark:
         self.k, self.ids, self.items = k, [], []
         data, bounds = texts(pa.array([x or "" for x in items], pa.string()))
         starts, ends, first = words(data, bounds, PLAIN_BYTES)
-        hashes = Rolling(data).spans(starts, ends)
+        hashes = span_hashes(data, starts, ends)
         for i, name in enumerate(ids):
             s = shingles(hashes[first[i] : first[i + 1]], k)
             if len(s):
@@ -139,17 +139,18 @@ class Benchmark:
                 best[j] = score, low + start, length
 
 
-def benchmark_passes(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> list[tuple[list[int], list[str]]]:
-    """The items in blocks of bounded size, fetched partition by partition."""
-    passes, ids, items, held = [], [], [], 0
+def benchmark_passes(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> Iterator[tuple[list[int], list[str]]]:
+    """The items in blocks of bounded size, fetched partition by partition; the driver holds one block."""
+    ids, items, held = [], [], 0
     for row in benchmark.select(F.col(id).cast("long").alias("i"), F.lower(text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
         if ids and (len(ids) >= PASS_ITEMS or held + len(row["t"]) > PASS_BYTES):
-            passes.append((ids, items))
+            yield ids, items
             ids, items, held = [], [], 0
         ids.append(row["i"])
         items.append(row["t"])
         held += len(row["t"])
-    return [*passes, (ids, items)] if ids else passes
+    if ids:
+        yield ids, items
 
 
 FOUND = T.ArrayType(
@@ -159,8 +160,12 @@ _FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.fl
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius: int = RADIUS, least: float = 0.8, k: int = WORDS) -> DataFrame:
-    """Add ``leaks``: for each benchmark item found in the whole text its best window; empty if there is none."""
-    out = docs.withColumns({"leaks": F.lit(None).cast(FOUND), "folded_text": F.lower(text)})
+    """Add ``leaks``: for each benchmark item found in the whole text its best window, the first of several; empty if there is none.
+
+    An input column of that name is replaced; all others stay. Items with a null id are left out.
+    """
+    folded, of_pass = unused(docs, "folded_text"), unused(docs, "leaks_of_pass")
+    out = docs.withColumns({"leaks": F.lit(None).cast(FOUND), folded: F.lower(text)})
     spark = docs.sparkSession
     for ids, items in benchmark_passes(benchmark):
         shared = spark.sparkContext.broadcast((ids, items))
@@ -169,9 +174,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
             own = Benchmark(*shared.value, k)
 
             def step(piece: pa.RecordBatch) -> list:
-                data, bounds = texts(piece.column("folded_text"))
+                data, bounds = texts(piece.column(folded))
                 starts, ends, first = words(data, bounds, PLAIN_BYTES)
-                hashes = Rolling(data).spans(starts, ends)
+                hashes = span_hashes(data, starts, ends)
                 rows = []
                 for i in range(piece.num_rows):
                     found = own.search(hashes[first[i] : first[i + 1]], radius, least) if own.items else []
@@ -180,9 +185,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
 
             return step
 
-        out = append_columns(out, make, [T.StructField("leaks_of_pass", FOUND)], "folded_text")
-        out = out.withColumn("leaks", F.when(F.col("leaks").isNull(), F.col("leaks_of_pass")).otherwise(F.concat("leaks", "leaks_of_pass"))).drop("leaks_of_pass")
-    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(FOUND))).drop("folded_text")
+        out = append_columns(out, make, [T.StructField(of_pass, FOUND)], folded)
+        out = out.withColumn("leaks", F.when(F.col("leaks").isNull(), F.col(of_pass)).otherwise(F.concat("leaks", of_pass))).drop(of_pass)
+    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(FOUND))).drop(folded)
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
