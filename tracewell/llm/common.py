@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -62,6 +64,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the machine, as its worker may stay idle."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: What tells rows apart: two hashes of id and text, as one of 64 bits would not do for very many rows.
 KEY = ["row_key", "row_check"]
 

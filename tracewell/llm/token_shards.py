@@ -2,7 +2,9 @@
 
 Texts are encoded once, packed into sequences of ``length`` ids within each input partition (an
 end-of-text id closes each text; the last sequence of a partition is filled up with it), and written to
-the shared folder. One total a partition gives every sequence its global number; a keyed Feistel network
+the shared folder. With ``buckets`` they are dealt by hash of id and text first and sorted, so that the same table and
+key give the same order however the input is split; without, the order follows the input's splits, and a shuffle
+of the texts is saved. One total a partition gives every sequence its global number; a keyed Feistel network
 over the next power of four, walked until it lands inside, permutes the numbers into slots. Partition s of
 the output holds the slots of shard s in order and becomes one file: every sequence takes
 ``length + 1`` ids of two (or four) bytes, the last one being the end mark ``\\r\\n``, so slot i of a shard starts
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, read_ranks
-from .common import scratch_path, slices, stored
+from .common import forget, release, scratch_path, slices, stored
 from .textarrays import mix, texts
 
 END = "\r\n"
@@ -72,7 +74,7 @@ def permute(numbers: np.ndarray, total: int, key: int, back: bool = False) -> np
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, buckets: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, place, counts, doc_ids, tokens): blocks of sequences packed within each input partition.
 
     ``place`` numbers a block's first sequence; the ids of a block are compressed together, as repeated words
@@ -113,22 +115,29 @@ def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, id: str
                 held = np.concatenate([held, grown])
                 held_ids = np.concatenate([held_ids, np.repeat(names[some], sizes[some] + 1)])
                 full = len(held) // length
+                del ids, grown, names
                 if full:
                     yield from emit(held[: full * length].reshape(full, length), held_ids[: full * length].reshape(full, length), np.full(full, length))
                     held, held_ids = held[full * length :].copy(), held_ids[full * length :].copy()
-        own.forget()  # an idle worker holds no pieces
+        own.forget()
+        release()
         if len(held):
             fill = length - len(held)
             yield from emit(np.r_[held, np.full(fill, end_id, np.uint32)][None, :], np.r_[held_ids, np.full(fill, held_ids[-1])][None, :], np.array([len(held)]))
 
-    return docs.select(id, text).mapInArrow(run, "part int, place long, counts array<int>, doc_ids array<array<long>>, tokens binary")
+    narrow = docs.select(id, text)
+    if buckets:
+        digest = F.xxhash64(id, text)
+        narrow = narrow.repartition(buckets, digest).sortWithinPartitions(digest, id, text)
+    return narrow.mapInArrow(run, "part int, place long, counts array<int>, doc_ids array<array<long>>, tokens binary")
 
 
-def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512, end_id: int = 50256, key: int = 1, shard_bytes: int = 16 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512, end_id: int = 50256, key: int = 1, shard_bytes: int = 16 << 20, buckets: int | None = None) -> DataFrame:
     """Write shards under ``path`` and return the index: (sequence, slot, shard, row, n_tokens, doc_ids)."""
     spark = docs.sparkSession
-    made = stored(sequences(docs, rank_path, length, end_id), "sequences")
-    totals = made.groupBy("part").agg(F.sum(F.size("counts")).alias("n")).orderBy("part").collect()  # a row for each input partition
+    made = stored(sequences(docs, rank_path, length, end_id, buckets), "sequences")
+    index = stored(made.drop("tokens"), "index")
+    totals = index.groupBy("part").agg(F.sum(F.size("counts")).alias("n")).orderBy("part").collect()  # a row for each input partition
     start, total = {}, 0
     for row in totals:
         start[row["part"]] = total
@@ -172,12 +181,14 @@ def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512,
         for batch in batches:
             values = [coder.decompress(x) + mark for x in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slot"), pa.array(values, pa.binary())], names=["shard", "slot", "value"])
+        release()
 
     # a range of slots is a partition: its number is the shard's, so each shard is one file
     dealt = made.select("part", "place", "tokens").mapInArrow(deal, "shard int, slot long, tokens binary").repartitionById(shards, F.col("shard"))
     ordered = dealt.mapInArrow(unpack, "shard int, slot long, value binary").sortWithinPartitions("shard", "slot")
     ordered.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END).text(path)
-    return made.drop("tokens").mapInArrow(listed, "sequence long, slot long, shard int, row long, n_tokens int, doc_ids array<long>")
+    forget(made)  # the shards have the ids now
+    return index.mapInArrow(listed, "sequence long, slot long, shard int, row long, n_tokens int, doc_ids array<long>")
 
 
 def read_shards(spark: SparkSession, path: str, length: int = 512, end_id: int = 50256, shard_bytes: int = 16 << 20, first_slot: int = 0) -> DataFrame:
