@@ -55,7 +55,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document without repeated 400-byte strings."""
+    """What is left of each document without repeated 400-byte strings, also as text."""
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id",
@@ -63,6 +63,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        F.when(F.col("n_removed") == 0, F.col("text")).otherwise(suffix_dedup.text_of("kept_bytes")).alias("text"),
     )
 
 

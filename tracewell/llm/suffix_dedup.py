@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices, stored
+from .common import KEY, append_columns, forget, row_keys, slices, stored, unused
 from .textarrays import Rolling, texts
 
 #: Kinds of runs of one anchor beyond which window hashes are counted.
 HOT = 2_000
+SPAN = "row_key long, row_check long, first int, last int"
 #: Bytes of one suffix array.
 BUCKET_BYTES = 2 << 20
 
@@ -81,16 +82,18 @@ def anchor_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> dict[str,
 
 
 def runs(docs: DataFrame, length: int, text: str = "text") -> DataFrame:
-    """(row_key, first, last, anchor, run) of every run of the whole texts."""
+    """(row_key, row_check, first, last, anchor, run) of every run of the whole texts."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text):
                 found = anchor_runs(*texts(piece.column(text)), length)
-                keys = piece.column("row_key").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[found["text"]]), *[pa.array(found[c].astype(np.int32)) for c in ("first", "last")], *[pa.array(found[c]) for c in ("anchor", "run")]], names=["row_key", "first", "last", "anchor", "run"])
+                owner = pa.array(found["text"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[piece.column(c).take(owner) for c in KEY], *[pa.array(found[c].astype(np.int32)) for c in ("first", "last")], *[pa.array(found[c]) for c in ("anchor", "run")]], names=[*KEY, "first", "last", "anchor", "run"]
+                )
 
-    return docs.select("row_key", text).mapInArrow(find, "row_key long, first int, last int, anchor long, run long")
+    return docs.select(*KEY, text).mapInArrow(find, f"{SPAN}, anchor long, run long")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -171,48 +174,53 @@ def repeated_starts(symbols: np.ndarray, length: int) -> np.ndarray:
 def bucket_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans of repeated windows in runs that come sorted by anchor."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         parts = []
-        for _, _, body in rows:
+        for *_, body in rows:
             parts += [np.frombuffer(body, dtype=np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
         hit = repeated_starts(np.concatenate(parts), length)
-        keys, firsts, lasts, at = [], [], [], 0
-        for key, first, body in rows:
+        found, at = [], 0
+        for *key, first, body in rows:
             own = hit[at : at + len(body) - length + 1]
             change = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
             for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
-                keys.append(key)
-                firsts.append(first + a)
-                lasts.append(first + b - 1)
+                found.append((*key, first + a, first + b - 1))
             at += len(body) + 1
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["row_key", "first", "last"])
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[*KEY, "first", "last"])
 
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, int, int, bytes]] = []
     size, previous = 0, None
     for batch in batches:
-        for anchor, key, first, body in zip(*[batch.column(c).to_pylist() for c in ("anchor", "row_key", "first", "body")], strict=True):
+        for anchor, *row in zip(*[batch.column(c).to_pylist() for c in ("anchor", *KEY, "first", "body")], strict=True):
             if anchor != previous and size > BUCKET_BYTES:
                 yield solve(held)
                 held, size = [], 0
             previous = anchor
-            held.append((key, first, body))
-            size += len(body)
+            held.append(tuple(row))
+            size += len(row[-1])
     if held:
         yield solve(held)
 
 
 def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """(row_key, first, last): windows first to last of a text occur elsewhere too; ``docs`` has (row_key, text)."""
+    """(row_key, row_check, first, last): windows first to last of a text occur elsewhere too; ``docs`` has the keys and text.
+
+    What is joined back is written first, so that both sides of a join are shuffled for it alone and adaptive
+    execution may split the rows of a frequent anchor or run.
+    """
     every = stored(runs(docs, length), "runs")
-    seen = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    seen = stored(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     some = stored(every.join(seen, "anchor"), "repeated-runs")
-    kinds = some.groupBy("run").agg(F.first("anchor").alias("anchor"), F.count("*").alias("copies"), F.min_by(F.struct("row_key", "first", "last"), F.struct("row_key", "first")).alias("r"))
-    kinds = stored(kinds, "kinds")
-    whole = some.join(kinds.where("copies > 1").select("run"), "run", "left_semi").select("row_key", "first", "last")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = kinds.join(mixed, "anchor").select("anchor", "kinds", "copies", "r.row_key", "r.first", "r.last")
+    forget(every, seen)
+    # equal runs have equal anchors: two hashes tell kinds apart
+    place = [*KEY, "first", "last"]
+    kinds = stored(some.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct(*place)).alias("r")), "kinds")
+    whole = some.join(kinds.where("copies > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select(*place)
+    mixed = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    open_ = kinds.join(mixed, "anchor").select("anchor", "kinds", "r.*")
     # the bytes of those runs
-    wanted = open_.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "kinds", "first", "last")).alias("runs"))
+    wanted = open_.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "kinds", "first", "last")).alias("runs"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,16 +228,17 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
                 data, bounds = texts(piece.column("text"))
                 rows = []
                 raw = data.tobytes()
-                for i, (key, found) in enumerate(zip(piece.column("row_key").to_pylist(), piece.column("runs").to_pylist(), strict=True)):
-                    rows += [(x["anchor"], x["kinds"], key, x["first"], raw[bounds[i] + x["first"] : bounds[i] + x["last"] + length]) for x in found]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "kinds", "row_key", "first", "body"])
-
-    # rows that repeat id and text share a key: one of them is enough here
-    bodies = docs.join(wanted, "row_key").select("row_key", "text", "runs").mapInArrow(fetch, "anchor long, kinds long, row_key long, first int, body binary").dropDuplicates(["row_key", "first"])
+                for i, (key, check, found) in enumerate(zip(*[piece.column(c).to_pylist() for c in (*KEY, "runs")], strict=True)):
+                    rows += [(x["anchor"], x["kinds"], key, check, x["first"], raw[bounds[i] + x["first"] : bounds[i] + x["last"] + length]) for x in found]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                kinds_of = (*[pa.int64()] * 4, pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], names=["anchor", "kinds", *KEY, "first", "body"])
+
+    # rows that repeat id and text share their keys: one of them is enough here
+    bodies = docs.join(wanted, KEY).select(*KEY, "text", "runs").mapInArrow(fetch, "anchor long, kinds long, row_key long, row_check long, first int, body binary").dropDuplicates([*KEY, "first"])
     bodies = stored(bodies, "bodies")
-    usual = bodies.where(F.col("kinds") <= hot).select("anchor", "row_key", "first", "body").repartition("anchor").sortWithinPartitions("anchor", "row_key", "first")
-    found = usual.mapInArrow(lambda b: bucket_spans(b, length), "row_key long, first int, last int")
+    usual = bodies.where(F.col("kinds") <= hot).select("anchor", *KEY, "first", "body").repartition("anchor").sortWithinPartitions("anchor", *KEY, "first")
+    found = usual.mapInArrow(lambda b: bucket_spans(b, length), SPAN)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,11 +249,13 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
                 at = np.repeat(bounds[:-1], counts) + offset
                 hashes = Rolling(data).spans(at, at + length).view(np.int64)
                 owner = np.repeat(np.arange(len(counts)), counts)
-                yield pa.RecordBatch.from_arrays([piece.column("row_key").take(pa.array(owner)), pa.array((piece.column("first").to_numpy(zero_copy_only=False)[owner] + offset).astype(np.int32)), pa.array(hashes)], names=["row_key", "first", "window"])
+                at = pa.array((piece.column("first").to_numpy(zero_copy_only=False)[owner] + offset).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[piece.column(c).take(pa.array(owner)) for c in (*KEY, "anchor")], at, pa.array(hashes)], names=[*KEY, "anchor", "first", "window"])
 
-    many = bodies.where(F.col("kinds") > hot).select("row_key", "first", "body").mapInArrow(windows, "row_key long, first int, window long")
-    twice = many.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    counted = many.join(twice, "window", "left_semi").select("row_key", "first", F.col("first").alias("last"))
+    many = bodies.where(F.col("kinds") > hot).select("anchor", *KEY, "first", "body").mapInArrow(windows, "row_key long, row_check long, anchor long, first int, window long")
+    many = stored(many, "windows")
+    twice = stored(many.groupBy("anchor", "window").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "window"), "repeated-windows")
+    counted = many.join(twice, ["anchor", "window"], "left_semi").select(*KEY, "first", F.col("first").alias("last"))
     return whole.union(found).union(counted)
 
 
@@ -264,13 +275,14 @@ def merged(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Add ``kept_bytes`` (what is left, binary), ``n_removed`` and ``removed`` (disjoint byte ranges) to every row."""
-    key = F.xxhash64(F.col(id), F.col(text))
     body = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(key.alias("row_key"), body.alias("text"))
-    spans = repeats(narrow, length, hot).groupBy("row_key").agg(F.collect_set(F.struct("first", "last")).alias("tracewell_spans"))
-    spans = spans.withColumnRenamed("row_key", "tracewell_key")
-    rows = docs.withColumn("tracewell_row", key)
-    rows = rows.join(spans, rows["tracewell_row"] == spans["tracewell_key"], "left").drop("tracewell_row", "tracewell_key").withColumn("tracewell_text", body)
+    narrow = docs.select(*row_keys(id, text), body.alias("text"))
+    mine, theirs, held, whole_text = ([unused(docs, f"tracewell_{name}_{i}") for i in range(n)] for name, n in (("row", 2), ("key", 2), ("spans", 1), ("text", 1)))
+    (held,), (whole_text,) = held, whole_text
+    spans = repeats(narrow, length, hot).groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias(held))
+    spans = spans.withColumnsRenamed(dict(zip(KEY, theirs, strict=True)))
+    rows = docs.withColumns(dict(zip(mine, row_keys(id, text), strict=True)))
+    rows = rows.join(spans, [F.col(a) == F.col(b) for a, b in zip(mine, theirs, strict=True)], "left").drop(*mine, *theirs).withColumn(whole_text, body)
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     fields = [
         T.StructField("kept_bytes", T.BinaryType()),
@@ -280,10 +292,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
 
     def make() -> Callable[[pa.RecordBatch], list]:
         def step(piece: pa.RecordBatch) -> list:
-            data, bounds = texts(piece.column("tracewell_text"))
+            data, bounds = texts(piece.column(whole_text))
             raw = data.tobytes()
             kept, counts, removed = [], [], []
-            for i, found in enumerate(piece.column("tracewell_spans").to_pylist()):
+            for i, found in enumerate(piece.column(held).to_pylist()):
                 own = raw[bounds[i] : bounds[i + 1]]
                 gone = merged(found, length)
                 edges = [0, *[x for pair in gone for x in pair], len(own)]
@@ -294,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
 
         return step
 
-    return append_columns(rows, make, fields, "tracewell_text").drop("tracewell_text", "tracewell_spans")
+    return append_columns(rows, make, fields, whole_text).drop(whole_text, held)
 
 
 def text_of(column: str) -> Column:
