@@ -17,13 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
-from .textarrays import LOWER, PLAIN_BYTES, Rolling, mix, texts, words
+from .common import append_columns, slices
+from .textarrays import LOWER, PLAIN_BYTES, mix, span_hashes, texts, words
 
 BITS = 18
 SAMPLE = 20_000
@@ -47,7 +46,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     starts, ends, first = words(low, bounds, PLAIN_BYTES)
     owner = np.repeat(np.arange(n), np.diff(first))
-    hashes = Rolling(low).spans(starts, ends)
+    hashes = span_hashes(low, starts, ends)
     add(owner, hashes, 1)
     if len(starts) > 1:
         same = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
@@ -59,7 +58,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     fresh[1:] = shape[1:] != shape[:-1]
     fresh[starts] = True
     kept = np.r_[0, np.cumsum(fresh)]
-    add(owner, Rolling(shape[fresh]).spans(kept[starts], kept[ends]), 4)
+    add(owner, span_hashes(shape[fresh], kept[starts], kept[ends]), 4)
     n_words = np.bincount(owner, minlength=n)
     # a word counts once, however long the text, so that one insult shows; shapes and repeats count by their share
     is_word = np.repeat([True, *[False] * (len(out_key) - 1)], [len(k) for k in out_key])
@@ -85,35 +84,45 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 150, prior: float = 2.0) -> Model:
-    """Full-batch Adam on the cumulative-link likelihood; the thresholds stay ordered as a first one plus positive gaps."""
+def fit_ordinal(offsets: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 150, prior: float = 2.0, block: int = 1000) -> Model:
+    """Full-batch Adam on the cumulative-link likelihood; the thresholds stay ordered as a first one plus positive gaps.
+
+    Text i has the features ``offsets[i]`` to ``offsets[i + 1]``, without repeats. Gradients are summed over blocks of
+    texts, so that besides the features only one block's values are in memory.
+    """
     n = len(grade)
     l2 = prior / n  # the same prior on the weights for any number of rows
-    seen = np.bincount(feature, minlength=1 << BITS) >= LEAST_TEXTS
-    keep = seen[feature]
-    text, feature, value = text[keep], feature[keep], value[keep]
-    active, feature = np.unique(feature, return_inverse=True)
+    active = np.flatnonzero(np.bincount(feature, minlength=1 << BITS) >= LEAST_TEXTS)
+    d = len(active)
+    place = np.full(1 << BITS, d, dtype=np.int32)  # what is rare goes to a last weight that stays 0
+    place[active] = np.arange(d, dtype=np.int32)
     share = np.array([(grade >= k).mean() for k in range(1, grades)])
     start = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
-    p = np.concatenate([np.zeros(len(active)), start[:1], gaps])
+    p = np.concatenate([np.zeros(d), start[:1], gaps])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    d = len(active)
     for t in range(1, steps + 1):
         cuts = np.r_[p[d], p[d] + np.cumsum(np.exp(p[d + 1 :]))]
-        score = np.bincount(text, weights=p[feature] * value, minlength=n)
-        edges = np.concatenate([np.full((n, 1), 1.0), logistic(score[:, None] - cuts), np.zeros((n, 1))], axis=1)
-        rows = np.arange(n)
-        high, low = edges[rows, grade], edges[rows, grade + 1]
-        chance = np.maximum(high - low, 1e-9)
-        slope_high, slope_low = high * (1 - high), low * (1 - low)
-        g_score = -(slope_high - slope_low) / chance / n
-        g_cuts = np.zeros(grades + 1)
-        np.add.at(g_cuts, grade, slope_high / chance / n)
-        np.subtract.at(g_cuts, grade + 1, slope_low / chance / n)
-        g_cuts = g_cuts[1:grades]
-        steps_down = np.cumsum(g_cuts[::-1])[::-1]
-        g = np.concatenate([np.bincount(feature, weights=g_score[text] * value, minlength=d) + l2 * p[:d], steps_down[:1], steps_down[1:] * np.exp(p[d + 1 :])])
+        weights = np.r_[p[:d], 0.0]
+        g_weights, g_cuts = np.zeros(d + 1), np.zeros(grades + 1)
+        for i in range(0, n, block):
+            own = grade[i : i + block]
+            rows = np.arange(len(own))
+            a, b = offsets[i], offsets[i + len(own)]
+            text = np.repeat(rows, np.diff(offsets[i : i + len(own) + 1]))
+            f, x = place[feature[a:b]], value[a:b]
+            score = np.bincount(text, weights=weights[f] * x, minlength=len(own))
+            edges = np.concatenate([np.full((len(own), 1), 1.0), logistic(score[:, None] - cuts), np.zeros((len(own), 1))], axis=1)
+            high, low = edges[rows, own], edges[rows, own + 1]
+            chance = np.maximum(high - low, 1e-9)
+            slope_high, slope_low = high * (1 - high), low * (1 - low)
+            g_score = -(slope_high - slope_low) / chance / n
+            g_cuts += np.bincount(own, weights=slope_high / chance / n, minlength=grades + 1)
+            g_cuts -= np.bincount(own + 1, weights=slope_low / chance / n, minlength=grades + 1)
+            g_weights += np.bincount(f, weights=g_score[text] * x, minlength=d + 1)
+        inner = g_cuts[1:grades]
+        steps_down = np.cumsum(inner[::-1])[::-1]
+        g = np.concatenate([g_weights[:d] + l2 * p[:d], steps_down[:1], steps_down[1:] * np.exp(p[d + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (1 - t / (steps + 1)) ** 0.5
     weights = np.zeros(1 << BITS, dtype=np.float32)
@@ -124,33 +133,35 @@ def fit_ordinal(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
 def fit(graded: DataFrame, docs: DataFrame, grade: str = "grade", id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` graded rows; None if they have fewer than two grades.
 
-    Grades are small integers from 0. The sample is bounded, so it is broadcast to the documents, and its
-    sparse features are all that reaches the driver.
+    Grades are small integers from 0. An id with several grades counts with its lowest, an id with several texts with
+    one of them, the first by hash. The sample is bounded, so it is broadcast to the documents, and its
+    sparse features, 16-bit values, are all that reaches the driver, partition by partition.
     """
-    rows = graded.where(F.col(grade).isNotNull()).select(F.col(id).alias("graded_id"), F.col(grade).cast("int").alias("graded_as"))
-    rows = rows.orderBy(F.xxhash64("graded_id"), "graded_id", "graded_as").limit(sample)
+    rows = graded.where(F.col(grade).isNotNull()).groupBy(F.col(id).alias("graded_id")).agg(F.min(F.col(grade).cast("int")).alias("graded_as"))
+    rows = rows.where("graded_id is not null").orderBy(F.xxhash64("graded_id"), "graded_id").limit(sample)
     chosen = docs.select(F.col(id).alias("graded_id"), F.col(text).alias("text")).join(F.broadcast(rows), "graded_id")
+    one = Window.partitionBy("graded_id").orderBy(F.xxhash64("text"), "text")
+    chosen = chosen.withColumn("nth", F.row_number().over(one)).where("nth = 1")
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            data, bounds = texts(batch.column("text"))
-            owner, feature, value = features(data, bounds)
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            offsets = pa.array(cut, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("graded_as"), pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(value, pa.float32()))],
-                names=["graded_as", "feature", "value"],
-            )
-
-    got = chosen.select("graded_as", "text").mapInArrow(run, "graded_as int, feature array<int>, value array<float>").limit(2 * sample).toArrow()
-    if not got.num_rows:
+            for piece in slices(batch, "text"):
+                owner, feature, value = features(*texts(piece.column("text")))
+                cut = np.searchsorted(owner, np.arange(piece.num_rows + 1))
+                parts = [piece.column("graded_as").to_numpy(zero_copy_only=False).astype("<i4"), np.diff(cut).astype("<i4"), feature.astype("<i4"), value.astype("<f2")]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["grades", "counts", "features", "shares"])
+
+    found = chosen.select("graded_as", "text").mapInArrow(run, "grades binary, counts binary, features binary, shares binary")
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for row in found.toLocalIterator():
+        for held, content, kind in zip(parts, row, ("<i4", "<i4", "<i4", "<f2"), strict=True):
+            held.append(np.frombuffer(bytes(content), dtype=kind))
+    if not parts[0]:
         return None
-    grade_of = np.array(got.column("graded_as").to_pylist(), dtype=np.int64)
+    grade_of, counts, feature, value = (np.concatenate(parts.pop(0)) for _ in range(4))
     if len(np.unique(grade_of)) < 2:
         return None
-    counts = np.array(pa.compute.list_value_length(got.column("feature")).to_pylist(), dtype=np.int64)
-    flat = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in got.column(c).chunks])
-    return fit_ordinal(np.repeat(np.arange(len(counts)), counts), flat("feature"), flat("value").astype(float), grade_of, int(grade_of.max()) + 1)
+    return fit_ordinal(np.r_[0, np.cumsum(counts)], feature, value, grade_of, int(grade_of.max()) + 1)
 
 
 def classify(docs: DataFrame, model: Model | None, grade: int = 2, least: float = 0.5, text: str = "text") -> DataFrame:
