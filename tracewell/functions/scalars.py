@@ -39,6 +39,34 @@ def route_key(c: Column) -> Column:
     return F.regexp_replace(F.when(path == "", "/").otherwise(path), r"/\d+", "/:id")
 
 
+def url_path(c: Column) -> Column:
+    """The path of a URL without its slashes at both ends."""
+    return F.btrim(F.regexp_extract(c, r"^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("/"))
+
+
+def feature_key(url: Column) -> Column:
+    """The first path segment that says what a page is about: numbers, versions, parameters, languages and ``api`` do not; without one ``root``."""
+    telling = F.filter(F.split(url_path(url), "/"), lambda x: (x != "") & ~x.rlike(r"^([0-9]+|v[0-9]+|api|de|en|es|fr|[{:].*)$"))
+    return F.coalesce(F.regexp_replace(F.get(telling, 0), r"[.][a-z]+$", ""), F.lit("root"))
+
+
+def route_join(prefix: Column, route: Column) -> Column:
+    """A prefix and a route with one slash between them; anchors of patterns are taken off."""
+    return F.concat(F.rtrim(prefix, F.lit("/")), F.lit("/"), F.ltrim(F.regexp_replace(route, r"^\^|\$$", ""), F.lit("/")))
+
+
+def is_safe_path(path: Column) -> Column:
+    """No segment climbs to the parent folder."""
+    return ~F.array_contains(F.split(F.translate(path, "\\", "/"), "/"), "..")
+
+
+def locator(c: Column) -> Column:
+    """(path, line, note) of a reference ``path:line note``; nulls where it has no such form."""
+    part = lambda i: F.regexp_extract(c, r"^(.+?):([0-9]+)(.*)$", i)
+    known = part(2) != ""
+    return F.struct(F.when(known, part(1)).alias("path"), F.when(known, part(2)).try_cast("long").alias("line"), F.when(known, F.trim(part(3))).alias("note"))
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """A content hash; a null part counts as empty, so that places keep their meaning."""
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 16))

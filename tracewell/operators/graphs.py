@@ -112,6 +112,19 @@ def reach_capped(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int,
     return seen
 
 
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(node, parent, depth): all that each node descends from, at the least depth, over (child, parent) rows; cycles end."""
+    step = cut(parents.select("child", "parent").distinct())
+    seen = front = cut(step.select(F.col("child").alias("node"), "parent", F.lit(1).alias("depth")))
+    level = 1
+    while not front.isEmpty():
+        level += 1
+        fresh = front.select("node", F.col("parent").alias("child")).join(step, "child").select("node", "parent").distinct()
+        front = cut(fresh.join(seen.select("node", "parent"), ["node", "parent"], "left_anti").withColumn("depth", F.lit(level)))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """(a, b, score): a one-to-one choice, best score first, ties by a and then b.
 

@@ -65,10 +65,3 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, updated: Sequence[s
     both = stored.join(new, stored[key] == new[f"_new_{key}"], "full_outer")
     pick = lambda c: F.when(F.col(f"_new_{key}").isNotNull() & F.lit(c in updated), F.col(f"_new_{c}")).when(stored[key].isNotNull(), stored[c]).otherwise(F.col(f"_new_{c}"))
     return both.select(*[pick(c).alias(c) for c in stored.columns])
-
-
-def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, other_at: str, id: str, other_id: str) -> DataFrame:
-    """For each left row the right row of its keys with the smallest distance, then the smallest id."""
-    distance = F.abs(F.col(at) - F.col(other_at))
-    joined = left.join(right, list(keys)).withColumn("distance", distance)
-    return first_rows(joined, [id], [F.col("distance"), F.col(other_id)])

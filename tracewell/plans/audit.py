@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import lines, scalars
+from ..functions import scalars
 from ..operators import rows
 from ..sources import tables
 from ..sources.tables import EDGES_SQL, FINDINGS_SQL, SEVERITIES, table
@@ -41,7 +41,8 @@ def q_idle_accounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH e AS ({EDGES_SQL}) SELECT a, b FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY b DESC) <= 2")
 def q_neighbors_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return rows.first_rows(tables.edges(spark, sf), ["a"], [F.desc("b")], 2)
+    """The two greatest targets of each part."""
+    return rows.first_rows(tables.all_edges(spark, sf), ["a"], [F.desc("b")], 2)
 
 
 @query()
@@ -255,19 +256,3 @@ def q_graph_view(spark: SparkSession, sf: str) -> DataFrame:
 def q_html_extract(spark: SparkSession, sf: str) -> DataFrame:
     html = F.col("html")
     return table(spark, sf, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)).alias("links"))
-
-
-#: Small sources in several languages, as the driver's tables hold no program text.
-SOURCES = [
-    ("app/orders.py", "class Orders:\n    def total(self):\n        return 1\n\n@app.get('/orders')\nasync def listing():\n    db.execute('SELECT * FROM orders JOIN items ON 1')\n"),
-    ("web/server.js", "function start() {}\nrouter.post('/login', check)\nconst user = async (id) => id\neval(input)\n"),
-    ("cmd/main.go", 'func (s *Server) Run() {}\nfunc main() {\n  exec.Command("ls")\n}\n'),
-    ("src/lib.rs", "pub fn parse(x: u8) {}\nstruct Token;\n"),
-    ("db/schema.sql", "CREATE TABLE orders (id int);\nINSERT INTO items VALUES (1);\n"),
-]
-
-
-@query()
-def q_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols, routes, tables and risky calls of the sources above, line by line."""
-    return lines.extract(spark.createDataFrame(SOURCES, "path string, content string"))

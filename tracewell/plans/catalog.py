@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graphs, rows, telemetry
+from ..operators import graphs, rows, spans, telemetry
 from ..sources import tables
-from ..sources.tables import EDGES_SQL, FINDINGS_SQL, HISTORY_SQL, SEVERITIES, table
+from ..sources.tables import EDGES_SQL, FINDINGS_SQL, HISTORY_SQL, HUBS_SQL, SEVERITIES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,27 +115,30 @@ SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' W
 FROM a FULL JOIN b ON a.path = b.path""")
 def q_diff_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("path"), F.year("l_shipdate").alias("y"), "l_orderkey", "l_linenumber", "l_suppkey")
-    top = F.broadcast(lines.agg(F.max("y").alias("top")))
+    top = F.broadcast(lines.agg(F.max("y").alias("top")))  # one row
     line = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
-    text = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat_ws(":", x.l_orderkey, x.l_linenumber, x.l_suppkey))
-    snapshots = lines.groupBy("path", "y").agg(F.md5(F.array_join(text, ",")).alias("digest")).crossJoin(top)
-    return rows.diff(snapshots.where("y = top - 2"), snapshots.where("y = top - 1"), "path", "digest")
+    text = lambda year: F.transform(F.array_sort(F.collect_list(F.when(F.col("y") == year, line))), lambda x: F.concat_ws(":", x.l_orderkey, x.l_linenumber, x.l_suppkey))
+    two = lines.crossJoin(top).where("y between top - 2 and top - 1").groupBy("path")
+    both = two.agg(text(F.col("top") - 2).alias("a"), text(F.col("top") - 1).alias("b"))
+    change = F.when(F.size("a") == 0, "added").when(F.size("b") == 0, "deleted").when(F.md5(F.array_join("a", ",")) == F.md5(F.array_join("b", ",")), "unchanged").otherwise("modified")
+    return both.select("path", change.alias("change"))
 
 
-@query(f"""WITH RECURSIVE e AS ({EDGES_SQL}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT DISTINCT a AS node FROM e WHERE a % 50 = 1),
+@query(f"""WITH RECURSIVE e AS ({EDGES_SQL}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS ({HUBS_SQL}),
 r(root, node, depth) AS (SELECT node, node, 0 FROM s UNION SELECT r.root, u.b, r.depth + 1 FROM r JOIN u ON u.a = r.node WHERE r.depth < 2)
 SELECT root, node, min(depth)::INTEGER AS depth FROM r GROUP BY 1, 2""")
 def q_impact_two_hop(spark: SparkSession, sf: str) -> DataFrame:
-    """Changed parts (a rule picks them, as the operator's input) and what is two steps away in either direction."""
-    edges = tables.edges(spark, sf)
-    return graphs.reach(edges.where("a % 50 = 1").select(F.col("a").alias("node")), edges, 2, both_ways=True)
+    """The 20 dearest parts and what is two steps away from them in either direction."""
+    edges = tables.all_edges(spark, sf)
+    return graphs.reach(tables.hubs(spark, sf), edges, 2, both_ways=True)
 
 
-@query(f"""WITH RECURSIVE e AS ({EDGES_SQL}), r(root, node, depth) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 4)
+@query(f"""WITH RECURSIVE e AS ({EDGES_SQL}), r(root, node, depth) AS (SELECT node, node, 0 FROM ({HUBS_SQL}) UNION SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 4)
 SELECT root, node, min(depth)::INTEGER AS depth FROM r GROUP BY 1, 2""")
 def q_reach_depth4(spark: SparkSession, sf: str) -> DataFrame:
-    edges = tables.edges(spark, sf)
-    return graphs.reach(edges.select(F.col("a").alias("node")), edges, 4)
+    """Four steps from the 20 dearest parts."""
+    edges = tables.all_edges(spark, sf)
+    return graphs.reach(tables.hubs(spark, sf), edges, 4)
 
 
 @query()
@@ -157,7 +160,8 @@ p(root, path) AS (SELECT DISTINCT a, [a] FROM e UNION ALL SELECT root, list_appe
 k AS (SELECT root, array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM p WHERE len(path) > 1)
 SELECT root, path, hops::INTEGER AS hops FROM k QUALIFY row_number() OVER (PARTITION BY root ORDER BY hops DESC, path) <= 2""")
 def q_paths_top2(spark: SparkSession, sf: str) -> DataFrame:
-    edges = tables.edges(spark, sf)
+    """The two longest simple paths of up to three edges from each part, over the three smallest targets of a part."""
+    edges = tables.all_edges(spark, sf)
     found = graphs.paths(edges.select(F.col("a").alias("node")).distinct(), edges, 3, 3).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).alias("hops"))
     return rows.first_rows(found, ["root"], [F.desc("hops"), F.col("path")], 2)
 
@@ -201,9 +205,9 @@ SELECT event_id, click_id, distance FROM j QUALIFY row_number() OVER (PARTITION
 def q_nearest_line(spark: SparkSession, sf: str) -> DataFrame:
     """For each error the click of the same user that is nearest in time."""
     events = table(spark, sf, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
-    errors = events.where("event_type = 'error'").select("event_id", "user_id", F.col("s").alias("at"))
-    clicks = events.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", F.col("s").alias("other"))
-    return rows.nearest(errors, clicks, ["user_id"], "at", "other", "event_id", "click_id").select("event_id", "click_id", "distance")
+    of = lambda kind, name: events.where(F.col("event_type") == kind).select(F.col("event_id").alias(name), F.col("user_id").alias("key"), F.col("s").alias("at"))
+    found = spans.nearest(of("error", "left_id"), of("click", "right_id"))
+    return found.select(F.col("left_id").alias("event_id"), F.col("right_id").alias("click_id"), "distance")
 
 
 @query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -360,4 +364,4 @@ def q_rotated_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", "n_name", ((F.row_number().over(Window.orderBy("n_nationkey")) - 1 - 7 + 25) % 25).cast("int").alias("place"))
 
 
-from . import audit, exports  # noqa: E402, F401  register their queries here
+from . import audit, code, exports, judgements, selections  # noqa: E402, F401  register their queries here

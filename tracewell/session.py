@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.tables import shared_dir
+
 
 def session(app: str = "tracewell", master: str | None = None, **settings: str) -> SparkSession:
     """UTC, adaptive execution; anything else as given. On a cluster, master and sizes come from the submission."""
@@ -18,8 +18,8 @@ def session(app: str = "tracewell", master: str | None = None, **settings: str)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, kept in the folder of spark.checkpoint.dir that all machines share; a folder of this machine only where none is set, as in tests."""
+    """``df`` without its lineage, kept in the folder of spark.checkpoint.dir that all machines share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ FINDINGS_SQL = """SELECT o_orderkey AS id, o_custkey AS project_id,
  o_totalprice AS score, o_orderdate AS created_at FROM orders"""
 HISTORY_SQL = """SELECT event_id AS id, user_id AS worker, ts AS started_at,
  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'released' ELSE 'other' END AS outcome, value AS duration FROM events"""
-EDGES_SQL = """SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b AND (a + b) % 40 = 0"""
+EDGES_SQL = """SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b"""
+HUBS_SQL = "SELECT p_partkey AS node FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20"
 
 
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,14 @@ def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("b is not null and a <> b").distinct()
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of EDGES_SQL, about a fortieth of them: for the queries that are compared with recursive SQL."""
-    return all_edges(spark, sf_dir).where("(a + b) % 40 = 0")
+def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node): the 20 dearest parts, which queries ask about where an answer for every part would be all pairs."""
+    return table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select(F.col("p_partkey").alias("node"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode a new one where none is set, on a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    return (base or tempfile.mkdtemp(prefix="tracewell-")).rstrip("/")
