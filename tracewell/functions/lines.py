@@ -93,10 +93,10 @@ def declarations(t: Tokens, family: str) -> Iterator[Row]:
     """(line, kind, name, container) of classes and functions."""
     words = {"python": {"class": "class", "def": "function"}, "script": {"class": "class", "interface": "class", "function": "function"}, "go": {"func": "function"}, "rust": {"struct": "class", "enum": "class", "trait": "class", "fn": "function"},
              "java": {"class": "class", "interface": "class", "fun": "function"}, "sharp": {"class": "class", "interface": "class"}, "php": {"class": "class", "function": "function"}, "ruby": {"class": "class", "module": "class", "def": "function"}, "sql": {}}[family]
-    open_: list[tuple[int, str]] = []  # classes that later lines may belong to: indent or closing token, and name
+    open_: list[tuple[int, str, int]] = []  # classes that later lines may belong to: indent or closing token, name, line
     for i, text in enumerate(t.texts):
         if family in ("python", "ruby"):
-            while open_ and t.first[i] <= open_[-1][0]:
+            while open_ and t.first[i] <= open_[-1][0] and t.lines[i] > open_[-1][2]:
                 open_.pop()
         else:
             while open_ and i > open_[-1][0]:
@@ -119,11 +119,11 @@ def declarations(t: Tokens, family: str) -> Iterator[Row]:
         yield t.lines[i], kind, t.text(j), owner
         if kind == "class":
             if family in ("python", "ruby"):
-                open_.append((t.first[i], t.text(j)))
+                open_.append((t.first[i], t.text(j), t.lines[i]))
             else:
                 brace = next((k for k in range(j, len(t)) if t.texts[k] in "{;"), len(t))
                 if t.text(brace) == "{":
-                    open_.append((t.close(brace), t.text(j)))
+                    open_.append((t.close(brace), t.text(j), t.lines[i]))
 
 
 def imports(t: Tokens, family: str) -> Iterator[Row]:
