@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +83,14 @@ def csv_cell(c: Column) -> Column:
     """A cell of a CSV line: quoted if it holds a comma, a quote or a line break, quotes doubled; null is empty."""
     text = F.coalesce(c.cast("string"), F.lit(""))
     return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def block_ratio(a: str, b: str) -> Column:
+    """How alike two texts are: twice the characters in matching blocks by both lengths; 0 where one is null."""
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        alike = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+        return pd.Series([0.0 if x is None or y is None else alike(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return ratio(F.col(a), F.col(b))

@@ -27,6 +27,11 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first rows of each group with their place ``n``."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= n)
+
+
 def ties(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """All rows that share the first place of their group."""
     return df.withColumn("_n", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
