@@ -44,7 +44,7 @@ def test_leases_end_by_timers(spark, tmp_path):
     rows = [(1, day(0)), (1, day(4)), (1, day(10)), (2, day(1)), (3, day(30)), (3, day(30)), (4, day(26)), (None, day(2)), (5, None)]
     spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("user_id long, ts timestamp").parquet(f"{tmp_path}/in")
-    got = leases.expired_leases(stream, f"{tmp_path}/out").select("user_id", F.timestamp_micros("last_at").alias("t")).collect()
+    got = leases.expired_leases(stream, f"{tmp_path}/out", 5 * 24 * 3600 * 1_000_000).select("user_id", F.timestamp_micros("last_at").alias("t")).collect()
     assert sorted((r.user_id, r.t) for r in got) == [(1, day(4)), (1, day(10)), (2, day(1))]
 
 

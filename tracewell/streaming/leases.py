@@ -51,53 +51,52 @@ def failure_pauses(events: DataFrame, place: str) -> DataFrame:
     return spark.read.schema(OUT).parquet(f"{place}/rows")
 
 
-#: Microseconds that a heartbeat holds a lease.
-HOLD = 5 * 24 * 3600 * 1_000_000
 EXPIRED = "user_id long, last_at long, expired_at long"
 
 
 class Lease(StatefulProcessor):
-    """Keeps the last heartbeat of a key and a timer for its end; a heartbeat in time renews the lease, a later one begins another.
+    """Keeps the last heartbeat of a key and a timer for its end, ``hold`` microseconds later; a heartbeat in time renews the lease, a later one begins another.
 
     The timer ends a lease when the watermark has passed it, so a key that falls silent is reported without a further row.
     """
 
+    def __init__(self, hold: int) -> None:
+        self.hold = hold
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
         if last is not None:
-            self.handle.deleteTimer(timer_of(last))
+            self.handle.deleteTimer(self.timer_of(last))
         ended = []
         for at in sorted(int(x) for part in rows for x in part["micros"]):
-            if last is not None and at - last > HOLD:
+            if last is not None and at - last > self.hold:
                 ended.append(last)
             last = at if last is None else max(last, at)
         self.last.update((last,))
-        self.handle.registerTimer(timer_of(last))
-        yield expiries(key, ended)
+        self.handle.registerTimer(self.timer_of(last))
+        yield self.expiries(key, ended)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0]
         self.last.clear()
-        yield expiries(key, [last])
+        yield self.expiries(key, [last])
 
     def close(self) -> None:
         pass
 
+    def timer_of(self, last: int) -> int:
+        """The millisecond at which a lease has ended, rounded up."""
+        return -(-(last + self.hold) // 1000)
 
-def timer_of(last: int) -> int:
-    """The millisecond at which a lease has ended, rounded up."""
-    return -(-(last + HOLD) // 1000)
-
-
-def expiries(key: Any, ended: list[int]) -> pd.DataFrame:
-    return pd.DataFrame({"user_id": [key[0]] * len(ended), "last_at": ended, "expired_at": [x + HOLD for x in ended]}, dtype="int64")
+    def expiries(self, key: Any, ended: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]] * len(ended), "last_at": ended, "expired_at": [x + self.hold for x in ended]}, dtype="int64")
 
 
-def expired_leases(events: DataFrame, place: str) -> DataFrame:
-    """(user_id, last_at, expired_at) in microseconds, of a stream of heartbeats (user_id, ts) read to its end into the folder ``place``.
+def expired_leases(events: DataFrame, place: str, hold: int) -> DataFrame:
+    """(user_id, last_at, expired_at) in microseconds, of a stream of heartbeats (user_id, ts) read to its end into the folder ``place``; one holds for ``hold`` microseconds.
 
     Heartbeats without a user or time hold nothing. A heartbeat behind the watermark is dropped by Spark.
     """
@@ -105,6 +104,6 @@ def expired_leases(events: DataFrame, place: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     at = F.col("ts").cast("timestamp")
     beats = events.where("user_id is not null and ts is not null").select("user_id", at.alias("at"), F.unix_micros(at).alias("micros")).withWatermark("at", "0 seconds")
-    out = beats.groupBy("user_id").transformWithStateInPandas(Lease(), EXPIRED, "Append", "EventTime")
+    out = beats.groupBy("user_id").transformWithStateInPandas(Lease(hold), EXPIRED, "Append", "EventTime")
     out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(EXPIRED).parquet(f"{place}/rows")
