@@ -121,3 +121,14 @@ def test_ancestors(spark):
     assert graphs.ancestors(spark.createDataFrame([], "child long, parent long")).count() == 0
     edges = spark.createDataFrame([(1, 2), (2, 3), (None, 3)], "a long, b long")
     assert [tuple(x) for x in graphs.induced(edges, spark.createDataFrame([(1,), (2,), (None,)], "node long")).collect()] == [(1, 2)]
+
+
+def test_compare_and_set(spark):
+    from tracewell.operators.rows import compare_and_set
+
+    state = spark.createDataFrame([(1, None, "a"), (2, 9, "b"), (3, None, "c"), (None, None, "d"), (4, None, "e")], "k int, worker int, other string")
+    claims = spark.createDataFrame([(1, 5, 2), (1, 7, 1), (1, 6, 1), (2, 5, 1), (3, None, 1), (None, 5, 1), (8, 5, 1)], "k int, claimant int, at int")
+    got = {tuple(r) for r in compare_and_set(state, claims, "k", "worker", ["at"]).collect()}
+    assert got == {(1, 6, "a", True), (2, 9, "b", False), (3, None, "c", False), (None, None, "d", False), (4, None, "e", False)}
+    assert compare_and_set(state.where("false"), claims, "k", "worker", ["at"]).count() == 0
+    assert compare_and_set(state, claims.where("false"), "k", "worker", ["at"]).where("updated").count() == 0

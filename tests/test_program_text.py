@@ -94,3 +94,18 @@ def test_tree_and_archives(spark, tmp_path):
 )
 def test_loose_json(text, want):
     assert files.loose_json(text, ("a",)) == want
+
+
+def test_constants_of_other_files(spark):
+    files_ = [
+        ("a.js", "export const SHOP = '/shop'\nconst ONE = '/one'\nconst TAIL = 'x'\n"), ("b.js", "const ONE = '/two'\n"),
+        ("c.js", "app.get(SHOP + '/cart', f)\napp.post('/v1/' + TAIL, f)\napp.put('/v2/' + gone, f)\napp.patch(ONE + '/y', f)\ncache.get(TAIL)\napp.all(SHOP, f); app.get(SHOP + '/cart', g)\napp.get('/z/' + f(1), g)\n"),
+    ]
+    found = lines.extract(spark.createDataFrame(files_, "path string, content string"))
+    got = symbols.folded_routes(found)
+    assert of(got, "route", "c.js") == [
+        (1, "GET /shop/cart", "folded"), (2, "POST /v1/x", "folded"), (3, "PUT /v2", "call"), (6, "ANY /shop", "folded"), (6, "GET /shop/cart", "folded"), (7, "GET /z", "call"),
+    ]
+    assert of(got, "route", "b.js") == [] and got.where("kind = 'open-route'").count() == 0
+    assert got.where("kind <> 'route'").count() == found.where("kind not in ('route', 'open-route')").count()
+    assert symbols.folded_routes(found.where("false")).count() == 0

@@ -10,8 +10,10 @@ Null and empty texts give no rows, files of unknown suffixes neither. Lines coun
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -247,19 +249,27 @@ def _script_routes(t: Tokens) -> Iterator[Row]:
     known = {name: value for _, _, name, value in constants(t, "script")}
     controller = ""
 
-    def path_at(i: int) -> str | None:
-        """A string, a constant, or such joined by +."""
-        out = None
-        while (part := t.string(i) if t.string(i) is not None else known.get(t.text(i))) is not None:
-            out = (out or "") + part
+    def parts_at(i: int) -> list[dict[str, str]]:
+        """Strings and names joined by +, as far as they go; constants of this file are strings already."""
+        out = []
+        while True:
+            own = t.string(i) if t.string(i) is not None else known.get(t.text(i))
+            if own is None and not (t.is_name(i) and t.text(i + 1) in ("+", ",", ")")):
+                return out
+            out.append({"name": t.text(i)} if own is None else {"text": own})
             if t.text(i + 1) != "+":
-                break
+                return out
             i += 2
-        return out
 
     for i in range(len(t) - 2):
-        if t.texts[i] == "." and t.text(i + 1) in (*VERBS, "all") and t.text(i + 2) == "(" and t.is_name(i - 1) and (path := path_at(i + 3)) is not None and path.startswith("/"):
-            yield t.lines[i], "route", f"{'ANY' if t.text(i + 1) == 'all' else t.text(i + 1).upper()} {joined('', path)}", "call"
+        if t.texts[i] == "." and t.text(i + 1) in (*VERBS, "all") and t.text(i + 2) == "(" and t.is_name(i - 1) and (parts := parts_at(i + 3)):
+            verb = "ANY" if t.text(i + 1) == "all" else t.text(i + 1).upper()
+            path = "".join(x["text"] for x in takewhile(lambda x: "text" in x, parts))
+            own = f"{verb} {joined('', path)}" if path.startswith("/") else ""
+            if own:
+                yield t.lines[i], "route", own, "call"
+            if any("name" in x for x in parts):
+                yield t.lines[i], "open-route", verb, json.dumps({"known": own, "parts": parts})
         elif t.texts[i] == "route" and t.text(i - 1) == "." and t.text(i + 1) == "(" and t.text(i + 2) == "{":
             end, found = t.close(i + 2), {}
             for k in range(i + 3, end):

@@ -30,6 +30,11 @@ def clip(c: Column, limit: int) -> Column:
     return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, limit - 3)), F.lit("...")))
 
 
+def cost(prices: dict[str, int]) -> Column:
+    """What the token counts in columns cost at prices for a million tokens; a null count makes it null."""
+    return sum((F.col(name) * price for name, price in prices.items()), F.lit(0)).cast("double") / F.lit(1e6)
+
+
 def path_key(c: Column) -> Column:
     """Slashes forward, leading dots and slashes off, lower case."""
     return F.lower(F.regexp_replace(F.translate(c, "\\", "/"), r"^[./]+", ""))

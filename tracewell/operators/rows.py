@@ -70,3 +70,16 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, updated: Sequence[s
     both = stored.join(new, stored[key] == new[f"_new_{key}"], "full_outer")
     pick = lambda c: F.when(F.col(f"_new_{key}").isNotNull() & F.lit(c in updated), F.col(f"_new_{c}")).when(stored[key].isNotNull(), stored[c]).otherwise(F.col(f"_new_{c}"))
     return both.select(*[pick(c).alias(c) for c in stored.columns])
+
+
+def compare_and_set(state: DataFrame, claims: DataFrame, key: str, column: str, order: Sequence[str]) -> DataFrame:
+    """Set ``column`` where it is null to the first claim of the row's key; ``updated`` says where.
+
+    ``claims`` has (key, claimant, *order); equal places in the order fall to the smallest claimant, claims without key
+    or claimant count for nothing. Rows that have a value keep it, whoever claims them. Claims are reduced to one a
+    key before the join. Columns of ``state`` other than ``column`` stay; one named ``updated`` is replaced.
+    """
+    first = claims.where(F.col(key).isNotNull() & F.col("claimant").isNotNull()).groupBy(F.col(key).alias("_claimed")).agg(F.min(F.struct(*order, "claimant")).alias("_first"))
+    taken = F.col(column).isNull() & F.col("_first").isNotNull()
+    joined = state.join(first, F.col(key) == F.col("_claimed"), "left")
+    return joined.withColumns({column: F.coalesce(F.col(column), F.col("_first.claimant")), "updated": taken}).drop("_claimed", "_first")

@@ -33,6 +33,26 @@ def relationships(found: DataFrame) -> DataFrame:
     return both.groupBy("from_path", "to_path", "relation", "name").agg(F.max("confidence").alias("confidence"))
 
 
+def folded_routes(found: DataFrame) -> DataFrame:
+    """``found`` with routes whose paths join strings and constants of other files by + written out.
+
+    A constant counts if it has one value in all files. A route takes the place of what its own file told of it; one
+    with a name that no constant has stays as it was. Groups are the parts of one expression. Rows of kind
+    ``open-route`` go.
+    """
+    constants = found.where("kind = 'constant'").groupBy(F.col("name").alias("word")).agg(F.min("detail").alias("value"), F.max("detail").alias("last")).where("value = last")
+    parsed = F.from_json("detail", "known string, parts array<struct<name: string, text: string>>")
+    place = ["path", "line", "name", "detail"]
+    parts = found.where("kind = 'open-route'").select(*place).distinct().withColumn("d", parsed).select(*place, "d.known", F.posexplode("d.parts").alias("at", "part"))
+    valued = parts.join(constants, F.col("part.name") == F.col("word"), "left").withColumn("piece", F.coalesce("part.text", "value"))
+    whole = valued.groupBy(*place, "known").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"), F.bool_and(F.col("piece").isNotNull()).alias("full"))
+    routes = whole.where("full").withColumn("route", F.array_join("pieces.piece", "")).where("startswith(route, '/')")
+    routes = routes.select("path", "line", F.concat("name", F.lit(" /"), F.btrim("route", F.lit("/"))).alias("name"), "known")
+    known = routes.select("path", "line", F.lit("route").alias("kind"), F.col("known").alias("name")).distinct()
+    rest = found.where("kind <> 'open-route'").join(known, ["path", "line", "kind", "name"], "left_anti")
+    return rest.unionByName(routes.select("path", "line", F.lit("route").alias("kind"), "name", F.lit("folded").alias("detail")).distinct())
+
+
 def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     """(from_path, module, to_path): imports that name one file of the table.
 

@@ -24,6 +24,7 @@ def q_empty_safe_sum(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH m AS (SELECT p_brand, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') AS clean FROM part)
 SELECT p_brand, count(*) FILTER (WHERE clean) AS unreturned, count(*) AS parts FROM m GROUP BY p_brand""")
 def q_anti_inside_agg(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of each brand, and how many never came back."""
     returned = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_partkey").distinct()
     joined = table(spark, sf, "part").join(returned, F.col("l_partkey") == F.col("p_partkey"), "left")
     return joined.groupBy("p_brand").agg(F.count_if(F.col("l_partkey").isNull()).alias("unreturned"), F.count("*").alias("parts"))
@@ -111,6 +112,28 @@ def q_usage_cutover(spark: SparkSession, sf: str) -> DataFrame:
     return events.join(cut, "user_id", "left").groupBy("user_id").agg(F.count_if(exact).alias("exact"), F.count_if(~exact & (F.col("cut").isNull() | (F.col("ts") < F.col("cut")))).alias("estimated"))
 
 
+@query("""WITH c AS (SELECT user_id, min(ts) AS cut FROM events WHERE event_type = 'purchase' GROUP BY 1), t AS (SELECT e.user_id, coalesce(floor(value * 100), 0)::BIGINT AS regular, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k
+ FROM events e LEFT JOIN c ON c.user_id = e.user_id WHERE event_type = 'purchase' OR cut IS NULL OR ts < cut)
+SELECT user_id, sum(regular)::BIGINT AS regular, (10 * sum(k))::BIGINT AS cached, sum(k)::BIGINT AS output, (3 * sum(regular) + 10 * sum(k) + 15 * sum(k))::BIGINT / 1e6 AS cost FROM t GROUP BY 1""")
+def q_usage_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each user, estimated up to the first exact record and exact from there, and what they cost."""
+    events = table(spark, sf, "events").select("user_id", "ts", "event_type", "value", "props")
+    cut = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("cut"))
+    counts = events.join(cut, "user_id", "left").where((F.col("event_type") == "purchase") | F.col("cut").isNull() | (F.col("ts") < F.col("cut")))
+    k = F.coalesce(F.from_json("props", "k long").k, F.lit(0))
+    per = counts.groupBy("user_id").agg(F.sum(F.coalesce(F.floor(F.col("value") * 100), F.lit(0))).alias("regular"), F.sum(k * 10).alias("cached"), F.sum(k).alias("output"))
+    return per.withColumn("cost", scalars.cost({"regular": 3, "cached": 1, "output": 15}))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN o_custkey END AS worker FROM orders), f AS (SELECT l_orderkey AS k, l_suppkey AS claimant FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_suppkey) = 1)
+SELECT o_orderkey, coalesce(worker, claimant) AS worker, worker IS NULL AND k IS NOT NULL AS updated FROM s LEFT JOIN f ON k = o_orderkey""")
+def q_claim_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Open orders that suppliers claim, the first claim of each counts; orders with a worker keep theirs."""
+    state = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "O", F.col("o_custkey")).alias("worker"))
+    claims = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("claimant"), "l_shipdate")
+    return rows.compare_and_set(state, claims, "o_orderkey", "worker", ["l_shipdate"])
+
+
 @query("""SELECT o_orderkey, l_linenumber, l_partkey, p_brand, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
  LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0 WHERE o_orderstatus = 'P'""")
 def q_composite_joins(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,12 +161,14 @@ def q_pick_worker(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT r_name AS name, false AS builtin FROM region UNION ALL SELECT * FROM (VALUES ('ALL', true), ('NONE', true)) v(name, builtin)")
 def q_builtin_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored names with two fixed ones."""
     return table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit(False).alias("builtin")).unionByName(spark.createDataFrame([("ALL", True), ("NONE", True)], "name string, builtin boolean"))
 
 
 @query(f"""WITH f AS ({FINDINGS_SQL}) SELECT project_id, count(*) AS n, count(*) FILTER (WHERE status = 'confirmed') AS confirmed, count(*) FILTER (WHERE status = 'pending_review') AS pending,
  CASE WHEN count(*) FILTER (WHERE status = 'pending_review') > 0 THEN 'review' WHEN count(*) FILTER (WHERE status = 'candidate') > 0 THEN 'validate' ELSE 'done' END AS queue FROM f GROUP BY project_id""")
 def q_coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of each project by status, and the queue that it goes to next."""
     status = lambda s: F.count_if(F.col("status") == s)
     per = tables.findings(spark, sf).groupBy("project_id").agg(F.count("*").alias("n"), status("confirmed").alias("confirmed"), status("pending_review").alias("pending"), status("candidate").alias("open"))
     return per.select("project_id", "n", "confirmed", "pending", F.when(F.col("pending") > 0, "review").when(F.col("open") > 0, "validate").otherwise("done").alias("queue"))
@@ -151,6 +176,7 @@ def q_coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH f AS ({FINDINGS_SQL}) SELECT project_id, id, severity, CAST(row_number() OVER (PARTITION BY project_id ORDER BY {RANK_SQL}, created_at, id) AS INTEGER) AS place FROM f WHERE status = 'confirmed'")
 def q_retest_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Confirmed findings of each project, the worst first."""
     order = Window.partitionBy("project_id").orderBy(scalars.rank_of("severity", SEVERITIES), "created_at", "id")
     return tables.findings(spark, sf).where("status = 'confirmed'").select("project_id", "id", "severity", F.row_number().over(order).alias("place"))
 
@@ -164,14 +190,19 @@ def q_incremental_keep(spark: SparkSession, sf: str) -> DataFrame:
     return kept.unionByName(orders.where("o_orderkey % 3 = 0").join(kept, "o_orderkey", "left_anti").select("o_orderkey", F.lit("rebuilt").alias("origin")))
 
 
-@query(f"""WITH f AS ({FINDINGS_SQL}) SELECT project_id, '{{"project":' || project_id || ',"total":' || count(*) || ',"ids":[' || string_agg(id, ',' ORDER BY id) || ']}}' AS payload FROM f GROUP BY project_id""")
+@query(f"""WITH f AS ({FINDINGS_SQL}), b AS (SELECT project_id, id // 10000 AS block, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM f GROUP BY 1, 2), t AS (SELECT project_id, count(*) AS total FROM f GROUP BY 1)
+SELECT project_id, block, '{{"project":' || project_id || ',"block":' || block || ',"total":' || total || ',"ids":[' || ids || ']}}' AS payload FROM b JOIN t USING (project_id)""")
 def q_export_json(spark: SparkSession, sf: str) -> DataFrame:
-    per = tables.findings(spark, sf).groupBy("project_id").agg(F.count("*").alias("total"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return per.select("project_id", F.to_json(F.struct(F.col("project_id").alias("project"), "total", "ids")).alias("payload"))
+    """Each project's findings as JSON, a payload for each block of 10,000 ids: a large project takes more payloads, not a longer one."""
+    found = tables.findings(spark, sf).select("project_id", "id")
+    blocks = found.groupBy("project_id", F.expr("id div 10000").alias("block")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    totals = blocks.groupBy("project_id").agg(F.sum(F.size("ids")).alias("total"))
+    return blocks.join(totals, "project_id").select("project_id", "block", F.to_json(F.struct(F.col("project_id").alias("project"), "block", "total", "ids")).alias("payload"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50 OFFSET 20")
 def q_scan_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of lines: 50 after the first 20, the latest first."""
     order = [F.desc("l_shipdate"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return table(spark, sf, "lineitem").orderBy(*order).offset(20).limit(50).select(*order[1:])
 
@@ -254,5 +285,6 @@ def q_graph_view(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::INTEGER AS links FROM pages""")
 def q_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Title and number of links of each page."""
     html = F.col("html")
     return table(spark, sf, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)).alias("links"))

@@ -47,6 +47,7 @@ def q_list_report(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH f AS ({FINDINGS_SQL}), d(severity) AS (VALUES ('critical'), ('high'), ('medium'), ('low'), ('none'))
 SELECT d.severity, count(f.id) AS n FROM d LEFT JOIN f ON f.severity = d.severity GROUP BY d.severity""")
 def q_summary_fixed_domain(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings by severity, for a fixed list of severities; a missing one counts 0, one outside the list is left out."""
     return rows.fixed_domain(tables.findings(spark, sf), "severity", ["critical", "high", "medium", "low", "none"])
 
 
@@ -63,6 +64,7 @@ def q_trend_dense7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_type AS kind, p_brand AS brand, count(*) AS n FROM part WHERE trim(p_type) <> '' GROUP BY 1, 2")
 def q_group_count_nonblank(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by kind and brand; blank kinds are left out."""
     return table(spark, sf, "part").groupBy(F.col("p_type").alias("kind"), F.col("p_brand").alias("brand")).agg(F.count("*").alias("n")).where(F.trim("kind") != "")
 
 
@@ -79,6 +81,7 @@ def q_conditional_sums(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS urgent,
  (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS latest FROM customer""")
 def q_scalar_subcounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Several counts for each customer from one grouping of orders; 0 for a customer without orders, whose latest day is null."""
     per = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.max("o_orderdate").alias("latest"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return table(spark, sf, "customer").join(per, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_name", zero("orders"), zero("urgent"), "latest")
@@ -86,6 +89,7 @@ def q_scalar_subcounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def q_orphan_anti(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers without a pending order."""
     pending = table(spark, sf, "orders").where("o_orderstatus = 'P'")
     return table(spark, sf, "customer").join(pending, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
@@ -93,16 +97,19 @@ def q_orphan_anti(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH h AS ({HISTORY_SQL}), t AS (SELECT *, coalesce(max(CASE WHEN outcome = 'success' THEN id END) OVER (PARTITION BY worker), -1) AS l FROM h)
 SELECT worker, count(*) AS failures, max(started_at) AS last_failed_at FROM t WHERE id > l AND outcome = 'failed' GROUP BY worker""")
 def q_failure_streak(spark: SparkSession, sf: str) -> DataFrame:
+    """Each worker's failures since its last success."""
     return telemetry.failure_streaks(tables.task_history(spark, sf), "worker", "id", "outcome", "started_at")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) = 1")
 def q_latest_with_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders of each customer's last day."""
     return rows.ties(table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate")]).select("o_custkey", "o_orderkey", "o_orderdate")
 
 
 @query("""SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey DESC) = 1 AS is_current FROM orders""")
 def q_latest_one(spark: SparkSession, sf: str) -> DataFrame:
+    """For each order whether it is its customer's current one: by status, then the latest, then the greatest key."""
     order = Window.partitionBy("o_custkey").orderBy(scalars.rank_of("o_orderstatus", ["F", "P"]), F.desc("o_orderdate"), F.desc("o_orderkey"))
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.row_number().over(order) == 1).alias("is_current"))
 
@@ -114,13 +121,14 @@ SNAPSHOT_SQL = "SELECT l_partkey AS path, year(l_shipdate) AS y, md5(string_agg(
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.digest = b.digest THEN 'unchanged' ELSE 'modified' END AS change
 FROM a FULL JOIN b ON a.path = b.path""")
 def q_diff_full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("path"), F.year("l_shipdate").alias("y"), "l_orderkey", "l_linenumber", "l_suppkey")
+    """What became of each part's lines between two years: lines are counted by year, so no part's lines are gathered."""
+    line = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("path"), F.year("l_shipdate").alias("y"), *line)
     top = F.broadcast(lines.agg(F.max("y").alias("top")))  # one row
-    line = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
-    text = lambda year: F.transform(F.array_sort(F.collect_list(F.when(F.col("y") == year, line))), lambda x: F.concat_ws(":", x.l_orderkey, x.l_linenumber, x.l_suppkey))
-    two = lines.crossJoin(top).where("y between top - 2 and top - 1").groupBy("path")
-    both = two.agg(text(F.col("top") - 2).alias("a"), text(F.col("top") - 1).alias("b"))
-    change = F.when(F.size("a") == 0, "added").when(F.size("b") == 0, "deleted").when(F.md5(F.array_join("a", ",")) == F.md5(F.array_join("b", ",")), "unchanged").otherwise("modified")
+    two = lines.crossJoin(top).where("y between top - 2 and top - 1").groupBy("path", *line)
+    counted = two.agg(F.count_if(F.col("y") == F.col("top") - 2).alias("a"), F.count_if(F.col("y") == F.col("top") - 1).alias("b"))
+    both = counted.groupBy("path").agg(F.sum("a").alias("before"), F.sum("b").alias("after"), F.bool_and(F.col("a") == F.col("b")).alias("same"))
+    change = F.when(F.col("before") == 0, "added").when(F.col("after") == 0, "deleted").when(F.col("same"), "unchanged").otherwise("modified")
     return both.select("path", change.alias("change"))
 
 
@@ -193,6 +201,7 @@ def lineage(conversations: DataFrame) -> DataFrame:
 @query("""SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(c_custkey) AS customers, count_if(c_acctbal < 0) AS negative,
  6 * count(DISTINCT n_nationkey) + 3 * count_if(c_acctbal < 0) AS weight FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name""")
 def q_module_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations, customers and debtors of each region with a weight; customers are counted by nation before the joins."""
     per = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"), F.count_if(F.col("c_acctbal") < 0).alias("m"))
     joined = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).join(per, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     out = joined.groupBy("r_name").agg(F.count("*").alias("nations"), F.coalesce(F.sum("c"), F.lit(0)).alias("customers"), F.coalesce(F.sum("m"), F.lit(0)).alias("negative"))
@@ -221,6 +230,7 @@ def q_doc_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH f AS ({FINDINGS_SQL}), s AS (SELECT id, 60 - 12 * {RANK_SQL} + CASE status WHEN 'confirmed' THEN 25 WHEN 'pending_review' THEN 10 ELSE 0 END + CASE WHEN score > 100000 THEN 15 ELSE 0 END AS raw FROM f)
 SELECT id, CAST(least(100, greatest(0, raw)) AS INTEGER) AS priority FROM s""")
 def q_priority_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Points for severity, status and score, clamped to 0 to 100."""
     raw = 60 - 12 * scalars.rank_of("severity", SEVERITIES) + F.when(F.col("status") == "confirmed", 25).when(F.col("status") == "pending_review", 10).otherwise(0) + F.when(F.col("score") > 100000, 15).otherwise(0)
     return tables.findings(spark, sf).select("id", F.least(F.lit(100), F.greatest(F.lit(0), raw)).cast("int").alias("priority"))
 
@@ -228,21 +238,25 @@ def q_priority_score(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH n AS (SELECT p_partkey, p_type, p_retailprice, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS k FROM part)
 SELECT p_partkey, p_type, CAST(CASE WHEN k = 1 THEN 1 WHEN k <= 5 THEN 2 ELSE 3 END AS INTEGER) AS pass FROM n ORDER BY pass, p_retailprice DESC, p_partkey LIMIT 40""")
 def q_quota_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """40 parts: the best of each type, then up to five of each, then the rest."""
     return rows.quota_fill(table(spark, sf, "part"), "p_type", [F.desc("p_retailprice"), F.col("p_partkey")], 5, 40).select("p_partkey", "p_type", "pass")
 
 
 @query("SELECT p_partkey, p_brand, CAST(k AS INTEGER) AS turn FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part) ORDER BY k, p_brand LIMIT 60")
 def q_round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    """60 parts from all brands in turn."""
     return rows.round_robin(table(spark, sf, "part"), "p_brand", [F.desc("p_size"), F.col("p_partkey")], 60).select("p_partkey", "p_brand", "turn")
 
 
 @query("SELECT o_orderkey, format('f{:03d}', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS seq_id FROM orders")
 def q_seq_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders numbered within each customer, as ids of three digits or more."""
     return table(spark, sf, "orders").select("o_orderkey", F.format_string("f%03d", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).alias("seq_id"))
 
 
 @query("""SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error' QUALIFY recent >= 2""")
 def q_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors with another of the same user in the 900 seconds before."""
     return telemetry.rate_limited(table(spark, sf, "events").where("event_type = 'error'"), "user_id", "ts", "event_id", 900, 2).select("user_id", "event_id", "recent")
 
 
@@ -261,6 +275,7 @@ def q_lease_expiry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
 def q_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """Events since a day."""
     return table(spark, sf, "events").where(F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id", "event_type")
 
 
@@ -275,28 +290,33 @@ def q_upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def q_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Line numbers that occur more than once in an order."""
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("""WITH u AS (SELECT page_id, lower(url) AS url FROM pages), p AS (SELECT page_id, regexp_extract(url, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1) AS path FROM u)
 SELECT page_id, regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '/[0-9]+', '/:id', 'g') AS route FROM p""")
 def q_route_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's route: its path in lower case with numbers as a parameter."""
     return table(spark, sf, "pages").select("page_id", scalars.route_key(F.col("url")).alias("route"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{4,}'))), ',') AS ids FROM documents WHERE regexp_matches(text, '[0-9]{4,}')")
 def q_regex_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct numbers of four digits or more of each text that has one, in order."""
     found = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9]{4,}"), 0))), ",")
     return table(spark, sf, "documents").where(F.col("text").rlike("[0-9]{4,}")).select("doc_id", found.alias("ids"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def q_json_props(spark: SparkSession, sf: str) -> DataFrame:
+    """One field of each JSON object; null where it is missing."""
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
 
 
 @query(f"WITH h AS ({HISTORY_SQL}) SELECT worker, count(*) FILTER (WHERE outcome = 'success') AS done, round(avg(duration) FILTER (WHERE outcome = 'success'), 1) AS mean_duration FROM h GROUP BY worker")
 def q_worker_avg(spark: SparkSession, sf: str) -> DataFrame:
+    """Each worker's successes and their mean duration."""
     done = F.when(F.col("outcome") == "success", F.col("duration"))
     return tables.task_history(spark, sf).groupBy("worker").agg(F.count_if(F.col("outcome") == "success").alias("done"), F.round(F.avg(done), 1).alias("mean_duration"))
 
@@ -333,6 +353,7 @@ def digests(docs: DataFrame) -> DataFrame:
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')
 SELECT k, 'both' AS part FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'only' FROM (SELECT k FROM a EXCEPT SELECT k FROM b)""")
 def q_set_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with finished orders, by whether they have pending ones too."""
     orders = table(spark, sf, "orders")
     a, b = (orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k")) for s in "FP")
     return a.intersect(b).withColumn("part", F.lit("both")).unionByName(a.subtract(b).withColumn("part", F.lit("only")))
@@ -340,11 +361,13 @@ def q_set_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, arg_max(text, turn) AS last_text, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def q_sse_last(spark: SparkSession, sf: str) -> DataFrame:
+    """The assistant's last turn of each conversation."""
     return table(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_text"), F.max("turn").alias("turn"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
 def q_tail_n(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's last three events."""
     return rows.first_rows(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_id")
 
 

@@ -20,6 +20,8 @@ SOURCES = [
     ("app/store.py", "def save(row):\n    return row\n"),
     ("app/util.py", "def clean(x):\n    # def hidden(): no\n    return '''def inner(): no'''\n"),
     ("web/server.js", "const { check } = require('./auth')\nconst BASE = '/api'\nfunction start() {}\nrouter.post('/login', check)\napp.get(BASE + '/items', start)\nconst user = async (id) => id\neval(input)\nserver.route({ method: ['GET', 'POST'], url: '/both' })\n"),
+    ("web/paths.js", "export const SHOP = '/shop'\n"),
+    ("web/shop.js", "app.get(SHOP + '/cart', list)\n"),
     ("web/auth.js", "export function check(a) { return verify(a) }\nclass Guard extends Base {}\n"),
     ("web/cats.ts", "@Controller('cats')\nexport class Cats {\n  @Get(':id')\n  one() {}\n}\n"),
     ("cmd/main.go", 'import (\n  "fmt"\n)\nfunc (s *Server) Run() {}\nfunc main() {\n  v1 := r.Group("/v1")\n  v1.GET("/ping", Run)\n  exec.Command("ls")\n}\n'),
@@ -42,8 +44,8 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Declarations, imports, calls, routes, tables and risky calls of the sources and of the pages' scripts."""
-    return lines.extract(sources(spark, sf))
+    """Declarations, imports, calls, routes, tables and risky calls of the sources and of the pages' scripts; constants of other files are folded into routes."""
+    return symbols.folded_routes(lines.extract(sources(spark, sf)))
 
 
 @query()
