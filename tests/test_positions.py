@@ -132,3 +132,21 @@ def test_compare_and_set(spark):
     assert got == {(1, 6, "a", True), (2, 9, "b", False), (3, None, "c", False), (None, None, "d", False), (4, None, "e", False)}
     assert compare_and_set(state.where("false"), claims, "k", "worker", ["at"]).count() == 0
     assert compare_and_set(state, claims.where("false"), "k", "worker", ["at"]).where("updated").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_or_nearest(spark, seed):
+    r = random.Random(seed)
+    some = lambda n: r.choice([None, *range(n)])
+    left = [(i, some(3), some(12)) for i in range(40)] + [(40, 7, 1)]
+    right = [(i, some(3), r.choice([None, 2, 3, 9]), r.randrange(3)) for i in range(25)]
+    want = set()
+    for i, key, at in left:
+        near = sorted((abs(at - a), p, j) for j, k, a, p in right if key is not None and k == key and None not in (at, a))
+        same = [x for x in near if x[0] == 0][:2]
+        want |= {(i, j, d) for d, _, j in same or near[:1]}
+    a = spark.createDataFrame(left, "left_id long, key int, at int")
+    b = spark.createDataFrame(right, "right_id long, key int, at int, priority int")
+    got = spans.exact_or_nearest(a, b).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert spans.exact_or_nearest(a.where("false"), b).count() == spans.exact_or_nearest(a, b.where("false")).count() == 0

@@ -48,6 +48,29 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     return asked.withColumn("best", F.least(side("back"), side("ahead"))).where("best is not null").select("left_id", "best.right_id", "best.distance")
 
 
+def exact_or_nearest(left: DataFrame, right: DataFrame, n: int = 2) -> DataFrame:
+    """(left_id, right_id, distance): the first ``n`` right rows at a left row's own position, or else the one nearest row.
+
+    ``left`` has (left_id, key, at), ``right`` has (right_id, key, at, priority). Rows at one distance follow by
+    priority, then id. The right side is cut to ``n`` rows a position before it is joined, and nearest rows come from
+    two passes over the ordered union, so a busy position or key makes no pairs.
+    """
+    asked = left.where("key is not null and at is not null").select("left_id", "key", "at")
+    placed = right.where("key is not null and at is not null").select("right_id", "key", "at", "priority")
+    first = placed.withColumn("n", F.row_number().over(Window.partitionBy("key", "at").orderBy("priority", "right_id"))).where(F.col("n") <= n)
+    same = asked.join(first, ["key", "at"]).select("left_id", "right_id", F.lit(0).cast("long").alias("distance"))
+    best = placed.groupBy("key", "at").agg(F.min(F.struct("priority", "right_id")).alias("best"))
+    alone = asked.join(best.select("key", "at"), ["key", "at"], "left_anti")
+    both = best.withColumn("left_id", F.lit(None).cast("long")).unionByName(alone, allowMissingColumns=True)
+    found = F.when(F.col("best").isNotNull(), F.struct("at", "best"))
+    line = Window.partitionBy("key").orderBy("at")
+    back = F.last(found, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(found, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).cast("long").alias("distance"), F.col(f"{c}.best").alias("best")))
+    near = both.withColumns({"back": back, "ahead": ahead}).where("left_id is not null").withColumn("nearest", F.least(side("back"), side("ahead"))).where("nearest is not null")
+    return same.unionByName(near.select("left_id", F.col("nearest.best.right_id").alias("right_id"), F.col("nearest.distance").alias("distance")))
+
+
 def overlap_scores(left: DataFrame, right: DataFrame, width: int = 64) -> DataFrame:
     """(left_id, right_id, distance): all right intervals of a left interval's key at the smallest distance, 0 for an overlap.
 

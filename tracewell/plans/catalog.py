@@ -219,6 +219,18 @@ def q_nearest_line(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("left_id").alias("event_id"), F.col("right_id").alias("click_id"), "distance")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS at FROM events),
+j AS (SELECT l.event_id, r.event_id AS linked_id, abs(l.at - r.at) AS distance, CASE r.event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS priority FROM e l JOIN e r ON l.user_id = r.user_id WHERE l.event_type = 'error' AND r.event_type <> 'error'),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY distance, priority, linked_id) AS n FROM j)
+SELECT event_id, linked_id, distance FROM n WHERE n = 1 OR n = 2 AND distance = 0""")
+def q_exact_or_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """For each error two events of its user on its day, purchases before clicks; where there is none, the one on the nearest day."""
+    events = table(spark, sf, "events").withColumn("day", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400))
+    errors = events.where("event_type = 'error'").select(F.col("event_id").alias("left_id"), F.col("user_id").alias("key"), F.col("day").alias("at"))
+    others = events.where("event_type <> 'error'").select(F.col("event_id").alias("right_id"), F.col("user_id").alias("key"), F.col("day").alias("at"), scalars.rank_of("event_type", ["purchase", "click"]).alias("priority"))
+    return spans.exact_or_nearest(errors, others).select(F.col("left_id").alias("event_id"), F.col("right_id").alias("linked_id"), "distance")
+
+
 @query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def q_doc_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The first document of each text: ids are aggregated by digest, so whole texts do not sort."""

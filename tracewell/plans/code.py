@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines, scalars
 from ..operators import graphs, rows, spans, symbols
+from ..session import cut
 from ..sources import files, tables
 from ..sources.tables import EDGES_SQL, HUBS_SQL, table
 from ..streaming import leases
@@ -45,13 +46,13 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def q_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """Declarations, imports, calls, routes, tables and risky calls of the sources and of the pages' scripts; constants of other files are folded into routes."""
-    return symbols.folded_routes(lines.extract(sources(spark, sf)))
+    return symbols.folded_routes(cut(lines.extract(sources(spark, sf))))
 
 
 @query()
 def q_call_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Calls, handlers and bases joined to the one declaration of their name; names declared more than once link nothing."""
-    return symbols.relationships(lines.extract(sources(spark, sf)))
+    return symbols.relationships(cut(lines.extract(sources(spark, sf))))
 
 
 @query()
