@@ -150,3 +150,11 @@ def test_exact_or_nearest(spark, seed):
     got = spans.exact_or_nearest(a, b).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
     assert spans.exact_or_nearest(a.where("false"), b).count() == spans.exact_or_nearest(a, b.where("false")).count() == 0
+
+
+def test_failure_texts(spark):
+    rows_ = [("a", 1, "failed", 1, "x"), ("a", 2, "success", 2, None), ("a", 3, "failed", 3, "b"), ("a", 4, "failed", 4, "c"), (None, 5, "failed", 5, None), ("b", 6, "success", 6, "y")]
+    history = spark.createDataFrame(rows_, "k string, id int, outcome string, at int, text string")
+    got = {tuple(x) for x in telemetry.failure_streaks(history, "k", "id", "outcome", "at", "text").collect()}
+    assert got == {("a", 2, 4, "c"), (None, 1, 5, None)}
+    assert telemetry.failure_streaks(history.where("false"), "k", "id", "outcome", "at", "text").count() == 0

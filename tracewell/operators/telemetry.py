@@ -16,11 +16,16 @@ def expired(rows: DataFrame, heartbeat: str, now: Column, timeout: int, null_exp
     return rows.where(F.coalesce(late, F.lit(null_expires)))
 
 
-def failure_streaks(history: DataFrame, key: str, id: str, outcome: str, at: str) -> DataFrame:
-    """For each key the failures after its last success: how many, and when the last was."""
-    last = F.max(F.when(F.col(outcome) == "success", F.col(id))).over(Window.partitionBy(key))
-    tail = history.withColumn("_last", F.coalesce(last, F.lit(-1))).where((F.col(id) > F.col("_last")) & (F.col(outcome) == "failed"))
-    return tail.groupBy(key).agg(F.count("*").alias("failures"), F.max(at).alias("last_failed_at"))
+def failure_streaks(history: DataFrame, key: str, id: str, outcome: str, at: str, text: str | None = None) -> DataFrame:
+    """For each key the failures after its last success: how many, when the last was and, with ``text``, the greatest text.
+
+    The last successes are one row a key and are joined back, so that adaptive execution may split a busy key.
+    """
+    done = history.where(F.col(outcome) == "success").groupBy(F.col(key).alias("_key")).agg(F.max(id).alias("_last"))
+    failed = history.where(F.col(outcome) == "failed")
+    tail = failed.join(done, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col(id) > F.coalesce("_last", F.lit(-1)))
+    found = [F.count("*").alias("failures"), F.max(at).alias("last_failed_at")]
+    return tail.groupBy(key).agg(*found, *([F.max(text).alias("greatest_text")] if text else []))
 
 
 def rate_limited(events: DataFrame, key: str, at: str, id: str, seconds: int, least: int) -> DataFrame:

@@ -57,17 +57,23 @@ FINDINGS_SQL = """SELECT o_orderkey AS id, o_custkey AS project_id,
  o_totalprice AS score, o_orderdate AS created_at FROM orders"""
 HISTORY_SQL = """SELECT event_id AS id, user_id AS worker, ts AS started_at,
  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'released' ELSE 'other' END AS outcome, value AS duration FROM events"""
-EDGES_SQL = """SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b"""
+LINE_EDGES_SQL = """SELECT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b"""
+EDGES_SQL = LINE_EDGES_SQL.replace("SELECT a, b", "SELECT DISTINCT a, b", 1)
 HUBS_SQL = "SELECT p_partkey AS node FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20"
 
 
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed edges between consecutive parts of an order."""
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges between consecutive parts of an order, one for each time that they follow one another."""
     from pyspark.sql import Window
 
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(line).alias("b"))
-    return rows.where("b is not null and a <> b").distinct()
+    return rows.where("b is not null and a <> b")
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct ones of ``line_edges``."""
+    return line_edges(spark, sf_dir).distinct()
 
 
 def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
