@@ -158,3 +158,13 @@ def test_failure_texts(spark):
     got = {tuple(x) for x in telemetry.failure_streaks(history, "k", "id", "outcome", "at", "text").collect()}
     assert got == {("a", 2, 4, "c"), (None, 1, 5, None)}
     assert telemetry.failure_streaks(history.where("false"), "k", "id", "outcome", "at", "text").count() == 0
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a", 7, 8, 9), (2, "a", 5, 6, 7)], "id int, k string, _n int, _first int, _claimed int")
+    order = [F.col("id")]
+    assert [tuple(x) for x in rows.first_rows(df, ["k"], order).collect()] == [tuple(x) for x in rows.ties(df, ["k"], order).collect()] == [(1, "a", 7, 8, 9)]
+    assert rows.quota_fill(df, "k", order, 1, 5).columns == [*df.columns, "pass"] and rows.quota_fill(df, "k", order, 1, 5).count() == 2
+    claims = spark.createDataFrame([(2, 4, 1)], "id int, claimant int, at int")
+    got = rows.compare_and_set(df.withColumn("worker", F.lit(None).cast("int")), claims, "id", "worker", ["at"]).collect()
+    assert {tuple(x) for x in got} == {(1, "a", 7, 8, 9, None, False), (2, "a", 5, 6, 7, 4, True)}

@@ -22,9 +22,18 @@ def filtered(df: DataFrame, **values: Any) -> DataFrame:
     return df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group; Spark limits ranks before the shuffle."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    place = free(df, "_n")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n).drop(place)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -34,7 +43,8 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 def ties(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """All rows that share the first place of their group."""
-    return df.withColumn("_n", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    place = free(df, "_n")
+    return df.withColumn(place, F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def fixed_domain(df: DataFrame, column: str, domain: Sequence[str]) -> DataFrame:
@@ -47,9 +57,10 @@ def fixed_domain(df: DataFrame, column: str, domain: Sequence[str]) -> DataFrame
 
 def quota_fill(df: DataFrame, category: str, order: Sequence[Column], quota: int, limit: int) -> DataFrame:
     """One row of each category first, then up to its quota, then the rest, until the limit."""
+    own = free(df, "_n")
     place = F.row_number().over(Window.partitionBy(category).orderBy(*order))
-    turn = F.when(F.col("_n") == 1, 1).when(F.col("_n") <= quota, 2).otherwise(3)
-    return df.withColumn("_n", place).withColumn("pass", turn).orderBy("pass", *order).limit(limit).drop("_n")
+    turn = F.when(F.col(own) == 1, 1).when(F.col(own) <= quota, 2).otherwise(3)
+    return df.withColumn(own, place).withColumn("pass", turn).orderBy("pass", *order).limit(limit).drop(own)
 
 
 def round_robin(df: DataFrame, family: str, order: Sequence[Column], limit: int) -> DataFrame:
@@ -79,7 +90,8 @@ def compare_and_set(state: DataFrame, claims: DataFrame, key: str, column: str,
     or claimant count for nothing. Rows that have a value keep it, whoever claims them. Claims are reduced to one a
     key before the join. Columns of ``state`` other than ``column`` stay; one named ``updated`` is replaced.
     """
-    first = claims.where(F.col(key).isNotNull() & F.col("claimant").isNotNull()).groupBy(F.col(key).alias("_claimed")).agg(F.min(F.struct(*order, "claimant")).alias("_first"))
-    taken = F.col(column).isNull() & F.col("_first").isNotNull()
-    joined = state.join(first, F.col(key) == F.col("_claimed"), "left")
-    return joined.withColumns({column: F.coalesce(F.col(column), F.col("_first.claimant")), "updated": taken}).drop("_claimed", "_first")
+    claimed, found = free(state, "_claimed"), free(state, "_first")
+    first = claims.where(F.col(key).isNotNull() & F.col("claimant").isNotNull()).groupBy(F.col(key).alias(claimed)).agg(F.min(F.struct(*order, "claimant")).alias(found))
+    taken = F.col(column).isNull() & F.col(found).isNotNull()
+    joined = state.join(first, F.col(key) == F.col(claimed), "left")
+    return joined.withColumns({column: F.coalesce(F.col(column), F.col(f"{found}.claimant")), "updated": taken}).drop(claimed, found)
