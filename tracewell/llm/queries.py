@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, token_shards, warc
+from . import bpe, decontaminate, language_id, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, token_shards, warc, whitening
 
 SHARDS = 24
 
@@ -92,6 +92,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.floor(F.octet_length("token_ids") / 4).alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened coordinates of every embedding, a row for each."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, "embedding")
+    explained = F.array(*[F.lit(x).cast("double") for x in model.explained or [None]])
+    out = whitening.transform(rows, "embedding", model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "coordinate"))
+    return out.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        F.col("coordinate").alias("whitened"),
+        F.element_at(explained, F.col("place") + 1).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_training_order,
         op9_prefix_sum_shards,
         op10_byte_bpe,
+        op11_embedding_whitening,
     )
 }
 
