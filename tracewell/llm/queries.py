@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, token_shards, warc, whitening
+from . import bpe, decontaminate, language_id, mixing, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, token_shards, warc, whitening
 
 SHARDS = 24
 
@@ -109,6 +109,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, with the target of its source."""
+    return mixing.mix(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_prefix_sum_shards,
         op10_byte_bpe,
         op11_embedding_whitening,
+        op12_source_mix,
     )
 }
 
@@ -137,5 +143,38 @@ SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest
 FROM p LEFT JOIN g USING (payload_digest)
 """,
     "op7_quality_rules": None,
+    "op12_source_mix": rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), t AS (SELECT sum(source_size)::BIGINT AS total, greatest(1, ceil(1.5::DOUBLE * sum(source_size) / {mixing.RESOLUTION}))::BIGINT AS b FROM s0
+), s1 AS (
+  SELECT source, source_size, b, total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, CAST(ceil(source_size::DOUBLE / b) AS BIGINT) AS n FROM s0, t
+), s2 AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s1
+), s3 AS (
+  SELECT *, row_number() OVER w AS k, coalesce(sum(2 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_before,
+    coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS weight_before, sum(weight) OVER ()::BIGINT AS weights
+  FROM s2 WINDOW w AS (ORDER BY 2 * source_size::DOUBLE / weight, place)
+), s4 AS (SELECT *, (1.5::DOUBLE * total - full_before) / (weights - weight_before) AS level FROM s3
+), s5 AS (SELECT arg_min(level, k) AS level FROM s4 WHERE level * weight <= 2 * source_size
+), s AS (SELECT source, source_size, b, total, place, n, least(2::DOUBLE * source_size, coalesce(s5.level * weight, 2::DOUBLE * source_size)) AS target FROM s4, s5
+), chairs AS (SELECT place, target, b, total, unnest(range(0, 2 * n)) AS award FROM s
+), won AS (
+  SELECT place, award FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * award + 1) DESC, place, award) AS r FROM chairs) WHERE r <= (3 * total + b) // (2 * b)
+), turns AS (SELECT place, n, unnest(range(0, 2 * n)) AS x FROM s
+), drawn AS (
+  SELECT place, x % n AS block, row_number() OVER (PARTITION BY place ORDER BY x // n, substr(md5('{mixing.SEED}:' || place || ':' || (x // n) || ':' || (x % n)), 1, 15), x % n) - 1 AS award FROM turns
+), times AS (SELECT place, block, count(*) AS times FROM drawn JOIN won USING (place, award) GROUP BY place, block
+), blocks AS (
+  SELECT place, block, coalesce(times, 0) AS times, sum(coalesce(times, 0) * least(b, source_size - block * b)) OVER (PARTITION BY place ORDER BY block)::BIGINT - coalesce(times, 0) * least(b, source_size - block * b) AS before
+  FROM (SELECT place, b, source_size, unnest(range(0, n)) AS block FROM s) LEFT JOIN times USING (place, block)
+), laid AS (
+  SELECT doc_id, size, place, source_size, target, b, sum(size) OVER (PARTITION BY place ORDER BY substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 15), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+)
+SELECT l.doc_id, l.size, l.source_size, l.target,
+  CAST(CASE WHEN l.size = 0 THEN 0 ELSE z.before + (start + size - z.block * b) * z.times - a.before - (start - a.block * b) * a.times END AS BIGINT) AS taken
+FROM laid l LEFT JOIN blocks a ON a.place = l.place AND a.block = start // b LEFT JOIN blocks z ON z.place = l.place AND z.block = (start + size - 1) // b
+""",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
