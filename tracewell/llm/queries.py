@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, mixing, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, token_shards, warc, whitening
+from . import bpe, decontaminate, language_id, lexical_search, mixing, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, token_shards, warc, whitening
+from .common import forget
 
 SHARDS = 24
 
@@ -114,6 +115,14 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    index = lexical_search.build(table(spark, sf_dir, "documents"))
+    found = lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+    forget(index.blocks)
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -129,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_byte_bpe,
         op11_embedding_whitening,
         op12_source_mix,
+        op13_lexical_search,
     )
 }
 
@@ -143,6 +153,22 @@ SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest
 FROM p LEFT JOIN g USING (payload_digest)
 """,
     "op7_quality_rules": None,
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), docs AS (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0
+), all_docs AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM docs
+), tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), q AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark
+), qt AS (SELECT q, item_id, unnest(terms) AS term FROM q
+), scored AS (
+  SELECT q, item_id, docs.r, doc_id, sum(CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN docs ON docs.r = tf.r, all_docs GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
     "op12_source_mix": rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
