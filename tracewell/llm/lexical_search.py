@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, forget, slices, stored
+from .common import SLICE_BYTES, release, slices, stored
 from .textarrays import LOWER, PLAIN_BYTES, U64, span_hashes, texts, words
 
 TOP = 10
 #: Documents of a block; a block also ends after SLICE_BYTES of text.
-BLOCK_DOCS = 64
+BLOCK_DOCS = 128
 #: Queries of one pass, and bytes of their texts.
 PASS_QUERIES, PASS_BYTES = 2_000, 4 << 20
 #: Blocks that are sorted together, and bytes of them; blocks scored first for each query.
@@ -78,12 +78,15 @@ def counts(docs: DataFrame, text: str) -> tuple[int, int]:
                 each = np.diff(terms_of(piece.column("text"))[3])
                 n, total = n + int((each > 0).sum()), total + int(each.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["n", "total"])
+        release()
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
     return found[0] or 0, found[1] or 0
 
 
-_BINARY = ["norms", "owners", "terms", "frequencies", "hashes", "spelled", "ends", "best", "holders"]
+#: A block's dictionary is in order of hashes, which are not stored: they follow from the spelling.
+_DICTIONARY = ["spelled", "lengths"]
+_BINARY = ["norms", "owners", "terms", "frequencies", *_DICTIONARY, "best", "holders"]
 
 
 def build(docs: DataFrame, id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS) -> Index:
@@ -109,7 +112,7 @@ def build(docs: DataFrame, id: str = "doc_id", text: str = "text", block_docs: i
         stops = np.cumsum(lengths)
         spelled = data[np.repeat(starts[at] - (stops - lengths), lengths) + np.arange(stops[-1])]
         ids = piece.column("doc_id").take(pa.array(kept))
-        held = [packed(norms), packed(owner), packed(local), packed(tf), keys.astype("<u8").tobytes(), spelled.tobytes(), packed(stops), packed(best), packed(np.bincount(local, minlength=len(keys)))]
+        held = [packed(norms), packed(owner), packed(local), packed(tf), spelled.tobytes(), packed(lengths), packed(best), packed(np.bincount(local, minlength=len(keys)))]
         return [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([x], pa.binary()) for x in held]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +126,7 @@ def build(docs: DataFrame, id: str = "doc_id", text: str = "text", block_docs: i
                     if row:
                         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *row], names=schema.names)
                         number += 1
+        release()
 
     return Index(stored(source.mapInArrow(run, schema), "lexical"), n_docs, n_terms)
 
@@ -156,11 +160,12 @@ class Queries:
         """Which terms of the pass a block's dictionary has, and where; kept with the block while it is held."""
         if "places" in row:
             return row["places"]
-        known = np.frombuffer(row["hashes"], dtype="<u8")
+        lengths = unpacked(row["lengths"])
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        known = span_hashes(np.frombuffer(row["spelled"], dtype=np.uint8), begins, ends)
         at = np.minimum(np.searchsorted(known, self.hashes), len(known) - 1)
-        ends = unpacked(row["ends"])
-        begins = np.concatenate([[0], ends[:-1]])
-        same = (known[at] == self.hashes) & (ends[at] - begins[at] == self.lengths)
+        same = (known[at] == self.hashes) & (lengths[at] == self.lengths)
         for i in np.flatnonzero(same & self.long).tolist():
             same[i] = row["spelled"][begins[at[i]] : ends[at[i]]] == self.spelled[i]
         mine = np.flatnonzero(same)
@@ -178,7 +183,7 @@ class Queries:
         """Scores of all documents of a block for some queries, a row for each query."""
         mine, at = self.places(row)
         norms, local = unpacked(row["norms"]), unpacked(row["terms"])
-        line = np.full(len(row["hashes"]) // 8, -1, dtype=np.int64)
+        line = np.full(len(unpacked(row["best"])), -1, dtype=np.int64)
         line[at] = np.arange(len(mine))
         line = line[local]
         hit = np.flatnonzero(line >= 0)
@@ -257,8 +262,9 @@ def weigh(index: Index, queries: Queries) -> None:
             total[mine] += unpacked(row["holders"])[at]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
+        release()
 
-    rows = index.blocks.select("hashes", "spelled", "ends", "holders").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # terms of one pass
+    rows = index.blocks.select(*_DICTIONARY, "holders").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # terms of one pass
     df = dict(map(tuple, rows))
     queries.weights = np.array([math.floor(1000 * math.log((2 * index.documents + 2) / (2 * df.get(i, 0) + 1))) for i in range(len(queries.hashes))], dtype=np.int64)
     shared.destroy()
@@ -279,8 +285,9 @@ def first_blocks(index: Index, queries: Queries) -> list[int]:
                 numbers, bounds = np.take_along_axis(numbers, keep, 0), np.take_along_axis(bounds, keep, 0)
         query = np.broadcast_to(np.arange(numbers.shape[1]), numbers.shape)
         yield pa.RecordBatch.from_arrays([pa.array(query.ravel()), pa.array(numbers.ravel()), pa.array(bounds.ravel())], names=["query", "block", "bound"])
+        release()
 
-    rows = index.blocks.select("block", "hashes", "spelled", "ends", "best").mapInArrow(run, "query long, block long, bound long").where("bound > 0")
+    rows = index.blocks.select("block", *_DICTIONARY, "best").mapInArrow(run, "query long, block long, bound long").where("bound > 0")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block"))
     found = rows.withColumn("place", place).where(F.col("place") <= FIRST).select("block").distinct().collect()  # FIRST for each query of the pass at most
     shared.destroy()
@@ -301,6 +308,7 @@ def found_in(blocks: DataFrame, queries: Queries, top: int) -> DataFrame:
         columns = zip(*flat, strict=True) if flat else ([], [], [])
         kinds = [pa.int64(), to_arrow_type(kind), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
+        release()
 
     rows = blocks.mapInArrow(run, schema)
     line = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
