@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, gone, kept
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int, both_ways: bool = False) -> DataFrame:
@@ -68,6 +68,44 @@ def longest_paths(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int,
     return first_rows(out, ["root"], [F.desc(F.size("path")), text], n)
 
 
+def widest(starts: DataFrame, edges: DataFrame, unknown_start: float = 0.65, unknown_edge: float = 0.5) -> DataFrame:
+    """(root, node, confidence): how far each node can be trusted that a root leads to: the best path's weakest hop.
+
+    ``starts`` has (node, confidence), ``edges`` (a, b, confidence); a missing confidence counts as the unknown one, the best
+    of several edges between two nodes counts. A root's own confidence bounds all of its paths, three digits are kept.
+    Labels rise until none does, and each round follows only those that have risen: at most as many rounds as the
+    longest best path has hops, cycles or not, and never a row more for a (root, node) than it has rises.
+    """
+    trusted = lambda c, unknown: F.round(F.coalesce(c, F.lit(unknown)), 3)
+    step = kept(edges.where("a is not null and b is not null").groupBy("a", "b").agg(F.max(trusted(F.col("confidence"), unknown_edge)).alias("hop")), "widest-edges")
+    best = kept(starts.where("node is not null").groupBy(F.col("node").alias("root"), "node").agg(F.max(trusted(F.col("confidence"), unknown_start)).alias("confidence")), "widest")
+    front, risen = best, None
+    while True:
+        reached = front.join(step, F.col("node") == F.col("a")).groupBy("root", F.col("b").alias("node")).agg(F.max(F.least("confidence", "hop")).alias("offer"))
+        risen_now = kept(reached.join(best, ["root", "node"], "left").where("confidence is null or offer > confidence").select("root", "node", F.col("offer").alias("confidence")), "widest-front")
+        gone(risen)
+        if risen_now.isEmpty():
+            gone(risen_now, step)
+            return best
+        merged = kept(best.unionByName(risen_now).groupBy("root", "node").agg(F.max("confidence").alias("confidence")), "widest")
+        gone(best)
+        best, front, risen = merged, risen_now, risen_now
+
+
+def path_confidence(paths: DataFrame, starts: DataFrame, edges: DataFrame, unknown_start: float = 0.65, unknown_edge: float = 0.5) -> DataFrame:
+    """Add ``confidence`` to (root, path): the weakest of the root's own and of the best edge for each hop, three digits.
+
+    Hops become rows that meet the edges and a minimum; a hop without an edge counts as unknown.
+    """
+    known = edges.where("a is not null and b is not null").groupBy("a", "b").agg(F.max(F.coalesce("confidence", F.lit(unknown_edge))).alias("hop"))
+    own = starts.where("node is not null").groupBy(F.col("node").alias("root")).agg(F.max(F.coalesce("confidence", F.lit(unknown_start))).alias("own"))
+    pairs = F.when(F.size("path") > 1, F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("a"), F.element_at("path", i + 1).alias("b"))))
+    hops = paths.select("root", "path", F.explode_outer(pairs).alias("x")).select("root", "path", "x.a", "x.b")
+    met = hops.join(known, ["a", "b"], "left").withColumn("hop", F.when(F.col("a").isNotNull(), F.coalesce("hop", F.lit(unknown_edge))))
+    weakest = met.groupBy("root", "path").agg(F.min("hop").alias("hop")).join(own, "root", "left")
+    return weakest.select("root", "path", F.round(F.least("hop", F.coalesce("own", F.lit(unknown_start))), 3).alias("confidence"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``."""
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")

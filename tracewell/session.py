@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .sources.tables import shared_dir
@@ -23,3 +25,21 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(df: DataFrame, tag: str = "kept") -> DataFrame:
+    """``df`` written to the folder of spark.checkpoint.dir and read again: no lineage, and a size that joins can go by."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tracewell_path = path
+    return out
+
+
+def gone(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``kept`` that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "tracewell_path", None)
+        if path:
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
