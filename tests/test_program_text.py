@@ -7,9 +7,10 @@ import pytest
 
 from tracewell.functions import lines
 from tracewell.operators import symbols
-from tracewell.plans.code import SOURCES
 from tracewell.sources import files
 
+from .program_sources import MANIFESTS, REPORTS, SOURCES
+
 
 @pytest.fixture(scope="module")
 def found(spark):
@@ -109,3 +110,10 @@ def test_constants_of_other_files(spark):
     assert of(got, "route", "b.js") == [] and got.where("kind = 'open-route'").count() == 0
     assert got.where("kind <> 'route'").count() == found.where("kind not in ('route', 'open-route')").count()
     assert symbols.folded_routes(found.where("false")).count() == 0
+
+
+def test_reports_and_manifests(spark):
+    got = {(x.tool, x.rule, x.path, x.severity) for x in files.tool_findings(spark.createDataFrame(REPORTS, "tool string, report string")).collect()}
+    assert got == {("bandit", "B1", "y.py", "low"), ("gitleaks", "key", "k.txt", "high"), ("osv", "O-1", "p.lock", "unknown"), ("osv", "O-2", "p.lock", "unknown"), ("semgrep", "a.b", "x.py", "error"), ("trivy", "V-1", "go.mod", "high")}
+    found = {(x.path, x.dependency) for x in files.dependencies(spark.createDataFrame(MANIFESTS, "path string, content string")).collect()}
+    assert found == {("package.json", "left"), ("package.json", "right"), ("package.json", "test"), ("requirements-dev.txt", "alpha"), ("requirements-dev.txt", "beta"), ("go.mod", "host.org/x/y"), ("Cargo.toml", "serde"), ("sub/pom.xml", "core"), ("Gemfile", "rails")}

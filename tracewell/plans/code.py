@@ -11,61 +11,47 @@ from ..functions import lines, scalars
 from ..operators import graphs, rows, spans, symbols
 from ..session import cut
 from ..sources import files, tables
-from ..sources.tables import EDGES_SQL, HUBS_SQL, table
+from ..sources.tables import EDGES_SQL, HUBS_SQL, STEPS_SQL, table
 from ..streaming import leases
+from .candidates import texts
 from .catalog import query
 
-#: Small sources in several languages, as the driver's tables hold little program text.
-SOURCES = [
-    ("app/orders.py", "from app.store import save\nimport app.util as util\n\nclass Base:\n    pass\n\nclass Orders(Base):\n    def total(self):\n        return util.clean(1)\n\nrouter = Router(prefix='/v1')\n\n@router.get('/orders')\nasync def listing():\n    name = request.args['q']\n    text = name + '!'\n    db.execute('SELECT * FROM orders JOIN items ON 1')\n    os.system(text)\n"),
-    ("app/store.py", "def save(row):\n    return row\n"),
-    ("app/util.py", "def clean(x):\n    # def hidden(): no\n    return '''def inner(): no'''\n"),
-    ("web/server.js", "const { check } = require('./auth')\nconst BASE = '/api'\nfunction start() {}\nrouter.post('/login', check)\napp.get(BASE + '/items', start)\nconst user = async (id) => id\neval(input)\nserver.route({ method: ['GET', 'POST'], url: '/both' })\n"),
-    ("web/paths.js", "export const SHOP = '/shop'\n"),
-    ("web/shop.js", "app.get(SHOP + '/cart', list)\n"),
-    ("web/auth.js", "export function check(a) { return verify(a) }\nclass Guard extends Base {}\n"),
-    ("web/cats.ts", "@Controller('cats')\nexport class Cats {\n  @Get(':id')\n  one() {}\n}\n"),
-    ("cmd/main.go", 'import (\n  "fmt"\n)\nfunc (s *Server) Run() {}\nfunc main() {\n  v1 := r.Group("/v1")\n  v1.GET("/ping", Run)\n  exec.Command("ls")\n}\n'),
-    ("src/lib.rs", 'pub fn parse(x: u8) {}\nstruct Token;\n#[get("/health")]\nfn health() {}\nfn app() { Router::new().route("/t", post(parse)) }\n'),
-    ("src/Users.java", '@RequestMapping("/users")\npublic class Users extends Base {\n  @GetMapping("/{id}")\n  public User one() { return find(); }\n}\n'),
-    ("src/ItemsController.cs", '[Route("api/[controller]")]\npublic class ItemsController : Base {\n  [HttpGet("{id}")]\n  public int One() { return 1; }\n}\n'),
-    ("routes/web.php", "<?php\nRoute::prefix('admin')->group(function () {\n  Route::get('/users', 'index');\n});\n"),
-    ("config/routes.rb", "resources :photos\nget '/about' do\nend\n"),
-    ("db/schema.sql", "CREATE TABLE IF NOT EXISTS orders (id int);\nINSERT INTO items VALUES (1);\n-- DROP TABLE gone\n"),
-    ("views/urls.py", "urlpatterns = [\n  path('home/', index),\n  path('shop/', include('shop.urls')),\n]\nrouter.register('books', Books)\n"),
-]
-
-
-def sources(spark: SparkSession, sf: str) -> DataFrame:
-    """(path, content): the sources above and the scripts of all pages."""
-    script = F.explode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), 1))
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), script.alias("content"))
-    return spark.createDataFrame(SOURCES, "path string, content string").unionByName(pages)
+#: The orders' programs: o, first step, whether urgent; and each step with the one behind it.
+_PROGRAM_SQL = f"""s AS (SELECT *, lead(k) OVER (PARTITION BY o ORDER BY k) AS next FROM ({STEPS_SQL})), m AS (SELECT o_orderkey AS o, o_orderpriority = '1-URGENT' AS urgent, first FROM orders LEFT JOIN (SELECT o, min(k) AS first FROM s GROUP BY o) ON o = o_orderkey),
+a AS (SELECT 'orders/o' || o || '/step' || k || '.py' AS path, * FROM s), b AS (SELECT 'orders/o' || o || '/main.py' AS path, * FROM m), j AS (SELECT 'pages/' || page_id || '.js' AS path, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS js FROM pages)"""
 
 
-@query()
+@query(f"""WITH {_PROGRAM_SQL} SELECT path, 1 AS line, 'function' AS kind, 'step_' || o || '_' || k AS name, NULL AS detail FROM a
+UNION ALL SELECT path, 2, 'constant', 'y', 'fixed' FROM a WHERE NOT passes UNION ALL SELECT path, 3, unnest(['call', 'risk']), 'system', 'os' FROM a WHERE flag = 'R' UNION ALL SELECT path, CASE flag WHEN 'R' THEN 4 ELSE 3 END, 'call', 'step_' || o || '_' || next, NULL FROM a WHERE next IS NOT NULL
+UNION ALL SELECT path, CASE flag WHEN 'R' THEN 6 ELSE 5 END, 'import', 'orders.o' || o || '.step' || next, NULL FROM a WHERE next IS NOT NULL
+UNION ALL SELECT path, 1, 'call', 'get', 'app' FROM b UNION ALL SELECT path, 1, 'route', 'GET /orders/' || o, 'decorator' FROM b UNION ALL SELECT path, 2, 'function', 'show_' || o, NULL FROM b
+UNION ALL SELECT path, 4, 'call', 'step_' || o || '_' || first, NULL FROM b WHERE first IS NOT NULL UNION ALL SELECT path, 5, unnest(['call', 'risk']), 'eval', NULL FROM b WHERE urgent
+UNION ALL SELECT path, CASE WHEN urgent THEN 7 ELSE 6 END, 'import', 'orders.o' || o || '.step' || first, NULL FROM b WHERE first IS NOT NULL
+UNION ALL SELECT path, 1, 'call', 'track', NULL FROM j WHERE contains(js, 'track(') UNION ALL SELECT path, 1, 'constant', 't', '</p>' FROM j WHERE contains(js, 'var t="</p>"')""")
 def q_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Declarations, imports, calls, routes, tables and risky calls of the sources and of the pages' scripts; constants of other files are folded into routes."""
-    return symbols.folded_routes(cut(lines.extract(sources(spark, sf))))
+    """Declarations, imports, calls, routes, tables and risky calls of the orders' programs and of the pages' scripts; constants of other files are folded into routes."""
+    return symbols.folded_routes(cut(lines.extract(texts(spark, sf))))
 
 
-@query()
+@query(f"""WITH {_PROGRAM_SQL} SELECT path AS from_path, 'orders/o' || o || '/step' || x || '.py' AS to_path, 'calls' AS relation, 'step_' || o || '_' || x AS name, 0.8::DOUBLE AS confidence
+FROM (SELECT path, o, next AS x FROM a UNION ALL SELECT path, o, first FROM b) WHERE x IS NOT NULL""")
 def q_call_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Calls, handlers and bases joined to the one declaration of their name; names declared more than once link nothing."""
-    return symbols.relationships(cut(lines.extract(sources(spark, sf))))
+    return symbols.relationships(cut(lines.extract(texts(spark, sf))))
 
 
-@query()
+@query(f"""WITH {_PROGRAM_SQL} SELECT path AS from_path, 'orders.o' || o || '.step' || x AS module, 'orders/o' || o || '/step' || x || '.py' AS to_path FROM (SELECT path, o, next AS x FROM a UNION ALL SELECT path, o, first FROM b) WHERE x IS NOT NULL""")
 def q_import_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Imports resolved to files; ambiguous ones to none."""
-    src = sources(spark, sf)
+    src = texts(spark, sf)
     return symbols.resolve_imports(lines.extract(src), src.select("path"))
 
 
-@query()
+@query(f"""WITH {_PROGRAM_SQL} SELECT path, 3 AS source_line, 5 AS sink_line, 'r' AS variable, concat_ws(chr(10), '3:     q = request.args[''q'']', '4:     r = ' || coalesce('step_' || o || '_' || first || '(q)', 'q'), '5:     eval(r)', '6:     return r',
+ '7: ' || coalesce('from orders.o' || o || '.step' || first || ' import step_' || o || '_' || first, '')) AS excerpt FROM b WHERE urgent""")
 def q_extract_literals(spark: SparkSession, sf: str) -> DataFrame:
     """Inputs, what is made from them, and the risky calls within 80 lines that take it, with the lines around."""
-    src = sources(spark, sf)
+    src = texts(spark, sf)
     found = symbols.flows(src)
     frames = spans.line_frames(symbols.numbered(src), found.select("path", F.col("sink_line").alias("line")), 2)
     return found.join(frames.withColumnRenamed("hit", "sink_line"), ["path", "sink_line"], "left")
@@ -78,27 +64,49 @@ def q_script_capabilities(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").where(F.contains("html", F.lit("<script>"))).select("page_id", count("<script>").alias("scripts"), count(r"track\(").alias("tracks"), F.length("html").cast("long").alias("size"))
 
 
-REPORTS = [
-    ("semgrep", '{"results":[{"check_id":"a.b","path":"x.py","start":{"line":3},"extra":{"severity":"ERROR","message":"m"}}]}'), ("gitleaks", '[{"RuleID":"key","File":"k.txt","StartLine":1,"Description":"d"}]'),
-    ("bandit", '{"results":[{"test_id":"B1","filename":"y.py","line_number":9,"issue_severity":"LOW","issue_text":"t"}]}'), ("trivy", '{"Results":[{"Target":"go.mod","Vulnerabilities":[{"VulnerabilityID":"V-1","Severity":"HIGH","Title":"v"}]},{"Target":"none"}]}'),
-    ("osv", '{"results":[{"source":{"path":"p.lock"},"packages":[{"vulnerabilities":[{"id":"O-1","summary":"s"},{"id":"O-2","summary":"s"}]}]}]}'), ("bandit", "not json"), ("other", "{}"),
-]
-MANIFESTS = [
-    ("package.json", '{"dependencies":{"left":"1","right":"2"},"devDependencies":{"test":"3"}}'), ("requirements-dev.txt", "alpha==1\n# no\nbeta>=2\nalpha\n"), ("go.mod", "module m\nrequire (\n  host.org/x/y v1.2\n)\n"), ("Cargo.toml", '[package]\nname = "me"\n[dependencies]\nserde = "1"\n'),
-    ("sub/pom.xml", "<dependency><artifactId>core</artifactId></dependency>"), ("Gemfile", "gem 'rails'\n"), ("readme.md", "gem 'no'"),
-]
+#: The kind of report and of manifest that an order's priority stands for, in the order of PRIORITIES.
+TOOLS = ["semgrep", "gitleaks", "bandit", "trivy", "osv"]
+MANIFESTS = ["requirements-dev.txt", "package.json", "go.mod", "Cargo.toml", "pom.xml"]
 
 
-@query("""SELECT * FROM (VALUES ('bandit', 'B1', 'y.py', 'low'), ('gitleaks', 'key', 'k.txt', 'high'), ('osv', 'O-1', 'p.lock', 'unknown'), ('osv', 'O-2', 'p.lock', 'unknown'), ('semgrep', 'a.b', 'x.py', 'error'), ('trivy', 'V-1', 'go.mod', 'high')) t(tool, rule, path, severity)""")
-def q_tool_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Reports of five scanners in one shape."""
-    return files.tool_findings(spark.createDataFrame(REPORTS, "tool string, report string")).select("tool", "rule", "path", "severity")
+def of_orders(spark: SparkSession, sf: str, names: list[str], parts: list, whole: list) -> DataFrame:
+    """(o, name, text): a text for each order that has lines: its parts in order, each kind with its own pattern."""
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"))
+    kind = table(spark, sf, "orders").select(F.col("o_orderkey").alias("o"), tables.mapped("o_orderpriority", dict(zip(tables.PRIORITIES, names, strict=True))).alias("name"))
+    one = F.lit(None).cast("string")
+    for name, made in zip(names, parts, strict=True):
+        one = F.when(F.col("name") == name, made).otherwise(one)
+    held = line.join(kind, "o").withColumn("one", one).groupBy("o", "name").agg(F.sort_array(F.collect_list("one")).alias("ones"))  # an order has few lines
+    text = F.lit(None).cast("string")
+    for name, (head, between, tail) in zip(names, whole, strict=True):
+        text = F.when(F.col("name") == name, F.concat(F.lit(head), F.array_join("ones", between), F.lit(tail))).otherwise(text)
+    return held.select("o", "name", text.alias("text"))
 
 
-@query("""SELECT * FROM (VALUES ('package.json', 'left'), ('package.json', 'right'), ('package.json', 'test'), ('requirements-dev.txt', 'alpha'), ('requirements-dev.txt', 'beta'), ('go.mod', 'host.org/x/y'), ('Cargo.toml', 'serde'), ('sub/pom.xml', 'core'), ('Gemfile', 'rails')) t(path, dependency)""")
+@query("""SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'semgrep' WHEN '2-HIGH' THEN 'gitleaks' WHEN '3-MEDIUM' THEN 'bandit' WHEN '4-NOT SPECIFIED' THEN 'trivy' ELSE 'osv' END AS tool, 'R' || l_partkey AS rule, 's' || l_suppkey || '.py' AS path,
+CASE o_orderpriority WHEN '2-HIGH' THEN 'high' WHEN '5-LOW' THEN 'unknown' ELSE CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END END AS severity FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def q_tool_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of five scanners in one shape; each order is a report about its lines, and unreadable ones give nothing."""
+    level = F.upper(F.when(F.col("flag") == "R", "high").when(F.col("flag") == "A", "medium").otherwise("low"))
+    parts = [
+        F.format_string('{"check_id":"R%d","path":"s%d.py","start":{"line":%d},"extra":{"severity":"%s","message":"m"}}', "p", "s", "n", level), F.format_string('{"RuleID":"R%d","File":"s%d.py","StartLine":%d,"Description":"d"}', "p", "s", "n"),
+        F.format_string('{"test_id":"R%d","filename":"s%d.py","line_number":%d,"issue_severity":"%s","issue_text":"t"}', "p", "s", "n", level), F.format_string('{"Target":"s%d.py","Vulnerabilities":[{"VulnerabilityID":"R%d","Severity":"%s","Title":"v"}]}', "s", "p", level),
+        F.format_string('{"source":{"path":"s%d.py"},"packages":[{"vulnerabilities":[{"id":"R%d","summary":"s"}]}]}', "s", "p"),
+    ]
+    reports = of_orders(spark, sf, TOOLS, parts, [('{"results":[', ",", "]}"), ("[", ",", "]"), ('{"results":[', ",", "]}"), ('{"Results":[', ",", "]}"), ('{"results":[', ",", "]}")])
+    reports = reports.select(F.col("name").alias("tool"), F.col("text").alias("report"))
+    broken = table(spark, sf, "region").select(F.lit("bandit").alias("tool"), F.col("r_name").alias("report")).unionByName(table(spark, sf, "region").select(F.lit("other").alias("tool"), F.lit("{}").alias("report")))
+    return files.tool_findings(reports.unionByName(broken)).select("tool", "rule", "path", "severity")
+
+
+@query("""SELECT DISTINCT 'o' || l_orderkey || '/' || CASE o_orderpriority WHEN '1-URGENT' THEN 'requirements-dev.txt' WHEN '2-HIGH' THEN 'package.json' WHEN '3-MEDIUM' THEN 'go.mod' WHEN '4-NOT SPECIFIED' THEN 'Cargo.toml' ELSE 'pom.xml' END AS path,
+CASE o_orderpriority WHEN '3-MEDIUM' THEN 'host.org/s' || l_suppkey || '/part' || l_partkey ELSE 'part' || l_partkey END AS dependency FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def q_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    """What manifests of several kinds depend on."""
-    return files.dependencies(spark.createDataFrame(MANIFESTS, "path string, content string"))
+    """What manifests of five kinds depend on; each order is a manifest of its parts."""
+    parts = [F.format_string("part%d==1.%d", "p", "n"), F.format_string('"part%d":"1.%d"', "p", "n"), F.format_string("  host.org/s%d/part%d v1.%d", "s", "p", "n"), F.format_string('part%d = "1.%d"', "p", "n"), F.format_string("<dependency><artifactId>part%d</artifactId><version>1.%d</version></dependency>", "p", "n")]
+    whole = [("# parts\n", "\n", "\n"), ('{"name":"o","dependencies":{', ",", "}}"), ("module m\nrequire (\n", "\n", "\n)\n"), ('[package]\nname = "me"\n[dependencies]\n', "\n", "\n"), ("<project>", "", "</project>")]
+    manifests = of_orders(spark, sf, MANIFESTS, parts, whole)
+    return files.dependencies(manifests.select(F.format_string("o%d/%s", "o", "name").alias("path"), F.col("text").alias("content")))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -88,6 +88,34 @@ def trusted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("b is not null and a <> b")
 
 
+#: The steps of every order as SQL: its lines in order, each number once.
+STEPS_SQL = "SELECT l_orderkey AS o, l_linenumber AS k, min(l_quantity) >= 10 AS passes, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2"
+
+
+def program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): the orders as program text, a file for each line and one for each order.
+
+    An order is a web handler that hands an input to the step of its first line; each step hands it on to the next, unless its
+    quantity is below 10, which replaces it; returned lines give it to the shell. Urgent orders evaluate what comes back.
+    """
+    from pyspark.sql import Window
+
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k")).agg((F.min("l_quantity") >= 10).alias("passes"), F.max("l_returnflag").alias("flag"))
+    line = line.withColumn("next", F.lead("k").over(Window.partitionBy("o").orderBy("k")))
+    text = lambda pattern, *columns: F.format_string(pattern, *columns)
+    nothing = F.lit("")
+    step = F.concat(
+        text("def step_%d_%d(x):\n", "o", "k"), F.when(F.col("passes"), text("    y = x + '%s'\n", "flag")).otherwise(F.lit("    y = 'fixed'\n")), F.when(F.col("flag") == "R", F.lit("    os.system(y)\n")).otherwise(nothing),
+        F.when(F.col("next").isNotNull(), text("    z = step_%1$d_%2$d(y)\n    return z\nfrom orders.o%1$d.step%2$d import step_%1$d_%2$d\n", "o", "next")).otherwise(F.lit("    return y\n")),
+    )
+    steps = line.select(text("orders/o%d/step%d.py", "o", "k").alias("path"), step.alias("content"))
+    first = line.groupBy("o").agg(F.min("k").alias("first"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), "o_orderpriority").join(first, "o", "left")
+    body = F.when(F.col("first").isNotNull(), text("    r = step_%d_%d(q)\n", "o", "first")).otherwise(F.lit("    r = q\n"))
+    main = F.concat(text("@app.get('/orders/%d')\ndef show_%d():\n    q = request.args['q']\n", "o", "o"), body, F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("    eval(r)\n")).otherwise(nothing), F.lit("    return r\n"), F.when(F.col("first").isNotNull(), text("from orders.o%1$d.step%2$d import step_%1$d_%2$d\n", "o", "first")).otherwise(nothing))
+    return steps.unionByName(orders.select(text("orders/o%d/main.py", "o").alias("path"), main.alias("content")))
+
+
 def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node): the 20 dearest parts, which queries ask about where an answer for every part would be all pairs."""
     return table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select(F.col("p_partkey").alias("node"))
