@@ -89,14 +89,6 @@ def test_tree_and_archives(spark, tmp_path):
     assert bytes(rows["ok.txt", None]) == b"ok.txt" and len(rows) == 5
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [("noise {'a': True, b: None,} tail", {"a": True, "b": None}), ('<think>{"a": 0}</think>\n```json\n{"a": 2}\n```', {"a": 2}), ('{"x": 1}\n{"a": 3}', {"a": 3}), ("“nothing”", None), (None, None), ("{", None)],
-)
-def test_loose_json(text, want):
-    assert files.loose_json(text, ("a",)) == want
-
-
 def test_constants_of_other_files(spark):
     files_ = [
         ("a.js", "export const SHOP = '/shop'\nconst ONE = '/one'\nconst TAIL = 'x'\n"), ("b.js", "const ONE = '/two'\n"),

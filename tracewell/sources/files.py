@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import tolerant
+
 #: Languages by suffix.
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java", "php": "php", "rb": "ruby", "sql": "sql", "html": "html", "md": "markdown", "json": "json"}
 MOST_BYTES = 100 << 20
@@ -137,51 +139,12 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     return manifests.select("path", F.explode(F.array_distinct(names)).alias("dependency"))
 
 
-_THOUGHT, _FENCE = re.compile(r"<think(?:ing)?>.*?</think(?:ing)?>", re.S), re.compile(r"```(?:\w+)?\s*\n(.*?)```", re.S)
-
-
-def loose_json(text: str | None, wanted: tuple[str, ...] = ()) -> dict | None:
-    """The object that a text holds: without marked thoughts, from code fences, lines or the text itself, with the usual slips of pen repaired.
-
-    Of several objects the first with one of the wanted keys, else the first. None if there is none.
-    """
-    if not text:
-        return None
-    text = _THOUGHT.sub("", text)
-    parts = [*_FENCE.findall(text), text, *text.splitlines()]
-    found = []
-    for part in parts:
-        for start in [m.start() for m in re.finditer(r"\{", part)][:20]:
-            for candidate in (part[start:], repaired(part[start:])):
-                try:
-                    value, _ = json.JSONDecoder().raw_decode(candidate)
-                except ValueError:
-                    continue
-                if isinstance(value, dict):
-                    found.append(value)
-                break
-            if found and any(k in found[-1] for k in wanted):
-                return found[-1]
-            if found and not wanted:
-                return found[0]
-    return found[0] if found else None
-
-
-def repaired(text: str) -> str:
-    """Straight quotes, JSON constants, quoted keys, no comma before a closing bracket."""
-    text = text.translate(str.maketrans("“”‘’", "\"\"''"))
-    text = re.sub(r"'([^'\"]*)'", r'"\1"', text)
-    text = re.sub(r"\b(True|False|None)\b", lambda m: {"True": "true", "False": "false", "None": "null"}[m[0]], text)
-    text = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', text)
-    return re.sub(r",\s*([}\]])", r"\1", text)
-
-
 def json_objects(df: DataFrame, text: str, wanted: tuple[str, ...] = ()) -> DataFrame:
     """Add ``object``: the loosely written object in a text as JSON with sorted keys, null without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [loose_json(x, wanted) for x in batch.column(text).to_pylist()]
+            got = [tolerant.chosen(x, wanted) for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else json.dumps(x, sort_keys=True) for x in got], pa.string())], names=[*batch.schema.names, "object"])
 
     base = df.drop("object")
