@@ -151,31 +151,65 @@ def reach_capped(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int,
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """(node, parent, depth): all that each node descends from, at the least depth, over (child, parent) rows; cycles end."""
-    step = cut(parents.select("child", "parent").distinct())
-    seen = front = cut(step.select(F.col("child").alias("node"), "parent", F.lit(1).alias("depth")))
-    level = 1
-    while not front.isEmpty():
-        level += 1
-        fresh = front.select("node", F.col("parent").alias("child")).join(step, "child").select("node", "parent").distinct()
-        front = cut(fresh.join(seen.select("node", "parent"), ["node", "parent"], "left_anti").withColumn("depth", F.lit(level)))
-        seen = seen.unionByName(front)
-    return seen
+    """(node, parent, depth): all that each node descends from, at the least depth, over (child, parent) rows; cycles end.
+
+    Rounds double: what is known up to depth n gives all up to 2 n, as the way to an ancestor that is further off leads through
+    one at depth n. A line of 1,000 takes ten rounds.
+    """
+    known = kept(parents.where("child is not null and parent is not null").select(F.col("child").alias("node"), "parent").distinct().withColumn("depth", F.lit(1)), "ancestors")
+    reach = 1
+    while True:
+        half = known.where(F.col("depth") == reach).select("node", F.col("parent").alias("via"))
+        rest = known.select(F.col("node").alias("via"), "parent", (F.col("depth") + reach).alias("depth"))
+        found = half.join(rest, "via").groupBy("node", "parent").agg(F.min("depth").alias("depth"))
+        fresh = kept(found.join(known, ["node", "parent"], "left_anti"), "ancestors-new")
+        if fresh.isEmpty():
+            gone(fresh)
+            return known
+        both = kept(known.unionByName(fresh), "ancestors")
+        gone(known, fresh)
+        known, reach = both, 2 * reach
 
 
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """(a, b, score): a one-to-one choice, best score first, ties by a and then b.
 
-    Each round takes all pairs that are the best of both their sides, which is what going through the sorted list
-    would take, and drops the rows of sides used up. Every round takes at least the best pair left. Pairs with a null
-    are left out.
+    A pair waits for the better ones of its two sides. In each round a pair that waits for none is taken, and one that waits
+    for a single other is taken if that is not, so chains of such pairs are decided by how far they are from their end, even or
+    odd, found by doubling; pairs of sides used up go. Only the two best pairs of each side are looked at in a round, so a side
+    with many pairs is no large group. Pairs with a null are left out, of repeated ones the best counts.
     """
-    left, taken = cut(pairs.select("a", "b", "score").dropna()), None
-    first = F.struct((-F.col("score")).alias("s"), "a", "b")
+    from .rows import first_rows
+
+    left = kept(pairs.dropna(subset=["a", "b", "score"]).groupBy("a", "b").agg(F.max("score").alias("score")), "pairs")
+    shape, parts = left.schema, []
     while not left.isEmpty():
-        of_a = left.groupBy("a").agg(F.min(first).alias("best")).select("best.a", "best.b")
-        of_b = left.groupBy("b").agg(F.min(first).alias("best")).select("best.a", "best.b")
-        now = cut(left.join(of_a.join(of_b, ["a", "b"]), ["a", "b"]).select("a", "b", "score"))
-        taken = now if taken is None else taken.unionByName(now)
-        left = cut(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("a", "b", "score"))
-    return left if taken is None else taken
+        order = [-F.col("score"), F.col("a"), F.col("b")]
+        of = {}
+        for side in ("a", "b"):
+            two = first_rows(left, [side], order, 2)
+            best = two.groupBy(side).agg(F.min(F.struct((-F.col("score")).alias("s"), "a", "b")).alias("best"))
+            of[side] = two.join(best, side).select("a", "b", "score", F.struct("best.a", "best.b").alias(f"first_{side}"))
+        me = F.struct("a", "b")
+        both = of["a"].join(of["b"].drop("score"), ["a", "b"]).withColumns({"at_a": F.col("first_a") == me, "at_b": F.col("first_b") == me}).where("at_a or at_b")
+        waits = F.when(~F.col("at_a"), F.col("first_a")).when(~F.col("at_b"), F.col("first_b")).otherwise(me)
+        line = kept(both.select(me.alias("me"), "score", waits.alias("to"), F.when(F.col("at_a") & F.col("at_b"), 0).otherwise(1).alias("odd")), "line")
+        while True:
+            on = line.select(F.col("me").alias("to"), F.col("to").alias("further"), F.col("odd").alias("more"))
+            # one whose way leads to a pair that waits for two is not decided in this round
+            jumped = kept(line.join(on, "to").select("me", "score", F.col("further").alias("to"), ((F.col("odd") + F.col("more")) % 2).alias("odd"), (F.col("further") != F.col("to")).alias("moved")), "line")
+            gone(line)
+            line, moving = jumped.drop("moved"), not jumped.where("moved").isEmpty()
+            line.tracewell_path = jumped.tracewell_path
+            if not moving:
+                break
+        now = kept(line.where("odd = 0").select("me.a", "me.b", "score"), "taken")
+        gone(line)
+        rest = kept(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("a", "b", "score"), "pairs")
+        gone(left)
+        left = rest
+        parts.append(now)
+    out = pairs.sparkSession.createDataFrame([], shape)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
