@@ -209,14 +209,32 @@ def test_verdicts_against_brute_force(spark):
         values = sorted(bucket(x[metric]) for x in found)
         return next(v for k, v in enumerate(values, 1) if k >= len(values) * q)
 
+    def points(found, wider, metric):
+        """Quantiles of all values, drawn to the language; of present ones, drawn to the language, which is drawn to all."""
+        out = {p: (len(found) * at(found, metric, q) + 200 * at(wider, metric, q)) / (len(found) + 200) for p, q in quality_rules.POINTS.items()}
+        for p, q in quality_rules.PRESENT.items():
+            value = None
+            for level in (every, wider, found):
+                some = [x for x in level if x[metric]]
+                own = at(some, metric, q) if some else None
+                value = value if own is None else own if value is None else (len(some) * own + 200 * value) / (len(some) + 200)
+                if level is every:
+                    value = own
+            out[p] = value
+        return out
+
+    every = [x for x in got.values() if not x.base_failed]
     for i, _, lang, source in rows:
         row, keep = got[i], not got[i].base_failed
         own, all_ = groups[lang, source], wide[lang]
-        for metric, (top, times, least, lower) in quality_rules.METRICS.items():
+        for metric, ((top, times), present, least, lower) in quality_rules.METRICS.items():
             if not keep:
                 break
-            point = {p: (len(own) * at(own, metric, q) + 200 * at(all_, metric, q)) / (len(own) + 200) for p, q in quality_rules.POINTS.items()}
-            distance = max((point[top] - point["q1"]) * times, least)
-            keep = row[metric] <= point[top] + distance and (not lower or row[metric] >= point["q1"] - distance)
+            point = points(own, all_, metric)
+            distance = max((point[top] - point["q1"]) * times, point[top] * least)
+            high = max(point[top] + distance, point["q90"])
+            if present and point["p25"] is not None:
+                high = max(high, point[present[0]] * present[1] + (point[present[0]] - point["p25"]) * present[2])
+            keep = row[metric] <= high and (not lower or row[metric] >= point["q1"] - distance)
         assert row.kept == keep, i
     assert 0 < sum(x.kept for x in got.values()) < len(rows)

@@ -45,3 +45,15 @@ def test_no_row_count_flips_the_rule(spark):
     got = kept(spark, rows)
     assert [got[len(rows) - i] for i in (3, 2, 1)] == [True, False, True]
     assert all(got[i] for i in range(len(rows) - 3))
+
+
+def test_fences_scale_with_their_group(spark):
+    """Ten times as many of what a metric counts in a group moves its fence about tenfold: no number in a metric's unit decides."""
+    r = random.Random(23)
+    rates = [(r.randint(1, 60) if r.random() < 0.3 else 0, r.randint(1, 90) if r.random() < 0.2 else 0, r.randint(5, 200) if r.random() < 0.1 else 0, r.randint(400, 600)) for _ in range(6000)]
+    columns = list(quality_rules.METRICS)
+    rows = [(k, "s", *[v * scale if m != "word_length" else v for v, m in zip(row, columns, strict=True)]) for k, scale in (("one", 1), ("ten", 10)) for row in rates]
+    found = {x.lang: x for x in quality_rules.fences(spark.createDataFrame(rows, f"lang string, source string, {', '.join(f'{m} long' for m in columns)}"), ["lang", "source"], prior_rows=5).collect()}
+    for m in columns[:3]:
+        assert 8 < found["ten"][f"{m}_high"] / found["one"][f"{m}_high"] < 11.5, m
+    assert abs(found["ten"].word_length_high / found["one"].word_length_high - 1) < 0.05

@@ -3,15 +3,18 @@
 Each text gets whole counts; their ratios, as integers of a ten-thousandth, go into a mergeable
 quantile sketch for each (language, source): counts of integer buckets with 1/128 relative width,
 so that sketches of parts add up to the sketch of the whole, in any order. Fences from the sketch's
-quantiles replace fixed cutoffs, and a join on (language, source) applies them: an upper quantile plus a
-multiple of its distance from the lower quartile, and for word lengths the lower quartile less as much. A least
-distance keeps a group of nearly equal values from rejecting its own; as it is added to the quantile, a fence
-moves with its group wherever that lies. Sketches hold the rows that pass the base rule, as fences judge no others.
+quantiles replace fixed cutoffs, and a join on (language, source) applies them. No number in them has a metric's unit.
+A sketch has two parts: all values, and the present ones, which are above 0. Of all values an upper quantile plus a
+multiple of its distance from the lower quartile makes a fence (for word lengths the lower quartile less as much as well),
+and so does a quantile of the present ones, times a factor or plus a multiple of their distance from their lower quartile: where
+most texts have nothing of a metric, only those that have some tell how much is usual. The higher of both
+holds, and never less than what a tenth of the group exceeds. Sketches hold the rows that pass the base rule, as fences judge no others.
 
 Null and empty texts count zero words and fail the base rule. Null languages and sources form groups of
 their own. A group's quantiles are drawn towards those of its language (the first key), with the weight of
 ``prior_rows`` rows against its own: a small group leans on its language, and no row count changes the rule.
-A language is drawn to nothing. Ties and repeated rows are judged alike, row by row.
+Quantiles of present values count the rows that have some, and a language's are drawn to those of all rows in the
+same way; those of all values are drawn to nothing. Ties and repeated rows are judged alike, row by row.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +34,14 @@ from .textarrays import mix, shingles, span_hashes, texts, words
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 REPEAT_WINDOW = 8
-POINTS = {"q1": 0.25, "q3": 0.75, "q95": 0.95}
-#: metric: (upper quantile, multiple of its distance from q1, least distance of the fence, whether there is a lower one).
-#: Distances are in ten-thousandths, of word lengths in hundredths of a character. Symbols are judged from q3, as in
-#: some sources of sf0.1 over a twentieth of the texts are full of them.
-METRICS = {"symbol_rate": ("q3", 6, 500, False), "dup_line_rate": ("q95", 1, 1_500, False), "repeat_rate": ("q95", 1, 1_500, False), "word_length": ("q3", 6, 100, True)}
+POINTS = {"q1": 0.25, "q3": 0.75, "q90": 0.9, "q95": 0.95}
+PRESENT = {"p05": 0.05, "p25": 0.25, "p75": 0.75}
+#: metric: (upper quantile of all values, multiple of its distance from q1), (quantile of present values, factor, multiple of its
+#: distance from p25), least distance as a share of the upper quantile, whether there is a lower fence. Symbols are judged from the low end of
+#: the present ones, as in prose it is unusual to have any; lines and words repeat now and then, so only the far end counts.
+METRICS = {
+    "symbol_rate": (("q3", 6), ("p05", 0.5, 0), 2 / 3, False), "dup_line_rate": (("q95", 1), ("p75", 1, 2), 2 / 3, False), "repeat_rate": (("q95", 1), ("p75", 1, 2), 2 / 3, False), "word_length": (("q3", 6), None, 0.125, True),
+}
 #: Weight of the language's quantiles in a group's, in rows.
 PRIOR_ROWS = 200
 
@@ -136,15 +142,38 @@ def fences(rated: DataFrame, keys: list[str], prior_rows: int = PRIOR_ROWS) -> D
     own = sketches(rated, keys, metrics)
     first = keys[0]
     merged = own.groupBy(first, "metric", "bucket").agg(F.sum("n").alias("n"))  # sketches merge by adding
+    total = merged.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    same = F.col("metric") == F.col("wide_metric")
+    renamed = lambda df, **more: df.select(F.col("metric").alias("wide_metric"), *[F.col(c).alias(f"wide_{c}") for c in df.columns if c not in (first, *keys, "metric", "rows")], *[F.col(c).alias(n) for n, c in more.items()])
+
+    def drawn(rows: str, p: str) -> Column:
+        """A quantile with the weight of its rows, and the wider one with the weight of the prior; where one is missing the other."""
+        blend = (F.col(rows) * F.col(p) + prior_rows * F.col(f"wide_{p}")) / (F.col(rows) + prior_rows)
+        return F.coalesce(blend, F.col(f"wide_{p}"), F.col(p))
+
     mine, wide = quantiles(own, keys, POINTS), quantiles(merged, [first], POINTS)
-    wide = wide.select(F.col(first).alias("wide_key"), F.col("metric").alias("wide_metric"), *[F.col(p).alias(f"wide_{p}") for p in POINTS])
-    drawn = lambda p: (F.col("rows") * F.col(p) + prior_rows * F.col(f"wide_{p}")) / (F.col("rows") + prior_rows)
-    both = mine.join(wide, F.col(first).eqNullSafe(F.col("wide_key")) & (F.col("metric") == F.col("wide_metric"))).withColumns({p: drawn(p) for p in POINTS})
+    both = mine.join(renamed(wide, wide_key=first), F.col(first).eqNullSafe(F.col("wide_key")) & same)
+    both = both.select(*keys, "metric", "rows", *[drawn("rows", p).alias(p) for p in POINTS])
+
+    some = lambda sketch, by: quantiles(sketch.where("bucket > 0"), by, PRESENT)
+    every = renamed(some(total, []))
+    languages = merged.select(first, "metric").distinct().join(some(merged, [first]).withColumnsRenamed({first: "key", "metric": "m"}), F.col(first).eqNullSafe(F.col("key")) & (F.col("metric") == F.col("m")), "left").drop("key", "m")
+    languages = languages.join(every, same, "left").select(first, "metric", *[drawn("rows", p).alias(p) for p in PRESENT])
+    of_group = some(own, keys).select(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)], F.col("metric").alias("m"), F.col("rows").alias("present_rows"), *PRESENT)
+    met = F.col("metric") == F.col("m")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"of_{i}"))
+    both = both.join(of_group, met, "left").join(renamed(languages, wide_key=first), F.col(first).eqNullSafe(F.col("wide_key")) & same, "left")
+    both = both.withColumns({p: drawn("present_rows", p) for p in PRESENT})
     out = []
-    for m, (top, times, least, lower) in METRICS.items():
+    for m, ((top, times), present, least, lower) in METRICS.items():
         here = F.col("metric") == m
-        distance = F.greatest((F.col(top) - F.col("q1")) * times, F.lit(least))
-        out.append(F.max(F.when(here, F.col(top) + distance)).alias(f"{m}_high"))
+        distance = F.greatest((F.col(top) - F.col("q1")) * times, F.col(top) * least)
+        high = F.greatest(F.col(top) + distance, F.col("q90"))
+        if present:
+            point, factor, spread = present
+            high = F.greatest(high, F.col(point) * factor + (F.col(point) - F.col("p25")) * spread)
+        out.append(F.max(F.when(here, high)).alias(f"{m}_high"))
         out.append(F.max(F.when(here, F.col("q1") - distance if lower else F.lit(-1))).alias(f"{m}_low"))
     return both.groupBy(*keys).agg(F.max("rows").alias("group_rows"), *out)
 

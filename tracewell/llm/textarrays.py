@@ -150,7 +150,7 @@ def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=U64)
     m = min(k, n)
-    out = np.full(n - m + 1, U64(m) * U64(0x9E3779B97F4A7C15), dtype=U64)
+    out = np.full(n - m + 1, U64(m * 0x9E3779B97F4A7C15 % (1 << 64)), dtype=U64)
     for j in range(m):
         out += word_hashes[j : n - m + 1 + j] * _PLACES[j]
     return mix(out)
