@@ -8,25 +8,27 @@ the exact weighted Jaccard similarity of shingle counts (sum of minima over sum
 Windows that share no shingle with any item have similarity 0, so leaving them out loses nothing.
 A text with fewer words than an item is its one window, with the same fingerprint, radius and exact check.
 
-A benchmark larger than one block of items is taken block by block, each a pass over all texts, so what is
-broadcast stays bounded. Null and empty texts and items match nothing; repeated items match each.
+A benchmark larger than one block of items is taken block by block, each a job of its own over all texts: what it finds is
+written, by text, and its broadcast goes before the next begins, so a task holds one block however many there are. Null and empty texts and items match nothing; repeated items match each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, unused
+from .common import append_columns, stored, unused
 from .textarrays import PLAIN_BYTES, shingles, span_hashes, texts, words
 
 WORDS = 5
-RADIUS = 20
+RADIUS = 23
 BLOCK_BITS, BLOCKS, BITS_OFF = 8, 8, 2
 #: Items of one pass, and bytes of their texts.
 PASS_ITEMS, PASS_BYTES = 20_000, 32 << 20
@@ -164,30 +166,48 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
 
     An input column of that name is replaced; all others stay. Items with a null id are left out.
     """
-    folded, of_pass = unused(docs, "folded_text"), unused(docs, "leaks_of_pass")
-    out = docs.withColumns({"leaks": F.lit(None).cast(FOUND), folded: F.lower(text)})
-    spark = docs.sparkSession
-    for ids, items in benchmark_passes(benchmark):
-        shared = spark.sparkContext.broadcast((ids, items))
-
-        def make(shared=shared) -> Callable[[pa.RecordBatch], list]:  # noqa: ANN001
-            own = Benchmark(*shared.value, k)
-
-            def step(piece: pa.RecordBatch) -> list:
-                data, bounds = texts(piece.column(folded))
-                starts, ends, first = words(data, bounds, PLAIN_BYTES)
-                hashes = span_hashes(data, starts, ends)
-                rows = []
-                for i in range(piece.num_rows):
-                    found = own.search(hashes[first[i] : first[i + 1]], radius, least) if own.items else []
-                    rows.append([{"item_id": own.ids[j], "similarity": s, "first_word": at, "n_words": n} for j, s, at, n in found])
-                return [pa.array(rows, _FOUND_ARROW)]
-
-            return step
-
-        out = append_columns(out, make, [T.StructField(of_pass, FOUND)], folded)
-        out = out.withColumn("leaks", F.when(F.col("leaks").isNull(), F.col(of_pass)).otherwise(F.concat("leaks", of_pass))).drop(of_pass)
-    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(FOUND))).drop(folded)
+    folded = unused(docs, "folded_text")
+    passes = benchmark_passes(benchmark)
+    first, second = next(passes, ([], [])), next(passes, None)
+    base = docs.drop("leaks").withColumn(folded, F.lower(text))
+    if second is None:  # nothing to gather: the rows themselves get the column
+        return _searched(base, folded, first, radius, least, k)[0].withColumn("leaks", F.coalesce("leaks", F.array().cast(FOUND))).drop(folded)
+    # leaks follow from the text alone: what passes find meets the rows by two hashes of it
+    key = [unused(docs, f"leaks_key_{i}") for i in range(2)]
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = base.withColumns({key[0]: F.xxhash64(body), key[1]: F.xxhash64(body, F.lit(1))})
+    parts = []
+    for items in chain((first, second), passes):
+        found, shared = _searched(keyed.select(*key, folded), folded, items, radius, least, k)
+        parts.append(stored(found.where(F.size("leaks") > 0).drop(folded).dropDuplicates(key), "leaks"))
+        shared.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))  # as many as items in one text
+    return keyed.join(merged, key, "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(FOUND))).drop(folded, *key)
+
+
+def _searched(docs: DataFrame, folded: str, items: tuple[list[int], list[str]], radius: int, least: float, k: int) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with the leaks of one pass, and what was broadcast for it."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def make() -> Callable[[pa.RecordBatch], list]:
+        own = Benchmark(*shared.value, k)
+
+        def step(piece: pa.RecordBatch) -> list:
+            data, bounds = texts(piece.column(folded))
+            starts, ends, first = words(data, bounds, PLAIN_BYTES)
+            hashes = span_hashes(data, starts, ends)
+            rows = []
+            for i in range(piece.num_rows):
+                found = own.search(hashes[first[i] : first[i + 1]], radius, least) if own.items else []
+                rows.append([{"item_id": own.ids[j], "similarity": s, "first_word": at, "n_words": n} for j, s, at, n in found])
+            return [pa.array(rows, _FOUND_ARROW)]
+
+        return step
+
+    return append_columns(docs, make, [T.StructField("leaks", FOUND)], folded), shared
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
