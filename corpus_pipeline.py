@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, ngram_join, quality_model, suffix_dedup
-from tracewell.llm.common import stored
+from tracewell.llm.common import forget, stored
 from tracewell.llm.queries import rank_path, table
 
 #: Passages of over 50 words are removed wherever they repeat: 50 short words have some 250 bytes.
@@ -66,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage has read goes once its rows are written."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage{k}")
+        forget(before)
     return docs
