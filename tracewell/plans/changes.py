@@ -6,16 +6,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars
 from ..operators import rows
-from ..sources import tables
+from ..sources import tables, zips
 from ..sources.tables import FINDINGS_SQL, SEVERITIES, table
 from ..streaming import sinks
 from .catalog import RANK_SQL, query
 
-FIRSTS = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("n", T.LongType())])
+
+@query("""SELECT 'pages/' || page_id || '.html' AS path, octet_length(encode(coalesce(html, '')))::BIGINT AS size, sha256(coalesce(html, '')) AS sha256, NULL::VARCHAR AS problem FROM pages""")
+def q_archive_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages written as ZIP archives, a member each, and read back as a table of members."""
+    place = f"{tables.shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html")
+    zips.write(pages, "path", "html", place)
+    spark.dataSource.register(zips.ZipMembers)
+    return spark.read.format("zip_members").option("path", place).load().select("path", "size", "sha256", "problem")
 
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
