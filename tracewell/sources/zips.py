@@ -3,7 +3,8 @@
 An archive's central directory lists its members with place and size. The driver reads the directories alone, a few kilobytes for each
 thousand members, and deals the members into ranges of about ``rangeBytes`` compressed bytes; a task opens its archive, seeks
 to its range and gives member after member, so no archive and no range is in memory. Conditions on ``archive``, ``path``, ``size`` and
-``problem`` are answered from the directory: what they exclude is never read, and neither is content that no query asks for.
+``problem`` are answered from the directory, if the option ``pushdown`` is true and Spark's own setting for it as well: what they exclude
+is never read.
 
     spark.dataSource.register(ZipMembers)
     spark.read.format("zip_members").option("path", "s3://bucket/archives").load()
@@ -108,7 +109,7 @@ def holds(row: dict, conditions: list[Filter]) -> bool:
 
 
 class ZipMembers(DataSource):
-    """(archive, path, size, sha256, content, problem) of the members of ZIP archives. Options: path, rangeBytes, mostBytes, mostFiles."""
+    """(archive, path, size, sha256, content, problem) of the members of ZIP archives. Options: path, rangeBytes, mostBytes, mostFiles, pushdown."""
 
     @classmethod
     def name(cls) -> str:
@@ -118,7 +119,8 @@ class ZipMembers(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ZipReader(schema, {k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (ChoosingReader if options.get("pushdown", "false").lower() == "true" else ZipReader)(schema, options)
 
 
 class ZipReader(DataSourceReader):
@@ -127,15 +129,6 @@ class ZipReader(DataSourceReader):
         self.range_bytes, self.most, self.most_files = int(options.get("rangebytes", RANGE_BYTES)), int(options.get("mostbytes", MOST_BYTES)), int(options.get("mostfiles", MOST_FILES))
         self.conditions: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Takes what the directory can answer and gives the rest back to Spark."""
-        for f in filters:
-            known = getattr(f, "attribute", None) and len(f.attribute) == 1 and f.attribute[0] in ("archive", "path", "size", "problem")
-            if known and isinstance(f, (IsNull, IsNotNull, *_TESTS)):
-                self.conditions.append(f)
-            else:
-                yield f
-
     def partitions(self) -> list[Members]:
         out: list[Members] = []
         for uri in archives_of(self.path):
@@ -180,3 +173,16 @@ class ZipReader(DataSourceReader):
                     body, problem = None, "broken"
                 digest = None if body is None else hashlib.sha256(body).hexdigest()
                 yield row(archive=partition.archive, path=listed[i].filename, size=listed[i].file_size, sha256=digest, content=body, problem=problem)
+
+
+class ChoosingReader(ZipReader):
+    """With conditions answered by the directory; Spark asks for them if spark.sql.python.filterPushdown.enabled is true, and refuses this reader if not."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes what the directory can answer and gives the rest back to Spark."""
+        for f in filters:
+            known = getattr(f, "attribute", None) and len(f.attribute) == 1 and f.attribute[0] in ("archive", "path", "size", "problem")
+            if known and isinstance(f, (IsNull, IsNotNull, *_TESTS)):
+                self.conditions.append(f)
+            else:
+                yield f
