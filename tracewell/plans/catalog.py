@@ -38,10 +38,11 @@ RANK_SQL = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium
 SELECT id, project_id, title, severity, {RANK_SQL} AS severity_rank, score, merged FROM r WHERE n = 1""")
 def q_list_report(spark: SparkSession, sf: str) -> DataFrame:
     """Confirmed findings with their project, the best of each (project, severity) with the number merged into it."""
-    found = rows.filtered(tables.findings(spark, sf), status="confirmed", severity=None).join(tables.projects(spark, sf), "project_id")
-    group = Window.partitionBy("project_id", "severity")
-    best = rows.first_rows(found.withColumn("merged", F.count("*").over(group)), ["project_id", "severity"], [F.desc("score"), F.col("id")])
-    return best.select("id", "project_id", "title", "severity", scalars.rank_of("severity", SEVERITIES).alias("severity_rank"), "score", "merged")
+    found = rows.filtered(tables.findings(spark, sf), status="confirmed", severity=None)
+    # one aggregation, partial before the shuffle: no group is sorted or held in one task
+    first = F.min(F.struct((-F.col("score")).alias("order"), "id", "score")).alias("first")
+    best = found.groupBy("project_id", "severity").agg(first, F.count("*").alias("merged")).join(tables.projects(spark, sf), "project_id")
+    return best.select("first.id", "project_id", "title", "severity", scalars.rank_of("severity", SEVERITIES).alias("severity_rank"), "first.score", "merged")
 
 
 @query(f"""WITH f AS ({FINDINGS_SQL}), d(severity) AS (VALUES ('critical'), ('high'), ('medium'), ('low'), ('none'))
