@@ -47,13 +47,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame | None) -> None:
-    """Delete tables made by ``stored`` that nothing reads any more."""
+    """Delete tables made by ``stored`` that nothing reads any more, and let Spark delete the shuffles that made them.
+
+    Spark keeps a shuffle's files until the driver's memory is collected and its plan is found to be gone, which in a loop of
+    small plans may be long after the last round.
+    """
+    jvm = None
     for t in tables:
         path = getattr(t, "tracewell_path", None)
         if path:
             jvm, context = t.sparkSession._jvm, t.sparkSession.sparkContext
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    if jvm is not None:
+        gc.collect()
+        jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:
