@@ -400,4 +400,4 @@ def q_rotated_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", "n_name", ((F.row_number().over(Window.orderBy("n_nationkey")) - 1 - 7 + 25) % 25).cast("int").alias("place"))
 
 
-from . import audit, candidates, changes, code, evidence, exports, judgements, payloads, reports, selections, trust  # noqa: E402, F401  register their queries here
+from . import audit, candidates, changes, code, evidence, exports, judgements, payloads, reports, resumed, selections, trust  # noqa: E402, F401  register their queries here
