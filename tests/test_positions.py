@@ -50,6 +50,21 @@ def test_nearest_and_overlaps(spark, sides):
     assert spans.nearest(empty, right).count() == spans.nearest(left, right.where("right_id < 0")).count() == 0
 
 
+def test_intervals_of_any_length(spark):
+    r = random.Random(63)
+    ranges = [(i, r.choice("ab"), low := r.randrange(-(10**15), 10**15), low + r.choice([0, 63, 64, 10**6, 10**13, 2 * 10**15])) for i in range(160)] + [(160, "a", 5, 4)]
+    points = [(i, r.choice("ab"), r.choice(ranges)[r.choice([2, 3])] + r.choice([-1, 0, 1])) for i in range(200)]
+    own, other = [x for x in ranges if x[0] % 2], [x for x in ranges if x[0] % 2 == 0]
+    frame = lambda rows, id: spark.createDataFrame(rows, f"{id} long, key string, low long, high long")
+    got = {x.point_id: x.span_id for x in spans.containing_span(spark.createDataFrame(points, "point_id long, key string, at long"), frame(ranges, "span_id")).collect() if x.inside}
+    want = {i: sorted((h - low, j) for j, k, low, h in ranges if k == key and low <= at <= h) for i, key, at in points}
+    assert got == {i: found[0][1] for i, found in want.items() if found}
+    scores = {(i, j): 0 if low <= h and lo <= high else min(abs(low - h), abs(lo - high)) for i, key, low, high in own for j, k, lo, h in other if key == k and low <= high and lo <= h}
+    best = {i: min(d for (a, _), d in scores.items() if a == i) for i, _ in scores}
+    assert sorted(tuple(x) for x in spans.overlap_scores(frame(own, "left_id"), frame(other, "right_id")).collect()) == sorted((i, j, d) for (i, j), d in scores.items() if d == best[i])
+    assert spans.overlap_scores(frame([], "left_id"), frame(other, "right_id")).count() == spans.overlap_scores(frame(own, "left_id"), frame([], "right_id")).count() == 0
+
+
 def test_containing_texts_and_frames(spark):
     texts = spark.createDataFrame([(1, "one two three four five"), (2, "two three"), (3, None), (4, "xone two threex")], "id long, text string")
     needles = spark.createDataFrame([(1, "one two three"), (2, "three four five"), (3, None), (4, "a b")], "needle_id long, needle string")

@@ -31,7 +31,7 @@ def paths(starts: DataFrame, edges: DataFrame, depth: int, fan_out: int) -> Data
     """(root, path): simple paths of up to ``depth`` edges, the smallest ``fan_out`` targets of each node."""
     from .rows import first_rows
 
-    step = first_rows(edges.select("a", "b").distinct(), ["a"], [F.col("b")], fan_out)
+    step = kept(first_rows(edges.select("a", "b").distinct(), ["a"], [F.col("b")], fan_out).select("a", "b"), "steps")
     front = starts.select(F.col("node").alias("root"), F.array("node").alias("path"))
     out = None
     for _ in range(depth):

@@ -10,17 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 
-def containing_span(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
+
+#: Levels begin at blocks of two to the power of this many positions.
+LOW_LEVEL = 6
+
+
+def _level(low: str, high: str) -> Column:
+    """The least level whose blocks are longer than an interval, so that it touches two of them at most."""
+    size = F.greatest(F.col(high).cast("double") - F.col(low).cast("double"), F.lit(0.0))
+    return F.greatest(F.lit(LOW_LEVEL), F.floor(F.log2(size + 1)).cast("int") + 1)
+
+
+def _block(at: Column | str, level: Column | str) -> Column:
+    return F.floor((F.col(at) if isinstance(at, str) else at) / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _levels(intervals: DataFrame) -> list[int]:
+    """The levels in use, 60 at most."""
+    return sorted(r["level"] for r in intervals.select("level").distinct().collect())
+
+
+def containing_span(points: DataFrame, spans: DataFrame) -> DataFrame:
     """(point_id, span_id, inside) for each point: the smallest span of its key that holds it, else the last that begins before it, else null.
 
     ``points`` has (point_id, key, at), ``spans`` has (span_id, key, low, high). Equal spans: the smallest id. A span
-    is joined once for each bucket of ``width`` positions that it touches.
+    lies in one or two blocks of the level of its length, however long it is, and a point asks once on each level in use.
     """
-    bucket = lambda c: F.floor(c / width)
-    cut = spans.where("low <= high").withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
-    dealt = points.select("point_id", F.col("key").alias("k"), "at", bucket(F.col("at")).alias("b"))
-    hit = dealt.join(cut, (F.col("k") == F.col("key")) & (F.col("b") == F.col("bucket")) & F.col("at").between(F.col("low"), F.col("high")))
+    points, spans = kept(points.select("point_id", "key", "at"), "points"), kept(spans.select("span_id", "key", "low", "high").withColumn("level", _level("low", "high")), "spans")
+    sound = spans.where("low <= high")
+    cut = sound.withColumn("block", F.explode(F.sequence(_block("low", "level"), _block("high", "level"))))
+    asked = points.withColumn("l", F.explode(F.array([F.lit(n) for n in _levels(sound)]).cast("array<int>"))).select("point_id", F.col("key").alias("k"), "at", "l", _block("at", "l").alias("b"))
+    hit = asked.join(cut, (F.col("k") == F.col("key")) & (F.col("l") == F.col("level")) & (F.col("b") == F.col("block")) & F.col("at").between(F.col("low"), F.col("high")))
     best = hit.groupBy("point_id").agg(F.min(F.struct((F.col("high") - F.col("low")).alias("size"), "span_id")).alias("best")).select(F.col("point_id").alias("held"), F.col("best.span_id").alias("inner_id"))
     # the last span that begins at or before a point: one ordered pass over both
     begins = spans.select("key", F.col("low").alias("at"), F.lit(0).alias("kind"), (-F.col("span_id")).alias("tie"), "span_id", F.lit(None).cast("long").alias("point_id"))
@@ -71,50 +93,59 @@ def exact_or_nearest(left: DataFrame, right: DataFrame, n: int = 2) -> DataFrame
     return same.unionByName(near.select("left_id", F.col("nearest.best.right_id").alias("right_id"), F.col("nearest.distance").alias("distance")))
 
 
-def overlap_scores(left: DataFrame, right: DataFrame, width: int = 64) -> DataFrame:
+def overlap_scores(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, distance): all right intervals of a left interval's key at the smallest distance, 0 for an overlap.
 
-    ``left`` has (left_id, key, low, high), ``right`` has (right_id, key, low, high). Overlaps meet in buckets of
-    ``width`` positions; for intervals without one the nearest end before and the nearest beginning behind are found
-    in ordered passes, and the right intervals with that end or beginning are joined back.
+    ``left`` has (left_id, key, low, high), ``right`` has (right_id, key, low, high). Two intervals meet on the level of the longer
+    one, in the block in which their intersection begins; an interval has a row or two for each level in use from its own on. For
+    intervals without an overlap one ordered pass finds the nearest end before and the nearest beginning behind, and the
+    right intervals with that end or beginning are joined back.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    deal = lambda df: df.withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("high"))))
-    other = right.where("low <= high").select("right_id", F.col("key").alias("k"), F.col("low").alias("l"), F.col("high").alias("h"))
-    cut = other.withColumn("b", F.explode(F.sequence(F.floor(F.col("l") / width), F.floor(F.col("h") / width))))
-    own = left.where("low <= high")
-    meet = deal(own).join(cut, (F.col("k") == F.col("key")) & (F.col("b") == F.col("bucket")) & (F.col("l") <= F.col("high")) & (F.col("h") >= F.col("low")))
-    overlap = meet.select("left_id", "right_id", F.lit(0).cast("long").alias("distance")).distinct()
-    alone = own.join(overlap.select("left_id").distinct(), "left_id", "left_anti")
-    ask = lambda edge: alone.select("key", F.col(edge).alias("at"), F.lit(1).alias("kind"), "left_id")
-    mark = lambda edge: other.select(F.col("k").alias("key"), F.col(edge).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("left_id")).distinct()
+    own = kept(left.where("low <= high").select("left_id", "key", "low", "high").withColumn("level", _level("low", "high")), "left-intervals")
+    other = kept(right.where("low <= high").select("right_id", F.col("key").alias("k"), F.col("low").alias("l"), F.col("high").alias("h")).withColumn("own_level", _level("l", "h")), "right-intervals")
+    levels = F.array([F.lit(n) for n in sorted({*_levels(own), *_levels(other.select(F.col("own_level").alias("level")))})]).cast("array<int>")
+
+    def dealt(df: DataFrame, low: str, high: str, level: str, at: str, block: str) -> DataFrame:
+        upward = df.withColumn(at, F.explode(F.filter(levels, lambda n: n >= F.col(level))))
+        return upward.withColumn(block, F.explode(F.sequence(_block(low, at), _block(high, at))))
+
+    begins = _block(F.greatest("low", "l"), F.col("at_level"))
+    where = (F.col("k") == F.col("key")) & (F.col("at_level") == F.col("on_level")) & (F.col("b") == F.col("block"))
+    meet = dealt(own, "low", "high", "level", "at_level", "block").join(dealt(other, "l", "h", "own_level", "on_level", "b"), where & (F.col("at_level") == F.greatest("level", "own_level")) & (F.col("block") == begins) & (F.col("l") <= F.col("high")) & (F.col("h") >= F.col("low")))
+    overlap = kept(meet.select("left_id", "right_id", F.lit(0).cast("long").alias("distance")), "overlaps")
+    alone = own.join(overlap, "left_id", "left_anti")
+    none = F.lit(None).cast("long")
+    # a beginning or an end at an asked position would be an overlap, so rows at one position need no order among them
+    edges = F.array(F.struct(F.col("l").alias("at"), F.lit("begin").alias("kind")), F.struct(F.col("h").alias("at"), F.lit("end").alias("kind")))
+    asks = F.array(F.struct(F.col("low").alias("at"), F.lit("low").alias("kind")), F.struct(F.col("high").alias("at"), F.lit("high").alias("kind")))
+    marks = other.where("k is not null").select(F.col("k").alias("key"), F.explode(edges).alias("x")).select("key", "x.at", "x.kind").distinct()
     line = Window.partitionBy("key").orderBy("at", "kind")
-    at = F.when(F.col("kind") == 0, F.col("at"))
-    ends = mark("h").unionByName(ask("low")).withColumn("edge", F.last(at, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
-    begins = mark("l").unionByName(ask("high")).withColumn("edge", F.first(at, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))).where("kind = 1")
-    near = ends.select("left_id", "key", F.lit(True).alias("before"), "edge", (F.col("at") - F.col("edge")).alias("distance")).unionByName(
-        begins.select("left_id", "key", F.lit(False).alias("before"), "edge", (F.col("edge") - F.col("at")).alias("distance"))
-    )
-    near = near.where("edge is not null").withColumn("least", F.min("distance").over(Window.partitionBy("left_id"))).where("distance = least")
-    by_end = near.where("before").join(other, (F.col("key") == F.col("k")) & (F.col("edge") == F.col("h")))
-    by_begin = near.where("not before").join(other, (F.col("key") == F.col("k")) & (F.col("edge") == F.col("l")))
-    rest = by_end.select("left_id", "right_id", "distance").unionByName(by_begin.select("left_id", "right_id", "distance"))
-    return overlap.unionByName(rest.distinct())
+    edge = lambda kind: F.when(F.col("kind") == kind, F.col("at"))
+    both = marks.withColumn("left_id", none).unionByName(alone.where("key is not null").select("key", F.explode(asks).alias("x"), "left_id").select("key", "x.at", "x.kind", "left_id"))
+    seen = both.withColumns({"back": F.last(edge("end"), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "ahead": F.first(edge("begin"), ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))})
+    asked = seen.where("left_id is not null").select("left_id", "key", F.when(F.col("kind") == "low", F.struct((F.col("at") - F.col("back")).alias("distance"), F.col("back").alias("edge"), F.lit("end").alias("kind"))).otherwise(F.struct((F.col("ahead") - F.col("at")).alias("distance"), F.col("ahead").alias("edge"), F.lit("begin").alias("kind"))).alias("x")).select("left_id", "key", "x.*").where("edge is not null")
+    near = asked.groupBy("left_id", "key").agg(F.min("distance").alias("distance"), F.collect_list(F.struct("distance", "edge", "kind")).alias("sides"))  # two at most
+    near = near.select("left_id", "key", "distance", F.explode(F.filter("sides", lambda x: x.distance == F.col("distance"))).alias("x")).select("left_id", "key", "distance", "x.edge", "x.kind")
+    ends = other.select("right_id", "k", F.explode(edges).alias("e")).select("right_id", "k", F.col("e.at").alias("e"), F.col("e.kind").alias("kind_of"))
+    rest = near.join(ends, (F.col("key") == F.col("k")) & (F.col("edge") == F.col("e")) & (F.col("kind") == F.col("kind_of")))
+    return overlap.unionByName(rest.select("left_id", "right_id", F.col("distance").cast("long").alias("distance")).distinct())
 
 
 def containing_texts(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(id, needle_id): texts that contain a needle as it is, without pairing them all.
 
-    ``texts`` has (id, text), ``needles`` has (needle_id, needle) of three blank-separated words or more. The
-    longest inner word of a needle, which the text must have between blanks, is the join key; what meets is checked.
+    ``texts`` has (id, text), ``needles`` has (needle_id, needle) of three blank-separated words or more; others are not
+    looked for. The join key is the inner word of a needle, which a text must have between blanks, that the fewest texts have;
+    only words of needles leave the scan of the texts. What meets is checked.
     """
     parts = F.split("needle", " ")
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
-    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    keyed = needles.withColumn("anchor", anchor).where(F.length("anchor") > 0)
-    words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
-    meet = words.join(keyed.select("needle_id", "anchor"), "anchor").select("id", "needle_id")
-    return meet.join(texts, "id").join(needles, "needle_id").where(F.col("text").contains(F.col("needle"))).select("id", "needle_id")
+    asked = needles.select("needle_id", F.explode(F.array_distinct(inner)).alias("word")).where("word <> ''")
+    held = kept(texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi"), "words")
+    counted = asked.join(held.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    anchors = counted.groupBy("needle_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x")).select("needle_id", F.col("x.word").alias("word"))
+    meet = held.join(anchors, "word").select("id", "needle_id")
+    return meet.join(texts, "id").join(needles, "needle_id").where(F.col("text").contains(F.col("needle"))).select("id", "needle_id").distinct()
 
 
 def line_frames(lines: DataFrame, hits: DataFrame, radius: int) -> DataFrame:

@@ -105,6 +105,13 @@ def q_contains_theta(spark: SparkSession, sf: str) -> DataFrame:
     return spans.containing_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), needles)
 
 
+@query("SELECT doc_id AS id, item_id AS needle_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE regexp_matches(b.text, '^[^ ]* [^ ]+ [^ ]')")
+def q_contains_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that contain a whole benchmark item as it is; items of two words are not looked for."""
+    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    return spans.containing_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), needles)
+
+
 def match_scores(found: DataFrame, expected: DataFrame, least: int = 55) -> DataFrame:
     """(a, b, score) of expectations ``a`` and findings ``b`` of one key with a score of at least ``least`` of 100.
 
