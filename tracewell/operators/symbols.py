@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .spans import look_back
 
 
@@ -58,20 +59,32 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
 
     Relative names start from the importing file's folder; dotted ones are matched from the end of a path. Each name
     has candidates in order of priority; those of the best priority that exist must be one file, else it is ambiguous.
+    The endings come off the paths, so an import is one row and not one for each ending, and of the files that end alike
+    only the first, the last and their number meet the imports: an importing file among two leaves the other.
     """
     asked = found.where("kind = 'import'").select(F.col("path").alias("from_path"), F.col("name").alias("module")).distinct()
     folder = F.regexp_replace("from_path", r"/?[^/]*$", "")
     near = F.col("module").startswith("./")
     plain = F.regexp_replace(F.regexp_replace("module", r"^\./", ""), r"\.|::|\\", "/")
-    endings = F.array(*[F.lit(x) for x in (".py", ".js", ".ts", ".go", ".rs", ".java", "/__init__.py", "/index.js", "/index.ts")])
     stem = F.when(near, F.concat_ws("/", F.when(folder != "", folder), F.regexp_replace("module", r"^\./", ""))).otherwise(plain)
-    tried = asked.select("from_path", "module", near.alias("near"), F.posexplode(F.transform(endings, lambda e: F.concat(stem, e))).alias("priority", "candidate"))
-    # every tail of a path, so that a dotted name may leave out the first folders
-    parts = F.split("path", "/")
-    tails = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("candidate"))
-    hit = tried.join(tails, "candidate").where(~F.col("near") | (F.col("path") == F.col("candidate"))).where("path <> from_path")
-    best = hit.withColumn("best", F.min("priority").over(Window.partitionBy("from_path", "module"))).where("priority = best")
-    return best.groupBy("from_path", "module").agg(F.min("path").alias("to_path"), F.max("path").alias("last")).where("to_path = last").drop("last")
+    asked = kept(asked.select("from_path", "module", near.alias("near"), stem.alias("stem")), "imports")
+    ends = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(e).alias("end")) for i, e in enumerate((".py", ".js", ".ts", ".go", ".rs", ".java", "/__init__.py", "/index.js", "/index.ts"))])
+    known = files.select("path").distinct()
+    ended = known.select("path", F.explode(F.filter(ends, lambda e: F.endswith("path", e.end))).alias("e"))
+    ended = ended.select("path", "e.priority", F.expr("substr(path, 1, length(path) - length(e.end))").alias("stem"), F.length("e.end").alias("cut"))
+    whole = ended.select("stem", "priority", F.lit(True).alias("near"), F.col("path").alias("first"), F.col("path").alias("last"), F.lit(1).cast("long").alias("n"))
+    # tails of a path, so that a dotted name may leave out the first folders: of the lengths that are asked for
+    lengths = sorted(r.n for r in asked.where("not near").select(F.size(F.split("stem", "/")).alias("n")).distinct().collect())
+    parts = F.split("stem", "/")
+    at = F.filter(F.array([F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size(parts))
+    tail = ended.select("path", "priority", F.explode(F.transform(at, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))).alias("stem"))
+    tails = tail.groupBy("stem", "priority").agg(F.min("path").alias("first"), F.max("path").alias("last"), F.count("*").alias("n")).withColumn("near", F.lit(False)).select(*whole.columns)
+    hit = asked.join(whole.unionByName(tails), ["stem", "near"])
+    own = (F.col("first") == F.col("from_path")) | (F.col("last") == F.col("from_path"))
+    other = F.when(F.col("first") == F.col("from_path"), F.col("last")).otherwise(F.col("first"))
+    hit = hit.where(~(own & (F.col("n") == 1))).withColumn("to_path", F.when((F.col("n") == 1) | own & (F.col("n") == 2), other))
+    best = hit.groupBy("from_path", "module").agg(F.min_by("to_path", "priority").alias("to_path"))
+    return best.where("to_path is not null")
 
 
 def numbered(files: DataFrame) -> DataFrame:
