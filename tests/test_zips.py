@@ -62,3 +62,13 @@ def test_limits_and_empty_folders(spark, folder, tmp_path):
     assert got.where("problem = 'too large'").count() == 58 and got.where("problem is null").count() == 2
     (tmp_path / "none").mkdir()
     assert load(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_archives_without_members(spark, tmp_path):
+    """A task without rows writes an archive without members, which is not broken."""
+    pages = spark.range(3).selectExpr("concat('p', id) as path", "'x' as body").repartition(8, F.lit(1))
+    zipfile.ZipFile(tmp_path / "none.zip", "w").close()
+    zips.write(pages, "path", "body", str(tmp_path))
+    spark.dataSource.register(zips.ZipMembers)
+    got = spark.read.format("zip_members").option("path", str(tmp_path)).load().select("path", "problem").collect()
+    assert sorted(tuple(x) for x in got) == [("p0", None), ("p1", None), ("p2", None)]

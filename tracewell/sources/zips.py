@@ -62,6 +62,24 @@ class Members(InputPartition):
     members: list[tuple[int, str | None]]
 
 
+class FromEnd:
+    """A file whose seeking to before the start is an OSError, as zipfile expects; an archive without members has 22 bytes and is asked for more."""
+
+    def __init__(self, file: pa.NativeFile) -> None:
+        self.file = file
+
+    def seek(self, place: int, whence: int = 0) -> int:
+        try:
+            return self.file.seek(place, whence)
+        except pa.ArrowInvalid as e:
+            if whence == 2:
+                raise OSError(str(e)) from e
+            raise
+
+    def __getattr__(self, name: str):  # noqa: ANN204
+        return getattr(self.file, name)
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
@@ -134,7 +152,7 @@ class ZipReader(DataSourceReader):
         for uri in archives_of(self.path):
             try:
                 system, path = opened(uri)
-                with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                with system.open_input_file(path) as f, zipfile.ZipFile(FromEnd(f)) as z:
                     members: list[tuple[int, str | None]] = []
                     held = 0
                     for i, m, problem in directory(z, self.most, self.most_files):
@@ -164,7 +182,7 @@ class ZipReader(DataSourceReader):
             yield row(archive=partition.archive, problem="broken")
             return
         system, path = opened(partition.archive)
-        with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+        with system.open_input_file(path) as f, zipfile.ZipFile(FromEnd(f)) as z:
             listed, wanted = z.infolist(), "content" in self.fields or "sha256" in self.fields
             for i, problem in partition.members:
                 try:
