@@ -46,7 +46,8 @@ CASE WHEN entry IS NULL THEN '' ELSE 'entry_reachable' END AS tags, 'high' AS ri
 def q_capabilities(spark: SparkSession, sf: str) -> DataFrame:
     """What lines of the program text can do, with tags, risk and confidence."""
     files = kept(texts(spark, sf), "texts")
-    found, facts = lines.extract(files), dataflow.facts(files)
+    # only routes are asked of the one reader; of the facts, which meet one another three times, only functions and calls are kept
+    found, facts = lines.extract(files, readers=(lines.routes,)), kept(dataflow.facts(files).where("kind in ('function', 'call')"), "facts")
     return capabilities.judged(capabilities.capabilities(files), entries(found, facts)).withColumn("tags", F.array_join("tags", ","))
 
 
@@ -59,6 +60,6 @@ SELECT 'cand_' || substr(sha1(kind || '|' || key), 1, 16) AS candidate_id, kind,
 def q_audit_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of four kinds: entries, scripts that are entries, flows from inputs, and risky capabilities."""
     files = kept(texts(spark, sf), "texts")
-    found, facts = kept(lines.extract(files), "found"), kept(dataflow.facts(files), "facts")
+    found, facts = kept(lines.extract(files, readers=(lines.routes,)), "found"), kept(dataflow.facts(files), "facts")
     judged = capabilities.judged(capabilities.capabilities(files), entries(found, facts))
     return candidates.candidates(found.where("kind = 'route'").select("path", "line", "name"), candidates.web_scripts(facts), flow.flows(facts), judged)
