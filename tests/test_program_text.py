@@ -109,3 +109,12 @@ def test_reports_and_manifests(spark):
     assert got == {("bandit", "B1", "y.py", "low"), ("gitleaks", "key", "k.txt", "high"), ("osv", "O-1", "p.lock", "unknown"), ("osv", "O-2", "p.lock", "unknown"), ("semgrep", "a.b", "x.py", "error"), ("trivy", "V-1", "go.mod", "high")}
     found = {(x.path, x.dependency) for x in files.dependencies(spark.createDataFrame(MANIFESTS, "path string, content string")).collect()}
     assert found == {("package.json", "left"), ("package.json", "right"), ("package.json", "test"), ("requirements-dev.txt", "alpha"), ("requirements-dev.txt", "beta"), ("go.mod", "host.org/x/y"), ("Cargo.toml", "serde"), ("sub/pom.xml", "core"), ("Gemfile", "rails")}
+
+
+def test_lines_of_files_that_hold_a_flow(spark, monkeypatch):
+    """Only paths that take an input and make a risky call are cut into lines; parts of one path count together."""
+    seen, numbered = [], symbols.numbered
+    monkeypatch.setattr(symbols, "numbered", lambda files: seen.append({r.path for r in files.collect()}) or numbered(files))
+    files = [("a.py", "q = request.args['q']\neval(q)\n"), ("b.py", "q = request.args['q']\n"), ("c.py", "eval(q)\n"), ("d.js", "q = request.query\n"), ("d.js", "\neval(q)\n"), ("e.py", None)]
+    got = symbols.flows(spark.createDataFrame(files, "path string, content string")).collect()
+    assert {tuple(r) for r in got} == {("a.py", 1, 2, "q"), ("d.js", 1, 2, "q")} and seen == [{"a.py", "d.js"}]

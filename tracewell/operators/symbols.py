@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import gone, kept
 from .spans import look_back
 
 
@@ -100,9 +100,12 @@ def flows(files: DataFrame, distance: int = 80, rounds: int = 4) -> DataFrame:
     """(path, source_line, sink_line, variable): inputs that reach a risky call at most ``distance`` lines further on.
 
     Names set from an input, and from such names, spread assignment by assignment, for at most ``rounds`` steps; a call
-    that takes an input itself counts as well.
+    that takes an input itself counts as well. Only paths with both are cut into lines, and these are stored once.
     """
-    text = numbered(files)
+    # what matches within a line matches within the text; texts of one path belong together
+    marks = files.select("path", F.col("content").rlike(INPUT).alias("takes"), F.col("content").rlike(SINK).alias("risks")).where("takes or risks")
+    both = marks.groupBy("path").agg(F.bool_or("takes").alias("takes"), F.bool_or("risks").alias("risks")).where("takes and risks").select("path")
+    text = kept(numbered(files.join(both, "path", "left_semi")), "lines")
     given = r"^\s*(?:const |let |var )?([A-Za-z_]\w*)\s*:?=\s*(.+)$"
     assigned = text.select("path", "line", F.regexp_extract("text", given, 1).alias("name"), F.regexp_extract("text", given, 2).alias("value")).where("name <> ''")
     inputs = text.where(F.col("text").rlike(INPUT))
@@ -116,4 +119,6 @@ def flows(files: DataFrame, distance: int = 80, rounds: int = 4) -> DataFrame:
     sinks = text.select("path", F.col("line").alias("sink_line"), F.regexp_extract("text", SINK, 1).alias("variable")).where("variable <> ''")
     reached = sinks.join(every.groupBy("path", "name", "source_line").agg(F.min("set_line").alias("set_line")), ["path"]).where("variable = name and set_line < sink_line")
     near = look_back(inputs.select("path", "line"), sinks.select("path", F.col("sink_line").alias("line")), distance)
-    return reached.join(near, ["path", "source_line", "sink_line"], "left_semi").select("path", "source_line", "sink_line", "variable").distinct()
+    out = kept(reached.join(near, ["path", "source_line", "sink_line"], "left_semi").select("path", "source_line", "sink_line", "variable").distinct(), "literal-flows")
+    gone(text)
+    return out
