@@ -23,15 +23,24 @@ c AS (SELECT 'orders/o' || o || '/step' || k || '.py' AS path, CASE WHEN is_firs
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """(path, content): orders as programs and the scripts of all pages."""
+    return tables.program(spark, sf).unionByName(scripts(spark, sf))
+
+
+def scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): the scripts of all pages, several of a page under one path."""
     script = F.explode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), 1))
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), script.alias("content"))
-    return tables.program(spark, sf).unionByName(pages)
+    return table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), script.alias("content"))
+
+
+def facts_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of ``texts`` for flows: an order's file is one row of its path, so its assignments are followed while it is read."""
+    return dataflow.facts(tables.program(spark, sf), direct=True).unionByName(dataflow.facts(scripts(spark, sf)))
 
 
 @query(f"WITH {_REACH_SQL} SELECT source_path, 3 AS source_line, sink_path, sink_line, category FROM f")
 def q_flows_across_files(spark: SparkSession, sf: str) -> DataFrame:
     """Inputs of the orders' handlers that reach a dangerous call, in whatever file it is."""
-    return flow.flows(dataflow.facts(texts(spark, sf)))
+    return flow.flows(facts_of(spark, sf))
 
 
 def entries(found: DataFrame, facts: DataFrame) -> DataFrame:
@@ -60,6 +69,6 @@ SELECT 'cand_' || substr(sha1(kind || '|' || key), 1, 16) AS candidate_id, kind,
 def q_audit_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of four kinds: entries, scripts that are entries, flows from inputs, and risky capabilities."""
     files = kept(texts(spark, sf), "texts")
-    found, facts = kept(lines.extract(files, readers=(lines.routes,)), "found"), kept(dataflow.facts(files), "facts")
+    found, facts = kept(lines.extract(files, readers=(lines.routes,)), "found"), kept(facts_of(spark, sf), "facts")
     judged = capabilities.judged(capabilities.capabilities(files), entries(found, facts))
     return candidates.candidates(found.where("kind = 'route'").select("path", "line", "name"), candidates.web_scripts(facts), flow.flows(facts), judged)
