@@ -32,15 +32,15 @@ def scripts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), script.alias("content"))
 
 
-def facts_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of ``texts`` for flows: an order's file is one row of its path, so its assignments are followed while it is read."""
-    return dataflow.facts(tables.program(spark, sf), direct=True).unionByName(dataflow.facts(scripts(spark, sf)))
+def facts_of(programs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Facts for flows: an order's file is one row of its path, so its assignments are followed while it is read."""
+    return dataflow.facts(programs, direct=True).unionByName(dataflow.facts(pages))
 
 
 @query(f"WITH {_REACH_SQL} SELECT source_path, 3 AS source_line, sink_path, sink_line, category FROM f")
 def q_flows_across_files(spark: SparkSession, sf: str) -> DataFrame:
     """Inputs of the orders' handlers that reach a dangerous call, in whatever file it is."""
-    return flow.flows(facts_of(spark, sf))
+    return flow.flows(facts_of(tables.program(spark, sf), scripts(spark, sf)))
 
 
 def entries(found: DataFrame, facts: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ x AS (SELECT 'entrypoint' AS kind, 'orders/o' || o || '/main.py' AS path, 1 AS l
 SELECT 'cand_' || substr(sha1(kind || '|' || key), 1, 16) AS candidate_id, kind, path, line, entry_point, category, severity FROM x""")
 def q_audit_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of four kinds: entries, scripts that are entries, flows from inputs, and risky capabilities."""
-    files = kept(texts(spark, sf), "texts")
-    found, facts = kept(lines.extract(files, readers=(lines.routes,)), "found"), kept(facts_of(spark, sf), "facts")
+    programs, pages = kept(tables.program(spark, sf), "programs"), kept(scripts(spark, sf), "scripts")
+    files = programs.unionByName(pages)
+    found, facts = kept(lines.extract(files, readers=(lines.routes,)), "found"), kept(facts_of(programs, pages), "facts")
     judged = capabilities.judged(capabilities.capabilities(files), entries(found, facts))
     return candidates.candidates(found.where("kind = 'route'").select("path", "line", "name"), candidates.web_scripts(facts), flow.flows(facts), judged)
