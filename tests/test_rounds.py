@@ -63,3 +63,27 @@ def test_ancestors_in_any_graph(spark):
     got = graphs.ancestors(spark.createDataFrame(edges, "child int, parent int")).collect()
     assert {(x.node, x.parent): x.depth for x in got} == want and len(got) == len(want)
     assert graphs.ancestors(spark.createDataFrame([], "child int, parent int")).count() == 0
+
+
+def test_roots_share_the_rows_of_a_node(spark, monkeypatch):
+    """Forty roots over 60 nodes: a round holds a row for each node and 32 roots, and labels are those of each root alone."""
+    import random
+
+    from tracewell.operators import graphs
+
+    r = random.Random(5)
+    edges = [(r.randrange(60), r.randrange(60), r.choice([0.5, 0.6, 0.7, 0.8, 0.9, 1.0, None])) for _ in range(240)]
+    starts = [(n, r.choice([0.65, 0.8, 1.0, None])) for n in range(40)]
+    held, kept = [], graphs.kept
+    monkeypatch.setattr(graphs, "kept", lambda df, tag="kept": [out := kept(df, tag), held.append(out.count()) if tag == "widest-front" else None][0])
+    got = {(x.root, x.node): x.confidence for x in graphs.widest(spark.createDataFrame(starts, "node int, confidence double"), spark.createDataFrame(edges, "a int, b int, confidence double")).collect()}
+    want = {(n, n): 0.65 if c is None else c for n, c in starts}
+    while True:
+        before = dict(want)
+        for (root, a), c in before.items():
+            for x, b, hop in edges:
+                if x == a:
+                    want[root, b] = max(want.get((root, b), 0), min(c, 0.5 if hop is None else hop))
+        if before == want:
+            break
+    assert got == want and max(held) <= 2 * 60 < len(want)
