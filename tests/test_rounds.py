@@ -87,3 +87,15 @@ def test_roots_share_the_rows_of_a_node(spark, monkeypatch):
         if before == want:
             break
     assert got == want and max(held) <= 2 * 60 < len(want)
+
+
+def test_paths_are_stored_as_tables(spark, monkeypatch):
+    """Steps, nodes that lead on and each level's paths are tables in the shared folder, not checkpoints of rows."""
+    from tracewell.operators import graphs
+
+    tags, kept = [], graphs.kept
+    monkeypatch.setattr(graphs, "kept", lambda df, tag="kept": (tags.append(tag), kept(df, tag))[1])
+    edges = spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if a != b], "a int, b int")
+    got = graphs.longest_paths(edges.selectExpr("a as node"), edges, 3, 4, 1).collect()
+    assert {tuple(r.path) for r in got} == {(0, 1, 2, 3), (1, 0, 2, 3), (2, 0, 1, 3), (3, 0, 1, 2), (4, 0, 1, 2)}
+    assert sorted(tags) == ["fronts", "fronts", "steps", "sure", "sure"]
