@@ -87,3 +87,11 @@ def test_proofs(spark):
     rows = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(99, "{"), (98, None)], "n int, text string")
     got = {x.n: x.full for x in rows.select("n", payloads.complete_proof(payloads.parsed(F.col("text"))).alias("full")).collect()}
     assert got == {i: full for i, (_, full) in enumerate(cases)} | {99: False, 98: False}
+
+
+def test_each_text_is_parsed_twice_and_each_type_read_once(spark):
+    rows = spark.createDataFrame([(1, '{"parts": [{"id": 1}]}')], "n int, text string").repartition(2)
+    got = payloads.checked(payloads.items(rows, "text", "parts", "list"), "item", CONTRACT)
+    plan = got.groupBy("n").agg(F.count_if(F.size("reasons") == 0), F.collect_set(F.array_join("reasons", ",")), F.collect_set(F.array_join("repairs", ",")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") <= 2 and plan.count("schemaOfVariant(") <= len(CONTRACT) + 2, plan
+    assert [x.item for x in got.select(F.to_json("item").alias("item")).collect()] == ['{"id":1}']

@@ -43,6 +43,11 @@ def parsed(text: Column) -> Column:
     return F.when(alone, F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$[0]", "variant"))
 
 
+def with_parsed(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``parsed`` of a text as a column; a text is parsed twice a row, however often that column is used."""
+    return df.withColumn(name, parsed(F.col(text)))
+
+
 def member(payload: Column, name: str) -> Column:
     """A field of an object; null where there is none or it is null itself."""
     value = F.try_variant_get(payload, f'$["{name}"]', "variant")
@@ -59,17 +64,16 @@ def texts(value: Column) -> Column:
     return F.filter(held, lambda x: x.isNotNull() & (x != ""))
 
 
-def _typed(field: Field, payload: Column) -> tuple[Column, Column, Column]:
-    """(value, reason, repair) of a field."""
-    raw = F.coalesce(*[member(payload, n) for n in (field.name, *field.aliases)])
-    pattern, target = KINDS[field.kind]
-    right = F.coalesce(kind_of(raw).rlike(f"^(?:{pattern})$"), F.lit(False))
-    value = raw if field.kind == "object" else F.try_variant_get(raw, "$", target)
+def _read(field: Field, raw: Column) -> Column:
+    """What a field holds as its contract's type."""
+    value = raw if field.kind == "object" else F.try_variant_get(raw, "$", KINDS[field.kind][1])
     if field.kind == "text":
-        value = F.btrim(value, F.lit(" \t\r\n"))
-    elif field.kind == "texts":
-        value = texts(value)
-    value = F.when(right, value)
+        return F.btrim(value, F.lit(" \t\r\n"))
+    return texts(value) if field.kind == "texts" else value
+
+
+def _judged(field: Field, raw: Column, right: Column, value: Column, alias: Column) -> tuple[Column, Column, Column]:
+    """(value, reason, repair) of a field, by what it holds, whether that has the right type, its typed value, and whether an alias gave it."""
     reason = F.when(raw.isNull(), F.lit(f"{field.name}:missing") if field.required else F.lit(None)).when(~right, f"{field.name}:type")
     if field.kind == "text" and field.required:
         reason = reason.when(value == "", f"{field.name}:blank")
@@ -79,7 +83,7 @@ def _typed(field: Field, payload: Column) -> tuple[Column, Column, Column]:
         reason = reason.when(value < field.low, f"{field.name}:range")
     if field.high is not None:
         reason = reason.when(value > field.high, f"{field.name}:range")
-    repair = F.when(member(payload, field.name).isNull() & raw.isNotNull(), f"{field.name}:alias")
+    repair = F.when(alias, f"{field.name}:alias")
     if field.default is not None:
         default = F.array(*[F.lit(x) for x in field.default]).cast("array<string>") if isinstance(field.default, (list, tuple)) else F.lit(field.default)
         value = F.when(raw.isNull(), default).otherwise(value)
@@ -87,19 +91,38 @@ def _typed(field: Field, payload: Column) -> tuple[Column, Column, Column]:
     return value, reason, repair
 
 
+def _own(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has."""
+    own = "_payload"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    return own
+
+
+def _step(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns in a projection of their own. Spark keeps it apart where a later one uses a column more than once, so that each is computed once a row."""
+    return df.withColumns(columns)
+
+
 def checked(df: DataFrame, payload: str, contract: Sequence[Field]) -> DataFrame:
     """Add ``fields`` (a struct, null fields where something is wrong), ``reasons`` and ``repairs``, both in the contract's order.
 
     ``payload`` is a column of JSON text or VARIANT. Null and broken texts are ``broken``, anything but an object has the wrong ``shape``.
     Input columns with the names of new ones are replaced.
     """
-    v = F.col(payload) if df.schema[payload].dataType.typeName() == "variant" else parsed(F.col(payload))
-    own = "_payload"
-    while own in df.columns:
-        own += "_"
-    rows = df.withColumn(own, v)
-    found = [(f.name, *_typed(f, F.col(own))) for f in contract]
-    whole = F.when(F.col(own).isNull(), F.lit("broken")).when(~F.coalesce(kind_of(F.col(own)).startswith("OBJECT<"), F.lit(False)), F.lit("shape"))
+    own = _own(df)
+    names = list(dict.fromkeys(n for f in contract for n in (f.name, *f.aliases)))
+    at = {n: f"{own}_member{i}" for i, n in enumerate(names)}
+    raw, right, value = ([f"{own}_{x}{i}" for i in range(len(contract))] for x in ("raw", "right", "value"))
+    rows = df.withColumn(own, F.col(payload)) if df.schema[payload].dataType.typeName() == "variant" else with_parsed(df, payload, own)
+    rows = rows.withColumn(f"{own}_shape", kind_of(F.col(own)).startswith("OBJECT<"))
+    rows = _step(rows, {at[n]: F.try_variant_get(F.col(own), f'$["{n}"]', "variant") for n in names})
+    rows = _step(rows, {at[n]: F.when(~F.is_variant_null(F.col(at[n])), F.col(at[n])) for n in names})
+    rows = _step(rows, {raw[i]: F.coalesce(*[F.col(at[n]) for n in (f.name, *f.aliases)]) for i, f in enumerate(contract)})
+    rows = _step(rows, {right[i]: F.coalesce(kind_of(F.col(raw[i])).rlike(f"^(?:{KINDS[f.kind][0]})$"), F.lit(False)) for i, f in enumerate(contract)})
+    rows = _step(rows, {value[i]: F.when(F.col(right[i]), _read(f, F.col(raw[i]))) for i, f in enumerate(contract)})
+    found = [(f.name, *_judged(f, F.col(raw[i]), F.col(right[i]), F.col(value[i]), F.col(at[f.name]).isNull() & F.col(raw[i]).isNotNull())) for i, f in enumerate(contract)]
+    whole = F.when(F.col(own).isNull(), F.lit("broken")).when(~F.coalesce(F.col(f"{own}_shape"), F.lit(False)), F.lit("shape"))
     each = F.array_compact(F.array(*[reason for _, _, reason, _ in found]))
     none = F.array().cast("array<string>")
     return rows.withColumns(
@@ -108,7 +131,7 @@ def checked(df: DataFrame, payload: str, contract: Sequence[Field]) -> DataFrame
             "reasons": F.when(whole.isNotNull(), F.array(whole)).otherwise(each),
             "repairs": F.when(whole.isNotNull(), none).otherwise(F.array_compact(F.array(*[repair for _, _, _, repair in found]))),
         }
-    ).drop(own)
+    ).drop(own, f"{own}_shape", *at.values(), *raw, *right, *value)
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -121,9 +144,14 @@ def quarantined(rows: DataFrame) -> DataFrame:
 
 def items(df: DataFrame, payload: str, name: str, *aliases: str) -> DataFrame:
     """A row for each element of a list field, with ``place`` (from 0) and ``item``; no rows where there is no such list."""
-    v = parsed(F.col(payload))
-    held = F.coalesce(*[F.try_variant_get(member(v, n), "$", "array<variant>") for n in (name, *aliases)])
-    return df.select(*[c for c in df.columns if c not in ("place", "item")], F.posexplode(held).alias("place", "item"))
+    own = _own(df)
+    at = [f"{own}_member{i}" for i in range(1 + len(aliases))]
+    rows = with_parsed(df, payload, own)
+    rows = _step(rows, {c: F.try_variant_get(F.col(own), f'$["{n}"]', "variant") for c, n in zip(at, (name, *aliases), strict=True)})
+    rows = _step(rows, {c: F.when(~F.is_variant_null(F.col(c)), F.try_variant_get(F.col(c), "$", "array<variant>")) for c in at})
+    # an inner explode makes Spark filter by the list's size first, which computes the list again for each term
+    out = rows.select(*[c for c in df.columns if c not in ("place", "item")], F.posexplode_outer(F.coalesce(*[F.col(c) for c in at])).alias("place", "item"))
+    return out.where("place is not null")
 
 
 PLACEHOLDER = r"(?i)\.\.\.|\btodo\b|\btbd\b|placeholder|to be added|not recorded|<[a-z_]+ here>"

@@ -60,8 +60,9 @@ SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE reasons = '') AS accept
 def q_payload_items(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of each order as items of one payload, checked one by one: how many are accepted, and why others are not."""
     line, flag = table(spark, sf, "lineitem"), F.col("l_returnflag")
-    part = F.when((F.col("l_linestatus") == "F") & (flag == "R"), F.format_string('"part": "%d"', "l_partkey")).when(flag == "A", F.format_string('"part_id": %d', "l_partkey")).otherwise(F.format_string('"part": %d', "l_partkey"))
-    item = F.concat(F.lit("{"), part, F.format_string(', "qty": %s', F.col("l_quantity").cast("string")), F.when(flag != "N", F.format_string(', "flag": "%s"', "l_returnflag")).otherwise(F.lit("")), F.lit("}"))
+    text, lit = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit
+    part = F.when((F.col("l_linestatus") == "F") & (flag == "R"), F.concat(lit('"part": "'), text("l_partkey"), lit('"'))).when(flag == "A", F.concat(lit('"part_id": '), text("l_partkey"))).otherwise(F.concat(lit('"part": '), text("l_partkey")))
+    item = F.concat(lit("{"), part, lit(', "qty": '), text("l_quantity"), F.when(flag != "N", F.concat(lit(', "flag": "'), flag, lit('"'))).otherwise(lit("")), lit("}"))
     texts = line.withColumn("one", item).groupBy("l_orderkey").agg(F.concat(F.lit('{"lines": ['), F.array_join(F.collect_list("one"), ", "), F.lit("]}")).alias("text"))  # an order has few lines
     rows = payloads.checked(payloads.items(texts, "text", "items", "lines"), "item", LINE)
     good, some = F.size("reasons") == 0, lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(F.size(c) > 0, F.array_join(c, ",")))), ";"), F.lit(""))
