@@ -29,6 +29,8 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 SLICE = 2 << 20
+#: Bytes of text that are cut into pieces at once: this takes many times their memory.
+CUT = 1 << 20
 #: Bytes of memory for pieces, of at most LONGEST bytes each, that a worker remembers before it starts over.
 REMEMBERED, LONGEST = 32 << 20, 64
 
@@ -287,13 +289,23 @@ def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: n
     return out
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def text_ranges(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``limit`` values each; a longer text is a range of its own."""
+    a = 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + limit, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """An example of each distinct piece, which of them each piece is, the pieces' ends and the distinct hashes, in order.
 
-    Hashes of pieces of one length are exact up to eight bytes; longer pieces are compared with their examples, and
+    Without ``ends`` a piece goes to the next one's start. Hashes of pieces of one length are exact up to eight bytes; longer pieces are compared with their examples, and
     should two differ, they are told apart by their bytes and get hashes of their own.
     """
-    ends = np.r_[starts[1:], len(data)].astype(starts.dtype)
+    if ends is None:
+        ends = np.r_[starts[1:], len(data)].astype(starts.dtype)
     hashes, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     long = np.flatnonzero((ends - starts > 8) & (example[which] != np.arange(len(starts))))
     other = example[which[long]]
@@ -375,13 +387,28 @@ class Encoder:
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end (uint32), and each text's first."""
-        starts, first = pieces(data, bounds)
-        if not len(starts):
+        if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        example, which, ends, hashes = distinct_spans(data, starts)
-        ids, offsets = self.look_up(data, starts[example], ends[example], hashes)
-        ids, begins = gather(ids, offsets, which)
-        return ids, begins[first]
+        parts = []  # of some texts each: examples of their pieces, which of them each piece is, and each text's first piece
+        for a, b in text_ranges(bounds, CUT):
+            part = data[bounds[a] : bounds[b]]
+            starts, first = pieces(part, bounds[a : b + 1] - bounds[a])
+            if not len(starts):
+                parts.append((starts, starts, starts, first))
+                continue
+            example, which, ends, _ = distinct_spans(part, starts)
+            parts.append((starts[example] + bounds[a], ends[example] + bounds[a], which.astype(np.int32), first))
+        # a replay of many new pieces costs little more than one of few, so it has those of all texts
+        starts, ends = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        example, named, _, hashes = distinct_spans(data, starts, ends)
+        table, offsets = self.look_up(data, starts[example], ends[example], hashes)
+        out, begins, at, total = [], [np.zeros(1, np.int64)], 0, 0
+        for examples, _, which, first in parts:
+            ids, edges = gather(table, offsets, named[at : at + len(examples)][which])
+            out.append(ids)
+            begins.append(edges[first[1:]] + total)
+            at, total = at + len(examples), total + len(ids)
+        return np.concatenate(out), np.concatenate(begins)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data, begins = gather(self.vocabulary.flat, self.vocabulary.offsets, ids.astype(np.int64))

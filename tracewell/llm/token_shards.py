@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder, read_ranks
+from .bpe import encoder, read_ranks, text_ranges
 from .common import forget, release, scratch_path, slices, stored
 from .textarrays import mix, texts
 
 END = "\r\n"
 ROUNDS = 6
-#: Bytes of text encoded at once: the ids and owners of a slice take many times that.
-STEP = 1 << 20
+#: Bytes of text encoded at once, so that their new pieces are replayed together, and ids that are packed at once.
+STEP, PACKED = 4 << 20, 1 << 18
 #: Sequences compressed together in the written table.
 BLOCK = 512
 #: Level of compression, and bytes of ids that the compression of single sequences may refer to.
@@ -107,18 +107,22 @@ def sequences(docs: DataFrame, rank_path: str, length: int, end_id: int, buckets
         for batch in batches:
             for piece in slices(batch, text, STEP):
                 ids, bounds = own.encode(*texts(piece.column(text)))
-                sizes = np.diff(bounds)
                 names = piece.column(id).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                some = sizes > 0
-                # an end mark behind each text that has ids
-                grown = np.insert(ids, bounds[1:][some], end_id)
-                held = np.concatenate([held, grown])
-                held_ids = np.concatenate([held_ids, np.repeat(names[some], sizes[some] + 1)])
-                full = len(held) // length
-                del ids, grown, names
-                if full:
-                    yield from emit(held[: full * length].reshape(full, length), held_ids[: full * length].reshape(full, length), np.full(full, length))
-                    held, held_ids = held[full * length :].copy(), held_ids[full * length :].copy()
+                for a, b in text_ranges(bounds, PACKED):
+                    sizes = np.diff(bounds[a : b + 1])
+                    some = sizes > 0
+                    # an end mark behind each text that has ids
+                    grown = np.insert(ids[bounds[a] : bounds[b]], bounds[a + 1 : b + 1][some] - bounds[a], end_id)
+                    held = np.concatenate([held, grown])
+                    held_ids = np.concatenate([held_ids, np.repeat(names[a:b][some], sizes[some] + 1)])
+                    full = len(held) // length
+                    del grown
+                    if full:
+                        yield from emit(held[: full * length].reshape(full, length), held_ids[: full * length].reshape(full, length), np.full(full, length))
+                        held, held_ids = held[full * length :].copy(), held_ids[full * length :].copy()
+                del ids, names
+            del batch, piece
+            release()
         own.forget()
         release()
         if len(held):
@@ -159,6 +163,7 @@ def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sequence), pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard), counts, names], names=["sequence", "slot", "shard", "row", "n_tokens", "doc_ids"]
                 )
+        release()
 
     # one block of ids, whichever comes first, only makes the shuffle smaller: reading gives the same ids with any
     some = made.select("tokens").limit(1).collect()
@@ -175,6 +180,7 @@ def write_shards(docs: DataFrame, path: str, rank_path: str, length: int = 512,
                 slot = numbers(batch.column("part")[i].as_py(), batch.column("place")[i].as_py(), len(block))[1]
                 tokens = pa.array([small.compress(row.tobytes()) for row in block], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), tokens], names=["shard", "slot", "tokens"])
+        release()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, mark = zstandard.ZstdDecompressor(dict_data=dictionary()), b"\0" * (width - 2)
@@ -218,6 +224,9 @@ def read_shards(spark: SparkSession, path: str, length: int = 512, end_id: int =
                         [pa.array(shard * per_shard + rows), pa.array(np.full(len(rows), shard, np.int32)), pa.array(rows), pa.array([body[r].tobytes() for r in rows], pa.binary())],
                         names=["slot", "shard", "row", "tokens"],
                     )
+                del raw, grid, body
+            del batch, content
+        release()
 
     return files.mapInArrow(run, "slot long, shard int, row long, tokens binary").where(F.col("slot") >= first_slot)
 
