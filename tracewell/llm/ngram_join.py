@@ -11,8 +11,9 @@ words: the whole sequence as one; none: empty, linked with nothing).
    share and by how many bits of their parity bitmaps differ. The survivors are expanded to classes and verified on
    whole texts.
 4. Since components are asked for, a large family is not paired with itself: first every group is verified against one
-   representative of each prefix shingle (and every class against its group's), for a few rounds with other
-   representatives; then all pairs that still lie in different components are verified, none left out.
+   representative of each prefix shingle (and every class against its group's): the one whose prefix is most common,
+   from which a family's copies come, then another drawn at random; then all pairs that still lie in different
+   components are verified, none left out.
 
 Null and empty texts get size 0 and stand alone. Documents with a null id are components of their own text class.
 An empty table gives no rows.
@@ -96,14 +97,18 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """Add n_shingles, set_hash and set_check (128 bits that name a set), group_hash and prefix (shingles of the set's prefix, in order) to each row; drops the text."""
+    """Add n_shingles, set_hash and set_check (128 bits that name a set), group_hash, weight and prefix (shingles of the set's prefix, in order) to each row; drops the text.
+
+    ``weight`` is the mean of the logarithms of the prefix's sketched counts: of a family, the text that the others
+    are copies of has the largest, as every change puts rare shingles into the prefix.
+    """
     counts = docs.sparkSession.sparkContext.broadcast(sketch_counts(docs, k, text))
 
     def make() -> Callable[[pa.RecordBatch], list]:
         frequency = counts.value
 
         def step(piece: pa.RecordBatch) -> list:
-            sizes, sets, checks, groups, prefixes = [], [], [], [], []
+            sizes, sets, checks, groups, weights, prefixes = [], [], [], [], [], []
             bits = BITMAP_WORDS * 64
             bitmaps = np.zeros((piece.num_rows, bits), dtype=np.uint8)
             for s in shingle_sets(piece, text, k):
@@ -113,12 +118,14 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
                     sets.append(0)
                     checks.append(0)
                     groups.append(0)
+                    weights.append(0.0)
                     prefixes.append(s.view(np.int64))
                     continue
                 # powers of two of the count: finer steps would let noise decide
-                level = np.log2(frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] + 1.0).astype(np.int64)
+                scale = np.log2(frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] + 1.0)
                 p = prefix_length(n, num, den)
-                order = np.lexsort((s, level))[:p]
+                order = np.lexsort((s, scale.astype(np.int64)))[:p]
+                weights.append(float(scale[order].mean()))
                 prefix = s[order].view(np.int64)
                 bitmaps[len(sizes) - 1] = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                 # sums of mixed hashes name a set, whatever its order
@@ -129,11 +136,11 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, text: str = "text") ->
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])], pa.int32())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             packed = np.packbits(bitmaps, axis=1, bitorder="little").view("<i8")
-            return [*[pa.array(x, pa.int64()) for x in (sizes, sets, checks, groups)], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), *[pa.array(packed[:, i].copy()) for i in range(BITMAP_WORDS)]]
+            return [*[pa.array(x, pa.int64()) for x in (sizes, sets, checks, groups)], pa.array(weights, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), *[pa.array(packed[:, i].copy()) for i in range(BITMAP_WORDS)]]
 
         return step
 
-    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_hash", "set_check", "group_hash")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_hash", "set_check", "group_hash")] + [T.StructField("weight", T.DoubleType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     fields += [T.StructField(c, T.LongType()) for c in BITMAP]
     return append_columns(docs, make, fields, text).drop(text)
 
@@ -196,13 +203,13 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     keyed = docs.select(*row_keys(id, text), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(profiles(keyed, k, num, den), "profiles")
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy(*SET).agg(F.min(F.struct(*KEY)).alias("r"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("group_hash").alias("group"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in BITMAP])
+    classes = some.groupBy(*SET).agg(F.min(F.struct(*KEY)).alias("r"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("group_hash").alias("group"), F.first("weight").alias("weight"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in BITMAP])
     # written, so a class keeps its number
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "*", "r.*").drop("r"), "classes")
     members = classes.select("class", "group", "n")
     # by the prefix itself: should two have one hash, they stay two groups with that name, and only more is verified
-    groups = stored(classes.groupBy("group", "n", "prefix").agg(F.min("class").alias("lead"), F.count("*").alias("size")), "groups")
-    tokens = groups.select("group", "lead", "n", F.posexplode("prefix").alias("pos", "token"))
+    groups = stored(classes.groupBy("group", "n", "prefix").agg(F.min("class").alias("lead"), F.first("weight").alias("weight"), F.count("*").alias("size")), "groups")
+    tokens = groups.select("group", "lead", "n", "weight", F.posexplode("prefix").alias("pos", "token"))
     # only shingles in two or more prefixes can pair groups
     shared = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
     tokens = stored(tokens.join(shared, "token").drop("uses"), "tokens")
@@ -233,11 +240,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         label = stored(label.join(roots, label["root"] == roots["old"], "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
         forget(before, between)
 
-    # rounds with representatives: stars instead of all pairs of a family
+    # rounds with representatives, the first with central ones: stars instead of all pairs of a family
     for i in range(ROUNDS):
         salt = F.lit(i)
         here = tokens.join(label.select(F.col("node").alias("lead"), "root"), "lead") if i else tokens.withColumn("root", F.col("lead"))
-        star = here.groupBy("token").agg(F.min_by(F.struct("lead", "root", "n"), F.xxhash64(salt, "root", "lead")).alias("r"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        drawn = F.xxhash64(salt, "root", "lead")
+        star = here.groupBy("token").agg(F.min_by(F.struct("lead", "root", "n"), drawn if i else F.struct(-F.col("weight"), drawn)).alias("r"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         near = here.join(star, "token").where((F.col("lead") != F.col("r.lead")) & (F.col("root") != F.col("r.root")) & (F.least("n", F.col("r.n")) * den >= F.greatest("n", F.col("r.n")) * num))
         pairs = near.select(F.least("lead", F.col("r.lead")).alias("a"), F.greatest("lead", F.col("r.lead")).alias("b"))
         inner = members.join(label.select(F.col("node").alias("class"), "root"), "class")
@@ -250,9 +258,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     keys = tokens.select("token", "pos", "group").join(by_class, "group").select("token", "pos", "n", "class", "root")
     within = by_class.join(groups.where("size > 1").select("group").distinct(), "group").select(F.col("group").alias("token"), F.lit(0).alias("pos"), "n", "class", "root")
     all_keys = keys = stored(keys.union(within), "keys")
-    main = keys.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    # bitmaps join only what still meets another component
-    keys = keys.join(main, "token").join(classes.select("class", *BITMAP), "class")
+    here = keys.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("n").alias("least_n")).groupBy("token")
+    main = here.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.min("least_n").alias("least_n")).where("roots > 1").drop("roots")
+    # bitmaps join only what still meets another component, in front of what even the smallest set of that shingle needs
+    near_front = F.col("pos") <= F.col("n") - least_overlap(F.col("n"), F.col("least_n"), num, den)
+    keys = keys.join(main, "token").where(near_front).drop("least_n").join(classes.select("class", *BITMAP), "class")
     light = keys.where("root <> main").select("token", F.col("class").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), *[F.col(c).alias(f"x_{c}") for c in BITMAP])
     # the first common shingle of a pair that links stands so far in front in both sets that all it needs can follow
     needed = least_overlap(F.col("n"), F.col("n_x"), num, den)
