@@ -1,6 +1,7 @@
 """Graph queries over all edges against brute force, at the smallest scale."""
 
 import os
+import random
 from collections import defaultdict
 
 import duckdb
@@ -119,6 +120,37 @@ def test_longest_paths_with_dead_ends(spark, nodes, chance):
     assert len(got) == len(want) and {(x.root, tuple(x.path)) for x in got} == want
 
 
+def test_paths_over_all_targets(spark):
+    """The paths that come first as text lead through the 25th and later targets of a part, and by a part of 400 targets."""
+    from tracewell.operators.graphs import longest_paths
+
+    r = random.Random(4)
+    rows = [(0, b) for b in range(1, 401)] + [(a, r.randrange(401)) for a in range(1, 401) for _ in range(30) if a % 7]
+    step = defaultdict(set)
+    for a, b in rows:
+        if a != b:
+            step[a].add(b)
+    step = {a: sorted(bs) for a, bs in step.items()}
+    frame = spark.createDataFrame([(a, b) for a, bs in step.items() for b in bs], "a long, b long")
+    roots = [0, 1, 2, 3, 5]
+    got = longest_paths(spark.createDataFrame([(a,) for a in roots], "node long"), frame, 3, None, 3).collect()
+    whole = {(root, p) for root in roots for p in best_paths(root, step, 3, 401, 3)}
+    assert {(x.root, tuple(x.path)) for x in got} == whole != {(root, p) for root in roots for p in best_paths(root, step, 3, 24, 3)}
+
+
+def test_all_targets_of_a_part(spark, monkeypatch):
+    """The query hands on every target: from part 1 the first path as text begins with its greatest target, the 30th."""
+    from tracewell.sources import tables
+
+    rows = [(1, b) for b in range(2, 31)] + [(1, 100)] + [(a, a + k) for a in (*range(2, 31), *range(100, 104)) for k in (1, 2, 3)]
+    monkeypatch.setattr(tables, "all_edges", lambda *_: spark.createDataFrame(rows, "a long, b long"))
+    got = sorted(x.path for x in QUERIES["q_paths_top2_all"](spark, SF).where("root = 1").collect())
+    step = defaultdict(list)
+    for a, b in sorted(rows):
+        step[a].append(b)
+    assert got == sorted(">".join(map(str, p)) for p in best_paths(1, step, 4, 100, 2)) and got[0].startswith("1>100>")
+
+
 def test_lineage_runs_to_its_end(spark):
     from tracewell.plans.catalog import lineage
 
