@@ -118,3 +118,32 @@ def test_lines_of_files_that_hold_a_flow(spark, monkeypatch):
     files = [("a.py", "q = request.args['q']\neval(q)\n"), ("b.py", "q = request.args['q']\n"), ("c.py", "eval(q)\n"), ("d.js", "q = request.query\n"), ("d.js", "\neval(q)\n"), ("e.py", None)]
     got = symbols.flows(spark.createDataFrame(files, "path string, content string")).collect()
     assert {tuple(r) for r in got} == {("a.py", 1, 2, "q"), ("d.js", 1, 2, "q")} and seen == [{"a.py", "d.js"}]
+
+
+def test_flows_of_any_number_of_steps(spark):
+    """Names spread as far as assignments go; a name is only taken from lines before, and an input 80 lines back is out of reach."""
+    import random
+    import re
+
+    chain = "a0 = request.args\n" + "".join(f"a{i} = a{i - 1} + 'x'\n" for i in range(1, 30)) + "eval(a29)\n"
+    r = random.Random(6)
+    names = "abcdefgh"
+    mixed = []
+    for k in range(30):
+        lines_ = []
+        for _ in range(120):
+            a, b, c = (r.choice(names) for _ in range(3))
+            lines_.append(r.choice([f"{a} = {b} + {c}", f"{a} = {b}", f"{a} = 1", "", f"{a} = input", f"eval({a})"][: 4 if r.random() < 0.9 else 6]))
+        mixed.append((f"m{k}.py", "\n".join(lines_)))
+    files = [("chain.py", chain), *mixed, (None, chain)]
+    want = set()
+    for path, text in files[:-1]:
+        held = set()  # (name, source line)
+        for at, line in enumerate(text.split("\n"), 1):
+            if sink := re.match(r"eval\((\w+)", line):
+                want |= {(path, s, at, n) for n, s in held if n == sink[1] and at - s <= 80}
+            elif given := re.match(r"(\w+) = (.*)", line):
+                used = set(re.findall(r"\w+", given[2]))
+                held |= {(given[1], s) for n, s in held if n in used} | ({(given[1], at)} if "input" in used or "request" in used else set())
+    got = symbols.flows(spark.createDataFrame(files, "path string, content string")).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) and ("chain.py", 1, 31, "a29") in want

@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import gone, kept
-from .spans import look_back
+from ..session import kept
 
 
 def declared(found: DataFrame) -> DataFrame:
@@ -96,29 +99,58 @@ INPUT = r"request\.(?:args|form|params|query|body)|\binput\b|\bargv\b|readline\(
 SINK = r"(?:os\.system|\beval|\bexec|subprocess\.\w+|\.query)\s*\(\s*([A-Za-z_]\w*)"
 
 
-def flows(files: DataFrame, distance: int = 80, rounds: int = 4) -> DataFrame:
-    """(path, source_line, sink_line, variable): inputs that reach a risky call at most ``distance`` lines further on.
+def flow_files(files: DataFrame) -> DataFrame:
+    """(path, content): the texts of paths with both an input and a risky call; texts of one path belong together.
+
+    A path of one row is judged by its own text, so only paths of several rows meet one another.
+    """
+    # what matches within a line matches within the text
+    files = files.where("path is not null").select("path", "content")
+    marks = {"takes": F.col("content").rlike(INPUT), "risks": F.col("content").rlike(SINK)}
+    key = F.xxhash64("path")  # paths that share a hash by chance go the longer way, to the same result
+    several = kept(files.groupBy(key.alias("key")).count().where("count > 1").select("key"), "several")
+    alone = files.join(several, key == F.col("key"), "left_anti").where(marks["takes"] & marks["risks"])
+    shared = files.join(several, key == F.col("key"), "left_semi")
+    both = shared.groupBy("path").agg(*[F.bool_or(m).alias(c) for c, m in marks.items()]).where("takes and risks").select("path")
+    return alone.unionByName(shared.join(both, "path", "left_semi"))
+
+
+def flows(files: DataFrame, distance: int = 80) -> DataFrame:
+    """(path, source_line, sink_line, variable): inputs that reach a risky call at most ``distance`` lines further on, see ``followed``."""
+    return followed(numbered(flow_files(files)), distance)
+
+
+def followed(lines: DataFrame, distance: int = 80) -> DataFrame:
+    """``flows`` of (path, line, text): names set from an input, and from such names, spread assignment by assignment, as far as they go.
 
-    Names set from an input, and from such names, spread assignment by assignment, for at most ``rounds`` steps; a call
-    that takes an input itself counts as well. Only paths with both are cut into lines, and these are stored once.
+    An assignment takes only what lines before it have set, so one pass over a path's lines in order finds all. What a line says
+    is read before lines of a path meet, and lines that say nothing stay behind.
     """
-    # what matches within a line matches within the text; texts of one path belong together
-    marks = files.select("path", F.col("content").rlike(INPUT).alias("takes"), F.col("content").rlike(SINK).alias("risks")).where("takes or risks")
-    both = marks.groupBy("path").agg(F.bool_or("takes").alias("takes"), F.bool_or("risks").alias("risks")).where("takes and risks").select("path")
-    text = kept(numbered(files.join(both, "path", "left_semi")), "lines")
     given = r"^\s*(?:const |let |var )?([A-Za-z_]\w*)\s*:?=\s*(.+)$"
-    assigned = text.select("path", "line", F.regexp_extract("text", given, 1).alias("name"), F.regexp_extract("text", given, 2).alias("value")).where("name <> ''")
-    inputs = text.where(F.col("text").rlike(INPUT))
-    tainted = assigned.join(inputs.select("path", "line"), ["path", "line"], "left_semi").select("path", "name", F.col("line").alias("source_line"), F.col("line").alias("set_line"))
-    uses = assigned.select("path", "line", "name", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r"[A-Za-z_]\w*"), 0))).alias("used")).where("used <> name")
-    every = front = tainted
-    for _ in range(rounds):
-        t = front.select(F.col("path").alias("p"), F.col("name").alias("u"), "source_line", "set_line")
-        front = uses.join(t, (F.col("path") == F.col("p")) & (F.col("used") == F.col("u")) & (F.col("line") > F.col("set_line"))).select("path", "name", "source_line", F.col("line").alias("set_line")).distinct()
-        every = every.unionByName(front)
-    sinks = text.select("path", F.col("line").alias("sink_line"), F.regexp_extract("text", SINK, 1).alias("variable")).where("variable <> ''")
-    reached = sinks.join(every.groupBy("path", "name", "source_line").agg(F.min("set_line").alias("set_line")), ["path"]).where("variable = name and set_line < sink_line")
-    near = look_back(inputs.select("path", "line"), sinks.select("path", F.col("sink_line").alias("line")), distance)
-    out = kept(reached.join(near, ["path", "source_line", "sink_line"], "left_semi").select("path", "source_line", "sink_line", "variable").distinct(), "literal-flows")
-    gone(text)
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_extract("text", given, 2), F.lit(r"[A-Za-z_]\w*"), 0))
+    said = lines.select("path", "line", F.col("text").rlike(INPUT).alias("takes"), F.regexp_extract("text", given, 1).alias("name"), words.alias("used"), F.regexp_extract("text", SINK, 1).alias("sink"))
+    said = said.where("takes or name <> '' or sink <> ''").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "takes", "name", "used", "sink"))).alias("said"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(path, *hit) for path, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in _hits(own, distance)]
+            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["path", "source_line", "sink_line", "variable"])
+
+    return said.mapInArrow(run, "path string, source_line int, sink_line int, variable string")
+
+
+def _hits(said: list[dict], distance: int) -> dict[tuple[int, int, str], None]:
+    """(source line, sink line, variable) of one path, whose lines come in order; inputs that are out of reach are forgotten."""
+    held: dict[str, set[int]] = {}
+    out: dict[tuple[int, int, str], None] = {}
+    for line, here in groupby(said, key=lambda x: x["line"]):
+        here = list(here)
+        near = lambda name: [s for s in held.get(name, ()) if line - s <= distance]  # noqa: B023, E731
+        out |= dict.fromkeys((s, line, x["sink"]) for x in here if x["sink"] for s in sorted(near(x["sink"])))
+        takes = [line] if any(x["takes"] for x in here) else []
+        fresh = [(x["name"], takes + [s for u in x["used"] if u != x["name"] for s in near(u)]) for x in here if x["name"]]
+        for name, sources in fresh:
+            if sources:
+                held[name] = {*near(name), *sources}
     return out
