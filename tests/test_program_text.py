@@ -147,3 +147,15 @@ def test_flows_of_any_number_of_steps(spark):
                 held |= {(given[1], s) for n, s in held if n in used} | ({(given[1], at)} if "input" in used or "request" in used else set())
     got = symbols.flows(spark.createDataFrame(files, "path string, content string")).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want) and ("chain.py", 1, 31, "a29") in want
+
+
+def test_hits_do_not_pass_through_the_driver(spark):
+    """Many stored hits take little room as a file, which let Spark hand all of them to the driver: no table is broadcast."""
+    from tracewell.operators import spans
+    from tracewell.session import kept
+
+    hits = kept(spark.range(2000).selectExpr("format_string('orders/o%d/main.py', id) as path", "5 as line"), "hits")
+    texts = kept(spark.range(2000).selectExpr("format_string('orders/o%d/main.py', id) as path", "'a\nb\nc\nd\ne\nf' as content"), "texts")
+    frames = spans.line_frames(symbols.numbered(texts), hits, 2)
+    assert {x.excerpt for x in frames.collect()} == {"3: c\n4: d\n5: e\n6: f"}
+    assert "Broadcast" not in frames._jdf.queryExecution().executedPlan().toString()

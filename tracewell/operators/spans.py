@@ -152,10 +152,11 @@ def line_frames(lines: DataFrame, hits: DataFrame, radius: int) -> DataFrame:
     """(path, hit, excerpt): the lines from ``radius`` before a hit to as many behind it, numbered.
 
     ``lines`` has (path, line, text), ``hits`` has (path, line). Each hit asks for its 2 * radius + 1 lines by
-    number, so no file is gathered.
+    number, so no file is gathered. Stored hits are far smaller than in memory, so a join must not go by their size and hand
+    them all to the driver: both sides are dealt by path and line.
     """
     asked = hits.select("path", F.col("line").alias("hit")).distinct().withColumn("line", F.explode(F.sequence(F.col("hit") - radius, F.col("hit") + radius)))
-    found = asked.join(lines, ["path", "line"])
+    found = asked.hint("merge").join(lines, ["path", "line"])
     numbered = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.concat_ws(": ", x.line.cast("string"), x.text))
     return found.groupBy("path", "hit").agg(F.array_join(numbered, "\n").alias("excerpt"))
 
