@@ -114,3 +114,30 @@ def test_direct_facts_give_the_same_flows_in_fewer_rounds(spark, monkeypatch):
         counts.append(len(rounds))
     assert got[0] == got[1] == plain([tuple(r) for r in readers.facts(files).collect()]) and ("m.py", 2, "s6.py", 3, "process_execution") in got[1]
     assert counts[1] < 0.7 * counts[0]
+
+
+def test_groups_of_files_give_the_same_flows(spark, rows, monkeypatch):
+    """Files that call one another are followed in one task: small sources, a line of 40 files, two scripts of one path, and random programs; no rounds."""
+    r = random.Random(72)
+    files = [(f"s{k}.py", f"def step_{k}(x):\n    return step_{k + 1}(x)\n") for k in range(40)] + [("s40.py", "def step_40(x):\n    eval(x)\n    return x\n"), ("m.py", "def show():\n    os.system(step_0(request.args['q']))\n")]
+    files += [("w.js", "f(location.search)\n"), ("w.js", "f(req.query)\n"), ("v.js", "function f(x) { eval(x) }\n")]
+    for i in range(30):
+        body = [f"def r{i}(x, y):"] + ["    " + r.choice([f"v{k} = r{r.randrange(32)}(y, x)", f"v{k} = x", "v0 = input()", f"eval({r.choice('xy')})", f"r{r.randrange(30)}(v{max(0, k - 1)}, y)", f"os.system(v{max(0, k - 1)})"]) for k in range(4)]
+        files.append((f"r{i % 9}.py" if i < 20 else f"q{i}.py", "\n".join([*body, f"    return {r.choice(['x', 'v0', 'v2'])}", ""])))
+    facts = rows + [tuple(x) for x in readers.facts(spark.createDataFrame(files, "path string, content string")).collect()]
+    frame = spark.createDataFrame(facts, readers.SCHEMA)
+    want = {tuple(x) for x in dataflow.flows(frame).collect()}
+    added, add = [], dataflow.Pile.add
+    monkeypatch.setattr(dataflow.Pile, "add", lambda self, rows: added.append(self) or add(self, rows))
+    got = [tuple(x) for x in dataflow.flows_apart(frame).collect()]
+    assert set(got) == want and len(got) == len(want) > 10 and not added
+    monkeypatch.setattr(dataflow, "ROWS_A_GROUP", 40)
+    assert sorted(tuple(x) for x in dataflow.flows_apart(frame).collect()) == sorted(got) and added
+    assert dataflow.flows_apart(spark.createDataFrame([], readers.SCHEMA)).count() == 0
+
+
+def test_the_query_goes_without_rounds(spark, monkeypatch):
+    from tracewell.plans.catalog import QUERIES
+
+    monkeypatch.setattr(dataflow, "Pile", None)
+    assert QUERIES["q_flows_across_files"](spark, "/root/testdata/sf0.001").count() > 0

@@ -40,13 +40,13 @@ def facts_of(programs: DataFrame, pages: DataFrame) -> DataFrame:
 @query(f"WITH {_REACH_SQL} SELECT source_path, 3 AS source_line, sink_path, sink_line, category FROM f")
 def q_flows_across_files(spark: SparkSession, sf: str) -> DataFrame:
     """Inputs of the orders' handlers that reach a dangerous call, in whatever file it is."""
-    return flow.flows(facts_of(tables.program(spark, sf), scripts(spark, sf)))
+    return flow.flows_apart(facts_of(tables.program(spark, sf), scripts(spark, sf)))
 
 
-def entries(found: DataFrame, facts: DataFrame) -> DataFrame:
-    """(path, entry): the routes of each file, also for the files that it calls directly."""
+def entries(found: DataFrame, sites: DataFrame) -> DataFrame:
+    """(path, entry): the routes of each file, also for the files that it calls directly, as ``sites`` tells."""
     routes = found.where("kind = 'route'").select("path", F.col("name").alias("entry"))
-    calls = flow.sites(facts).where("to_path is not null and to_path <> path").select("path", "to_path").distinct()
+    calls = sites.where("to_path is not null and to_path <> path").select("path", "to_path").distinct()
     return routes.unionByName(routes.join(calls, "path").select(F.col("to_path").alias("path"), "entry"))
 
 
@@ -57,7 +57,7 @@ def q_capabilities(spark: SparkSession, sf: str) -> DataFrame:
     files = kept(texts(spark, sf), "texts")
     # only routes are asked of the one reader; of the facts, which meet one another three times, only functions and calls are kept
     found, facts = lines.extract(files, readers=(lines.routes,)), kept(dataflow.facts(files).where("kind in ('function', 'call')"), "facts")
-    return capabilities.judged(capabilities.capabilities(files), entries(found, facts)).withColumn("tags", F.array_join("tags", ","))
+    return capabilities.judged(capabilities.capabilities(files), entries(found, flow.sites(facts))).withColumn("tags", F.array_join("tags", ","))
 
 
 @query(f"""WITH {_REACH_SQL}, p AS (SELECT DISTINCT 'pages/' || page_id || '.js' AS path FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS js FROM pages) WHERE contains(js, 'track(')),
@@ -71,5 +71,6 @@ def q_audit_candidates(spark: SparkSession, sf: str) -> DataFrame:
     programs, pages = kept(tables.program(spark, sf), "programs"), kept(scripts(spark, sf), "scripts")
     files = programs.unionByName(pages)
     found, facts = kept(lines.extract(files, readers=(lines.routes,)), "found"), kept(facts_of(programs, pages), "facts")
-    judged = capabilities.judged(capabilities.capabilities(files), entries(found, facts))
-    return candidates.candidates(found.where("kind = 'route'").select("path", "line", "name"), candidates.web_scripts(facts), flow.flows(facts), judged)
+    sites = kept(flow.sites(facts), "sites")
+    judged = capabilities.judged(capabilities.capabilities(files), entries(found, sites))
+    return candidates.candidates(found.where("kind = 'route'").select("path", "line", "name"), candidates.web_scripts(facts), flow.flows_apart(facts, sites), judged)
