@@ -141,3 +141,8 @@ def test_the_query_goes_without_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(dataflow, "Pile", None)
     assert QUERIES["q_flows_across_files"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_facts_of_some_kinds(spark, rows):
+    got = readers.facts(spark.createDataFrame(FILES, "path string, content string"), kinds=("function", "call")).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == sorted((x for x in rows if x[3] in ("function", "call")), key=repr) and len(got) < len(rows)

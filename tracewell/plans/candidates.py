@@ -55,8 +55,8 @@ CASE WHEN entry IS NULL THEN '' ELSE 'entry_reachable' END AS tags, 'high' AS ri
 def q_capabilities(spark: SparkSession, sf: str) -> DataFrame:
     """What lines of the program text can do, with tags, risk and confidence."""
     files = kept(texts(spark, sf), "texts")
-    # only routes are asked of the one reader; of the facts, which meet one another three times, only functions and calls are kept
-    found, facts = lines.extract(files, readers=(lines.routes,)), kept(dataflow.facts(files).where("kind in ('function', 'call')"), "facts")
+    # only routes are asked of the one reader; of the facts, which meet one another three times, only functions and calls are told
+    found, facts = lines.extract(files, readers=(lines.routes,)), kept(dataflow.facts(files, kinds=("function", "call")), "facts")
     return capabilities.judged(capabilities.capabilities(files), entries(found, flow.sites(facts))).withColumn("tags", F.array_join("tags", ","))
 
 
